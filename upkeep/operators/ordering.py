@@ -1,14 +1,20 @@
 """Positions in a total order without a single-partition window.
 
 ``row_number()`` over a window with no partition key, or with a key that may hold a third
-of all rows, runs in one task.  Here the rows are range-partitioned on the (unique) order
-key instead: Spark samples the key, so even one hot group is cut across many partitions.
-Each row's position is its index inside its partition plus the number of rows in the
-partitions before it.  Only the per-partition counts (one row per partition, a proven
-bound) are broadcast.
-
-Both uses of the ranged data come from one exchange in one plan, so Spark reuses it and the
-partition contents agree; a lost executor recomputes the same range partitions.
+of all rows, runs in one task.  Here rows are cut into ``num_buckets`` contiguous ranges of
+the (unique) order key and numbered inside their range:
+
+1. bucket bounds = quantiles of a keyed bottom-k sample of the order key (the k rows with
+   the smallest hash: a uniform sample of bounded size, found with a bounded top-k); only
+   these n-1 bound keys are collected to the driver;
+2. a row's bucket = number of bounds <= its key - a pure function of the row, so every
+   branch of the plan and every retry after a lost executor sees the same buckets (Spark's
+   own range partitioner samples with a seed tied to the RDD id, so two evaluations can
+   disagree);
+3. position = rows in earlier buckets (an aggregate with one row per bucket, a proven
+   bound, broadcast) + row number inside the bucket (a window partitioned by bucket).
+
+Even one hot group is spread over many buckets because the order key is unique.
 """
 
 from __future__ import annotations
@@ -16,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW33 = (1 << 33) - 1
-
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -25,38 +29,53 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def global_positions(df: DataFrame, order: list, pos_col: str = "pos",
-                     total_col: str | None = None, num_partitions: int | None = None
-                     ) -> DataFrame:
-    """Add ``pos_col`` = 0-based position of the row in the order of ``order``.
-
-    ``order`` must be a total order (unique per row); columns or Column expressions,
-    ascending/descending allowed.  ``total_col`` optionally carries the row count.
-    """
-    n = _partitions(df, num_partitions)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    # monotonically_increasing_id: partition id in the upper bits, record number in the
-    # lower 33 bits, assigned in the sorted order of the partition.
-    tagged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW33))))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid")  # over one row per partition only
+def global_positions(df: DataFrame, order: list[str], pos_col: str = "pos",
+                     total_col: str | None = None, num_buckets: int | None = None,
+                     sample_per_bucket: int = 32) -> DataFrame:
+    """Add ``pos_col`` = 0-based position of the row in ascending ``order`` (column names
+    forming a total order, unique per row).  ``total_col`` optionally carries the row
+    count."""
+    n = _partitions(df, num_buckets)
+    key = F.struct(*[F.col(c) for c in order])
+    sample = (df.select(key.alias("_k"), F.xxhash64(*[F.col(c) for c in order]).alias("_h"))
+              .orderBy("_h", "_k").limit(n * sample_per_bucket))
+    srt = F.array_sort(F.collect_list("_k"))
+    picks = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
+                        lambda i: F.element_at("_s", (i * F.size("_s") / F.lit(n)).cast("int") + 1))
+    # The bounds (at most n-1 keys) are the only data brought to the driver.
+    row = sample.agg(srt.alias("_s")).select(
+        F.when(F.size("_s") == 0, F.array_except("_s", "_s")).otherwise(picks).alias("b")
+    ).collect()[0]["b"]
+    types = {c: df.schema[c].dataType for c in order}
+    seen, lits = set(), []
+    for r in row or []:
+        t = tuple(r)
+        if t in seen:
+            continue
+        seen.add(t)
+        lits.append(F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, t)]))
+    # bucket = number of bounds <= key: a pure function of the row's key
+    bucket = sum((F.when(lb <= key, 1).otherwise(0) for lb in lits), F.lit(0))
+    b = df.withColumn("_bk", bucket)
+    counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_bk")  # one row per bucket only
     offsets = counts.select(
-        "_pid",
+        "_bk",
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding,
                                        Window.unboundedFollowing)).alias("_total"))
-    out = tagged.join(F.broadcast(offsets), "_pid").withColumn(
-        pos_col, F.col("_off") + F.col("_local"))
+    wb = Window.partitionBy("_bk").orderBy(*[F.col(c) for c in order])
+    out = (b.withColumn("_rn", F.row_number().over(wb))
+           .join(F.broadcast(offsets), "_bk")
+           .withColumn(pos_col, F.col("_off") + F.col("_rn") - 1))
     if total_col:
         out = out.withColumn(total_col, F.col("_total"))
-    return out.drop("_mid", "_pid", "_local", "_off", "_total")
+    return out.drop("_bk", "_rn", "_off", "_total")
 
 
-def row_number_within(df: DataFrame, group: list[str], order: list, rn_col: str = "rn",
-                      size_col: str | None = None, num_partitions: int | None = None
+def row_number_within(df: DataFrame, group: list[str], order: list[str], rn_col: str = "rn",
+                      size_col: str | None = None, num_buckets: int | None = None
                       ) -> DataFrame:
     """``row_number() over (partition by group order by order)`` (1-based), skew-safe.
 
@@ -64,9 +83,8 @@ def row_number_within(df: DataFrame, group: list[str], order: list, rn_col: str
     is an aggregate (partial aggregation, no skew) joined back on the group key (AQE splits
     a skewed join partition, and a small group table is broadcast at runtime).
     """
-    g = [F.col(c) for c in group]
-    pos = global_positions(df, g + list(order), pos_col="_gpos",
-                           num_partitions=num_partitions)
+    pos = global_positions(df, list(group) + list(order), pos_col="_gpos",
+                           num_buckets=num_buckets)
     aggs = [F.min("_gpos").alias("_start")]
     if size_col:
         aggs.append(F.count(F.lit(1)).alias(size_col))

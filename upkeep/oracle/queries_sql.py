@@ -99,3 +99,196 @@ SQL["interval_lists"] = with_fixtures(
     ["assets", "schedule"], LISTS,
     """SELECT kategori, sub_kategori, tipe, CAST(len(intervals) AS BIGINT) AS n_intervals,
               array_to_string(intervals, ',') AS intervals FROM lists""")
+
+
+# --- keyed random numbers in DuckDB (same digits as the Spark expressions) ------------------
+def u_sql(text: str) -> str:
+    return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496{D})"
+
+
+def key_sql(*parts: str, seed: int = 42) -> str:
+    return "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + f", '{seed}')"
+
+
+def gauss_sql(*parts: str, seed: int = 42) -> str:
+    k = key_sql(*parts, seed=seed)
+    return (f"(sqrt(-2{D} * ln(1{D} - {u_sql(k + chr(32) + '|| ' + repr('|g1'))}))"
+            f" * cos(6.283185307179586{D} * {u_sql(k + chr(32) + '|| ' + repr('|g2'))}))")
+
+
+def iso_sql(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d')"
+
+
+LIFE_BASE = [
+    ("dated", f"""SELECT *, {pdate('tanggal_pengerjaan')} AS tanggal FROM complaints
+                  WHERE {pdate('tanggal_pengerjaan')} IS NOT NULL"""),
+    ("repl", f"""SELECT id, tanggal_penggantian FROM (
+                   SELECT id, {pdate('tanggal_penggantian')} AS tanggal_penggantian,
+                          row_number() OVER (PARTITION BY id ORDER BY row_seq) AS rn
+                   FROM replacements WHERE {pdate('tanggal_penggantian')} IS NOT NULL)
+                 WHERE rn = 1"""),
+    ("sched1", """SELECT kategori, sub_kategori, tipe, frekuensi FROM (
+                    SELECT *, row_number() OVER (PARTITION BY kategori, sub_kategori, tipe
+                                                 ORDER BY row_seq) AS rn FROM schedule)
+                  WHERE rn = 1"""),
+    ("aparsed", f"""SELECT id, {pdate('tanggal_instalasi')} AS inst, kategori, sub_kategori, tipe,
+                           merek, tingkat_kekritisan FROM assets"""),
+]
+NS = ("{a}.kategori IS NOT DISTINCT FROM {b}.kategori AND {a}.sub_kategori IS NOT DISTINCT FROM "
+      "{b}.sub_kategori AND {a}.tipe IS NOT DISTINCT FROM {b}.tipe")
+HIST = LIFE_BASE + [
+    ("cbase", f"""SELECT d.*, a.inst, a.merek, a.tingkat_kekritisan, r.tanggal_penggantian,
+                         s.frekuensi
+                  FROM dated d LEFT JOIN aparsed a ON d.id = a.id JOIN repl r ON d.id = r.id
+                  LEFT JOIN sched1 s ON {NS.format(a='d', b='s')}"""),
+    ("rul", """SELECT *, datediff('day', tanggal, tanggal_penggantian) AS target_rul FROM cbase
+               WHERE datediff('day', tanggal, tanggal_penggantian) >= 0"""),
+    ("hist", f"""SELECT id, row_seq, tanggal, target_rul,
+            datediff('day', inst, tanggal) AS umur_saat_komplain,
+            row_number() OVER w AS total_komplain_historis,
+            coalesce(datediff('day', lag(tanggal) OVER w, tanggal),
+                     datediff('day', inst, tanggal)) AS jarak_servis_sebelumnya,
+            CAST({SEV_L} AS BIGINT) AS severity_num,
+            CAST(max({SEV_L}) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT)
+              AS max_severity_3,
+            biaya_perbaikan,
+            CASE WHEN datediff('day', inst, tanggal) + 1 = 0 THEN NULL
+                 ELSE biaya_perbaikan / (datediff('day', inst, tanggal) + 1) END AS cost_density,
+            kategori, sub_kategori, tipe, merek, tingkat_kekritisan, frekuensi
+          FROM rul WINDOW w AS (PARTITION BY id ORDER BY tanggal, row_seq)"""),
+    ("hsplit", """SELECT *, (row_number() OVER (ORDER BY tanggal, id, row_seq) - 1)
+                          < (count(*) OVER ()) * 4 // 5 AS is_train FROM hist"""),
+]
+LIFE_FIX = ["assets", "complaints", "schedule", "replacements"]
+
+SQL["rul_target"] = with_fixtures(LIFE_FIX, HIST, f"""
+SELECT id, row_seq, {iso_sql('tanggal')} AS tanggal,
+       {iso_sql('tanggal_penggantian')} AS tanggal_penggantian, target_rul FROM rul""")
+
+SQL["complaint_history_features"] = with_fixtures(LIFE_FIX, HIST, f"""
+SELECT * REPLACE ({iso_sql('tanggal')} AS tanggal) FROM hist""")
+
+_K = key_sql("id", "row_seq")
+SQL["penalty_target"] = with_fixtures(LIFE_FIX, HIST + [
+    ("pen", f"""SELECT id, row_seq,
+        CAST(2000 - umur_saat_komplain - severity_num * 150 - total_komplain_historis * 40
+             AS DOUBLE) AS base_rul,
+        CAST(floor({u_sql(_K)} * 13) + 1 AS BIGINT) AS floor_draw,
+        {gauss_sql('id', 'row_seq')} AS z FROM hist""")], """
+SELECT id, row_seq, base_rul, floor_draw,
+       abs(greatest(CAST(floor_draw AS DOUBLE), base_rul)) AS target_noise0,
+       round(abs(greatest(CAST(floor_draw AS DOUBLE), base_rul) + 10::DOUBLE * z), 6) AS target_keyed
+FROM pen""")
+
+SQL["time_split"] = with_fixtures(LIFE_FIX, HIST, f"""
+SELECT id, row_seq, {iso_sql('tanggal')} AS tanggal, is_train FROM hsplit""")
+
+_cols3 = ["umur_saat_komplain", "jarak_servis_sebelumnya", "cost_density"]
+_jit = ",\n".join(
+    f"round(abs(CAST({c} AS DOUBLE) + s_{i} * 0.03{D} * "
+    f"{gauss_sql('id', 'row_seq', 'copy', repr(c))}), 6) AS {c}"
+    for i, c in enumerate(_cols3))
+SQL["critical_oversample"] = with_fixtures(LIFE_FIX, HIST + [
+    ("train", "SELECT * FROM hsplit WHERE is_train"),
+    ("copied", "SELECT t.*, unnest([1, 2]) AS copy FROM train t WHERE target_rul <= 60"),
+    ("stds", "SELECT " + ", ".join(f"stddev_samp(CAST({c} AS DOUBLE)) AS s_{i}"
+                                    for i, c in enumerate(_cols3)) + " FROM copied"),
+], f"""
+SELECT id, row_seq, 0 AS copy, target_rul,
+       {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in _cols3)} FROM train
+UNION ALL
+SELECT id, row_seq, copy, target_rul, {_jit} FROM copied, stds""")
+
+ASSET = LIFE_BASE + [
+    ("gaps", """SELECT id, datediff('day', lag(tanggal) OVER (PARTITION BY id ORDER BY tanggal, row_seq),
+                                     tanggal) AS gap FROM dated"""),
+    ("gapmean", "SELECT id, avg(gap) AS gm FROM gaps GROUP BY id"),
+    ("roll", f"""SELECT id, count(tanggal) AS total_komplain, avg({SEV_L}) AS severity_mean,
+                        max({SEV_L}) AS severity_max, sum(biaya_perbaikan) AS biaya_total,
+                        avg(biaya_perbaikan) AS biaya_mean
+                 FROM dated WHERE id IS NOT NULL GROUP BY id"""),
+    ("lab0", f"""SELECT r.id, r.tanggal_penggantian, a.inst, a.kategori, a.sub_kategori, a.tipe,
+                        a.merek, a.tingkat_kekritisan, s.frekuensi,
+                        coalesce(ro.total_komplain, 0) AS total_komplain,
+                        coalesce(ro.severity_mean, 0) AS severity_mean,
+                        CAST(coalesce(ro.severity_max, 0) AS INTEGER) AS severity_max,
+                        coalesce(ro.biaya_total, 0) AS biaya_total,
+                        coalesce(ro.biaya_mean, 0) AS biaya_mean, g.gm
+                 FROM repl r JOIN aparsed a ON r.id = a.id
+                 LEFT JOIN sched1 s ON {NS.format(a='a', b='s')}
+                 LEFT JOIN roll ro ON r.id = ro.id LEFT JOIN gapmean g ON r.id = g.id"""),
+    ("lab", """SELECT * EXCLUDE (gm), coalesce(gm, (SELECT median(gm) FROM lab0))
+                 AS hari_antar_komplain_mean FROM lab0"""),
+    ("life", f"""SELECT *, abs(3000{D} - total_komplain * 80 - severity_max * 250
+                             - ln(1 + biaya_total) * 20) AS target_noise0,
+                        abs(3000{D} - total_komplain * 80 - severity_max * 250
+                             - ln(1 + biaya_total) * 20 + 30{D} * {gauss_sql('id')}) AS target_keyed
+                 FROM lab"""),
+    ("asplit", """SELECT *, target_noise0 AS target,
+                         (row_number() OVER (ORDER BY tanggal_penggantian, id) - 1)
+                           < (count(*) OVER ()) * 4 // 5 AS is_train FROM life"""),
+    ("tpred", """SELECT *, abs(predicted - actual) AS error FROM (
+                   SELECT *, round(target, 0) AS actual,
+                          round(2950::DOUBLE - total_komplain * 75 - severity_max * 240, 0) AS predicted
+                   FROM asplit WHERE NOT is_train)"""),
+]
+
+SQL["asset_rollup_full"] = with_fixtures(LIFE_FIX, ASSET, f"""
+SELECT id, {iso_sql('tanggal_penggantian')} AS tanggal_penggantian, kategori, sub_kategori, tipe,
+       merek, tingkat_kekritisan, frekuensi, total_komplain, round(severity_mean, 6) AS severity_mean,
+       severity_max, round(biaya_total, 6) AS biaya_total, round(biaya_mean, 6) AS biaya_mean,
+       round(hari_antar_komplain_mean, 6) AS hari_antar_komplain_mean,
+       round(ln(1 + biaya_total), 6) AS biaya_total_log, round(ln(1 + biaya_mean), 6) AS biaya_mean_log
+FROM lab""")
+
+SQL["lifespan_target"] = with_fixtures(LIFE_FIX, ASSET, """
+SELECT id, round(target_noise0, 6) AS target_noise0, round(target_keyed, 6) AS target_keyed FROM life""")
+
+_TE = ["kategori", "sub_kategori", "tipe", "merek", "tingkat_kekritisan", "frekuensi"]
+SQL["target_encoding"] = with_fixtures(LIFE_FIX, ASSET + [
+    ("tr", "SELECT * FROM asplit WHERE is_train"),
+    ("prior", "SELECT avg(target) AS prior FROM tr"),
+    ("st", "SELECT col, val, count(*) AS n, avg(target) AS mean FROM ("
+           + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS val, target FROM tr"
+                                for c in _TE) + ") GROUP BY col, val"),
+    ("enc", f"""SELECT col, val, CASE WHEN n = 1 THEN prior
+                  ELSE prior * (1{D} - w) + mean * w END AS enc
+                FROM (SELECT st.*, p.prior, 1{D} / (1{D} + exp(-(n - 20) / 10{D})) AS w
+                      FROM st, prior p)"""),
+], "SELECT s.id, s.is_train, " + ", ".join(
+    f"round(coalesce(e{i}.enc, (SELECT prior FROM prior)), 6) AS te_{c}" for i, c in enumerate(_TE))
+   + " FROM asplit s " + " ".join(
+    f"LEFT JOIN enc e{i} ON e{i}.col = '{c}' AND e{i}.val IS NOT DISTINCT FROM CAST(s.{c} AS VARCHAR)"
+    for i, c in enumerate(_TE)))
+
+SQL["worst_predictions"] = with_fixtures(LIFE_FIX, ASSET, """
+SELECT t.id, t.actual, t.predicted, t.error, a.kategori, a.sub_kategori, a.tipe, a.merek
+FROM (SELECT id, actual, predicted, error FROM tpred ORDER BY error DESC, id LIMIT 15) t
+LEFT JOIN assets a ON t.id = a.id""")
+
+SQL["type_slice_error"] = with_fixtures(LIFE_FIX, ASSET, """
+SELECT 'gear' AS tipe, count(*) AS n, round(avg(error), 6) AS mae FROM tpred
+WHERE id IN (SELECT id FROM assets WHERE tipe = 'gear')""")
+
+SQL["diverse_sample"] = with_fixtures(LIFE_FIX, ASSET + [
+    ("test", "SELECT * FROM asplit WHERE NOT is_train"),
+    ("firsts", """SELECT id, kategori, sub_kategori, tipe FROM (
+                    SELECT *, row_number() OVER (PARTITION BY kategori, sub_kategori, tipe
+                                                 ORDER BY tanggal_penggantian, id) AS rn FROM test)
+                  WHERE rn = 1"""),
+    ("cands", """SELECT id, kategori, sub_kategori, tipe, 'unique' AS pick FROM firsts
+                UNION ALL SELECT id, kategori, sub_kategori, tipe, 'topup' FROM test
+                WHERE id NOT IN (SELECT id FROM firsts)"""),
+], """SELECT id, kategori, sub_kategori, tipe, pick FROM cands
+      ORDER BY pick <> 'unique', md5(id || '|42') LIMIT 100""")
+
+SQL["regression_metrics"] = with_fixtures(LIFE_FIX, ASSET, f"""
+SELECT count(*) AS n, round(avg(abs(actual - predicted)), 6) AS mae,
+       round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
+       round(1{D} - sum((actual - predicted) * (actual - predicted)) / (count(*) * var_pop(actual)), 6) AS r2,
+       round(avg(abs(actual - predicted) / greatest(abs(actual), 2.220446049250313e-16{D})), 6) AS mape,
+       round(1{D} - var_pop(actual - predicted) / var_pop(actual), 6) AS explained_variance,
+       round(max(abs(actual - predicted)), 6) AS max_error,
+       round(median(abs(actual - predicted)), 6) AS medae
+FROM tpred""")

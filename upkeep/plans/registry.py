@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.plans import interval
+from upkeep.plans import interval, lifespan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interval_assignment": interval.interval_assignment,
@@ -15,4 +15,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schedule_fanout": interval.schedule_fanout,
     "schedule_first": interval.schedule_first,
     "interval_lists": interval.interval_lists,
+    "rul_target": lifespan.rul_target,
+    "complaint_history_features": lifespan.complaint_history_features,
+    "penalty_target": lifespan.penalty_target,
+    "time_split": lifespan.time_split_query,
+    "critical_oversample": lifespan.critical_oversample,
+    "asset_rollup_full": lifespan.asset_rollup_full,
+    "lifespan_target": lifespan.lifespan_target,
+    "target_encoding": lifespan.target_encoding,
+    "worst_predictions": lifespan.worst_predictions,
+    "type_slice_error": lifespan.type_slice_error,
+    "diverse_sample": lifespan.diverse_sample,
+    "regression_metrics": lifespan.regression_metrics,
 }
