@@ -45,6 +45,14 @@ def urgency(n, mean_sev, criticality, age_years) -> Column:
     return ((a + b) + c) + d
 
 
+def urgency_without_age(n, mean_sev, criticality) -> Column:
+    """The score with the age factor left out (a fixed alternative predictor)."""
+    a = F.least(F.col(n) / F.lit(10.0), F.lit(1.0)) * F.lit(0.30)
+    b = (F.col(mean_sev) / F.lit(4.0)) * F.lit(0.30)
+    c = value_map(criticality, CRITICALITY_WEIGHT, CRITICALITY_DEFAULT) * F.lit(0.20)
+    return (a + b) + c
+
+
 def pick_interval(intervals, u) -> Column:
     """idx = clamp(trunc((1-u)(k-1)), 0, k-1); no list -> null; one entry -> that one."""
     arr = F.col(intervals) if isinstance(intervals, str) else intervals

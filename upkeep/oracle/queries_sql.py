@@ -292,3 +292,85 @@ SELECT count(*) AS n, round(avg(abs(actual - predicted)), 6) AS mae,
        round(max(abs(actual - predicted)), 6) AS max_error,
        round(median(abs(actual - predicted)), 6) AS medae
 FROM tpred""")
+
+
+# --- profiles and interval encoders ----------------------------------------------------------
+FAN = COND + [("fan", """SELECT c.id, c.kategori, c.sub_kategori, c.tipe, c.tingkat_kekritisan,
+        c.jumlah_komplain, c.rata_severity, s.frekuensi FROM cond c JOIN schedule s
+        ON c.kategori IS NOT DISTINCT FROM s.kategori AND c.sub_kategori IS NOT DISTINCT FROM
+           s.sub_kategori AND c.tipe IS NOT DISTINCT FROM s.tipe WHERE s.frekuensi IS NOT NULL""")]
+INT_FIX = ["assets", "complaints", "schedule"]
+
+
+def _describe(col: str) -> str:
+    x = f"CAST({col} AS DOUBLE)"
+    return (f"SELECT '{col}' AS \"column\", count({x}) AS count, round(avg({x}), 6) AS mean, "
+            f"round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, "
+            f"round(quantile_cont({x}, 0.25), 6) AS q25, round(quantile_cont({x}, 0.5), 6) AS q50, "
+            f"round(quantile_cont({x}, 0.75), 6) AS q75, round(max({x}), 6) AS max FROM fan")
+
+
+SQL["severity_describe"] = with_fixtures(
+    INT_FIX, FAN, _describe("jumlah_komplain") + " UNION ALL " + _describe("rata_severity"))
+
+SQL["complaint_boxplot"] = with_fixtures(INT_FIX, FAN + [
+    ("lng", """SELECT frekuensi, 'jumlah_komplain' AS measure, CAST(jumlah_komplain AS DOUBLE) AS v
+               FROM fan UNION ALL SELECT frekuensi, 'rata_severity', rata_severity FROM fan"""),
+    ("qs", """SELECT frekuensi, measure, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+                     quantile_cont(v, 0.75) AS q3 FROM lng
+              WHERE frekuensi IS NOT NULL AND v IS NOT NULL GROUP BY ALL"""),
+], """SELECT q.frekuensi, q.measure, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(v) FILTER (WHERE v >= q1 - (q3 - q1) * 1.5), 6) AS whisker_lo,
+       round(max(v) FILTER (WHERE v <= q3 + (q3 - q1) * 1.5), 6) AS whisker_hi,
+       count(*) FILTER (WHERE v < q1 - (q3 - q1) * 1.5 OR v > q3 + (q3 - q1) * 1.5) AS n_outliers
+FROM lng l JOIN qs q ON l.frekuensi = q.frekuensi AND l.measure = q.measure
+WHERE l.v IS NOT NULL GROUP BY q.frekuensi, q.measure, q1, median, q3""")
+
+SQL["criticality_crosstab"] = with_fixtures(INT_FIX, FAN, "SELECT tingkat_kekritisan, " + ", ".join(
+    f"count(*) FILTER (WHERE frekuensi = '{v}') AS n_{v.lower().replace(' ', '_')}" for v in INTERVALS)
+    + " FROM fan WHERE tingkat_kekritisan IS NOT NULL AND frekuensi IS NOT NULL GROUP BY 1")
+
+_ASSET_COLS = ["id", "nama", "kategori", "sub_kategori", "tipe", "merek", "tingkat_kekritisan",
+               "tanggal_instalasi", "lokasi_gedung", "lokasi_lantai", "lokasi_zona", "row_seq"]
+SQL["table_profile"] = with_fixtures(["assets"], [], " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS \"column\", "
+    f"'{'bigint' if c == 'row_seq' else 'string'}' AS data_type, count({c}) AS non_null, "
+    f"count(*) AS n_rows FROM assets" for i, c in enumerate(_ASSET_COLS)))
+
+_LC = ["kategori", "sub_kategori", "tipe", "tingkat_kekritisan", "frekuensi"]
+SQL["label_encoding"] = with_fixtures(INT_FIX, ASSIGN, "SELECT id, " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'Unknown')) - 1 AS BIGINT) AS {c}_code"
+    for c in _LC) + " FROM assigned WHERE frekuensi IS NOT NULL")
+
+STRAT = ASSIGN + [("strat", """SELECT *, rn > (2 * nc + 5) // 10 AS is_train FROM (
+    SELECT *, row_number() OVER (PARTITION BY frekuensi ORDER BY md5(id || '|42'), id) AS rn,
+              count(*) OVER (PARTITION BY frekuensi) AS nc
+    FROM assigned WHERE frekuensi IS NOT NULL)""")]
+SQL["stratified_split"] = with_fixtures(INT_FIX, STRAT, "SELECT id, frekuensi, is_train FROM strat")
+
+SQL["classification_report"] = with_fixtures(INT_FIX, STRAT + [
+    ("p0", f"""SELECT id, intervals,
+        (least(jumlah_komplain / 10{D}, 1{D}) * 0.30{D} + (rata_severity / 4{D}) * 0.30{D})
+          + {CRIT_W} * 0.20{D} AS u0 FROM scored"""),
+    ("pred", """SELECT id, CASE WHEN intervals IS NULL OR len(intervals) = 0 THEN NULL
+             WHEN len(intervals) = 1 THEN intervals[1]
+             ELSE intervals[1 + least(greatest(CAST(trunc((1::DOUBLE - u0) * (len(intervals) - 1))
+                  AS INTEGER), 0), len(intervals) - 1)] END AS predicted FROM p0"""),
+    ("test", """SELECT s.frekuensi, p.predicted FROM strat s JOIN pred p ON s.id = p.id
+                WHERE NOT s.is_train"""),
+    ("per", """SELECT label, sum(support) AS support, sum(npred) AS npred, sum(tp) AS tp FROM (
+                 SELECT frekuensi AS label, 1 AS support, 0 AS npred,
+                        CASE WHEN frekuensi = predicted THEN 1 ELSE 0 END AS tp FROM test
+                 UNION ALL SELECT predicted, 0, 1, 0 FROM test) WHERE label IS NOT NULL GROUP BY label"""),
+    ("m", """SELECT label, support, tp, CASE WHEN npred = 0 THEN 0 ELSE tp / npred END AS precision,
+                    CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall FROM per"""),
+    ("m2", """SELECT *, CASE WHEN precision + recall = 0 THEN 0
+                            ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m"""),
+], """SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+          CAST(support AS BIGINT) AS support FROM m2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m2
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+          CAST(sum(support) AS BIGINT) FROM m2
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+          round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+          CAST(sum(support) AS BIGINT) FROM m2""")

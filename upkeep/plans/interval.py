@@ -22,13 +22,18 @@ def asset_conditions(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Da
                            age_years(as_of, parse_date("tanggal_instalasi")))
 
 
-def interval_assignment(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    """Flagship: one interval label per asset (null when its type has no schedule)."""
+def scored_assets(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    """Assets with their type's interval list and urgency score."""
     base = asset_conditions(spark, sf_dir, as_of)
     lists = iv.interval_lists(fx.schedule(spark, sf_dir))
     j = base.join(lists, iv.TYPE_KEYS, "left")  # J7: a dict probe; null keys never match
     u = iv.urgency("jumlah_komplain", "rata_severity", "tingkat_kekritisan", "umur_aset_tahun")
-    return (j.withColumn("urgency", u)
+    return j.withColumn("urgency", u)
+
+
+def interval_assignment(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    """Flagship: one interval label per asset (null when its type has no schedule)."""
+    return (scored_assets(spark, sf_dir, as_of)
             .select("id", "kategori", "sub_kategori", "tipe", "tingkat_kekritisan",
                     "jumlah_komplain", "rata_severity", "umur_aset_tahun", "urgency",
                     F.when(F.col("intervals").isNull(), F.lit(0)).otherwise(F.size("intervals"))
@@ -78,3 +83,63 @@ def interval_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = iv.interval_lists(fx.schedule(spark, sf_dir))
     return lists.select(*iv.TYPE_KEYS, F.size("intervals").cast("long").alias("n_intervals"),
                         F.array_join("intervals", ",").alias("intervals"))
+
+
+def profile_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptive script's table: assets with complaint rollup fanned out to every
+    allowed interval of their type."""
+    return schedule_fanout(spark, sf_dir)
+
+
+def severity_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upkeep.operators.profile import describe
+    return describe(profile_base(spark, sf_dir), ["jumlah_komplain", "rata_severity"])
+
+
+def complaint_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upkeep.operators.profile import boxplot_stats
+    return boxplot_stats(profile_base(spark, sf_dir), "frekuensi",
+                         ["jumlah_komplain", "rata_severity"])
+
+
+def criticality_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upkeep.operators.profile import crosstab
+    return crosstab(profile_base(spark, sf_dir), "tingkat_kekritisan", "frekuensi", fx.INTERVALS)
+
+
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upkeep.operators.profile import table_profile as prof
+    return prof(fx.assets(spark, sf_dir))
+
+
+LABEL_CAT_COLS = ["kategori", "sub_kategori", "tipe", "tingkat_kekritisan"]
+
+
+def label_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17 + F1: sorted-distinct codes of the four categorical features (missing ->
+    'Unknown') and of the label, fitted on the labelled assets."""
+    from upkeep.operators.encoding import apply_label_codes, fit_label_codes
+    lab = labelled_assets(spark, sf_dir)
+    codes = fit_label_codes(lab, LABEL_CAT_COLS + ["frekuensi"])
+    out = apply_label_codes(lab, codes, LABEL_CAT_COLS + ["frekuensi"])
+    return out.select("id", *[f"{c}_code" for c in LABEL_CAT_COLS + ["frekuensi"]])
+
+
+def interval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 80/20 split of the labelled assets by label."""
+    from upkeep.operators.splits import stratified_split
+    return stratified_split(labelled_assets(spark, sf_dir), "frekuensi", "id")
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval_split(spark, sf_dir).select("id", "frekuensi", "is_train")
+
+
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 on the test part, for a fixed predictor: the pick with the age factor left out."""
+    from upkeep.operators.evaluate import classification_report as report
+    s = scored_assets(spark, sf_dir)
+    u0 = iv.urgency_without_age("jumlah_komplain", "rata_severity", "tingkat_kekritisan")
+    s = s.select("id", iv.pick_interval("intervals", u0).alias("predicted"))
+    test = interval_split(spark, sf_dir).filter(~F.col("is_train")).join(s, "id")
+    return report(test, "frekuensi", "predicted")

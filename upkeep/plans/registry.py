@@ -15,6 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schedule_fanout": interval.schedule_fanout,
     "schedule_first": interval.schedule_first,
     "interval_lists": interval.interval_lists,
+    "severity_describe": interval.severity_describe,
+    "complaint_boxplot": interval.complaint_boxplot,
+    "criticality_crosstab": interval.criticality_crosstab,
+    "table_profile": interval.table_profile,
+    "label_encoding": interval.label_encoding,
+    "stratified_split": interval.stratified_split,
+    "classification_report": interval.classification_report,
     "rul_target": lifespan.rul_target,
     "complaint_history_features": lifespan.complaint_history_features,
     "penalty_target": lifespan.penalty_target,
