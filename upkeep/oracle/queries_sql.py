@@ -374,3 +374,98 @@ UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), r
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
           round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
           CAST(sum(support) AS BIGINT) FROM m2""")
+
+
+# --- tickets -----------------------------------------------------------------------------------
+from upkeep.plans.tickets import LEMMAS, LEXICON, STOP_WORDS, SYNONYMS  # noqa: E402
+
+WS = r"[\t\n\x0B\f\r ]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def collapse_sql(x: str) -> str:
+    return strip_sql(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(string_split_regex({strip_sql(x)}, '{WS}+'), lambda t: t <> '')"
+
+
+def word_map_sql(var: str, mapping: dict) -> str:
+    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(mapping.items()))
+    return f"CASE {var} {arms} ELSE {var} END"
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+TICK = [
+    ("trows", """SELECT * FROM tickets
+        WHERE NOT (teks_keluhan_awam IS NULL AND teks_laporan_teknisi IS NULL)
+          AND NOT contains(lower(coalesce(teks_keluhan_awam, 'nan')), 'teks_keluhan')
+          AND kategori_aset IS NOT NULL AND severity IS NOT NULL AND root_cause IS NOT NULL
+          AND tindakan IS NOT NULL"""),
+    ("tin", """SELECT *, coalesce(teks_keluhan_awam, 'nan') || ' ' || coalesce(teks_laporan_teknisi, 'nan')
+                 AS input_teks FROM trows"""),
+    ("tclean", f"""SELECT *, {collapse_sql(f"regexp_replace(lower(input_teks), '[^a-z{WS[1:-1]}]', '', 'g')")}
+                     AS clean_strict FROM tin"""),
+    ("tteks", f"""SELECT *, array_to_string(list_transform(list_filter({tokens_sql('clean_strict')},
+                     lambda t: NOT list_contains({_STOP}, t)), lambda t: {word_map_sql('t', LEMMAS)}), ' ')
+                     AS clean_teks FROM tclean"""),
+    ("tsplit", f"""SELECT *, {u_sql(key_sql('ticket_id'))} < 0.8{D} AS is_train FROM tteks"""),
+]
+_BASIC = f"regexp_replace(lower(input_teks), '[^a-z0-9{WS[1:-1]}]', ' ', 'g')"
+
+SQL["ticket_concat"] = with_fixtures(["tickets"], TICK, """
+SELECT ticket_id, input_teks, kategori_aset, severity, root_cause, tindakan FROM tin""")
+
+SQL["ticket_clean_basic"] = with_fixtures(["tickets"], TICK, f"""
+SELECT ticket_id, {strip_sql(_BASIC)} AS clean_basic, {collapse_sql(_BASIC)} AS clean_collapsed FROM tin""")
+
+SQL["ticket_clean_strict"] = with_fixtures(["tickets"], TICK, "SELECT ticket_id, clean_strict FROM tclean")
+
+SQL["ticket_stop_lemma"] = with_fixtures(["tickets"], TICK, "SELECT ticket_id, clean_teks FROM tteks")
+
+SQL["hash_split"] = with_fixtures(["tickets"], TICK, "SELECT ticket_id, is_train FROM tsplit")
+
+SQL["ticket_synonym_augment"] = with_fixtures(["tickets"], TICK, f"""
+SELECT ticket_id, 0 AS copy, clean_teks AS text, kategori_aset, severity, root_cause, tindakan
+FROM tsplit WHERE is_train
+UNION ALL
+SELECT ticket_id, 1, array_to_string(list_transform({tokens_sql('clean_teks')},
+                                                    lambda t: {word_map_sql('t', SYNONYMS)}), ' '),
+       kategori_aset, severity, root_cause, tindakan
+FROM tsplit WHERE is_train""")
+
+_TOKU = u_sql("concat_ws('|', CAST(ticket_id AS VARCHAR), CAST(i - 1 AS VARCHAR), '42')")
+SQL["ticket_partial_substitution"] = with_fixtures(["tickets"], TICK + [
+    ("tb", f"SELECT ticket_id, {collapse_sql(_BASIC)} AS basic FROM tsplit WHERE is_train")], f"""
+SELECT ticket_id, 0 AS copy, basic AS text FROM tb
+UNION ALL
+SELECT ticket_id, 1, array_to_string(list_transform({tokens_sql('basic')}, lambda t, i:
+         CASE WHEN {_TOKU} < 0.2{D} THEN {word_map_sql('t', LEXICON)} ELSE t END), ' ') FROM tb""")
+
+SQL["ticket_tfidf"] = with_fixtures(["tickets"], TICK + [
+    ("docs", f"""SELECT ticket_id AS doc, list_filter({tokens_sql('clean_teks')}, lambda t: length(t) >= 2)
+                  AS toks FROM tteks"""),
+    ("grams", """SELECT doc, list_concat(toks, list_transform(range(1, len(toks)),
+                   lambda i: toks[i] || ' ' || toks[i + 1])) AS g FROM docs"""),
+    ("tf", "SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(g) AS term FROM grams) GROUP BY ALL"),
+    ("pt", "SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term"),
+    ("vocab", "SELECT term, df FROM pt ORDER BY cf DESC, term LIMIT 2000"),
+    ("w", """SELECT tf.doc, tf.term,
+                    tf.tf * (ln((1 + (SELECT count(*) FROM docs)) / (1 + vocab.df)) + 1) AS w
+             FROM tf JOIN vocab ON tf.term = vocab.term"""),
+], "SELECT doc AS ticket_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS tfidf FROM w")
+
+_TG = ["kategori_aset", "severity", "root_cause", "tindakan"]
+SQL["exact_match"] = with_fixtures(["tickets"], TICK + [
+    ("tr", "SELECT * FROM tsplit WHERE is_train"),
+    ("te", "SELECT * FROM tsplit WHERE NOT is_train"),
+    ("maj", "SELECT " + ", ".join(
+        f"(SELECT {c} FROM tr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS m_{c}" for c in _TG)),
+], "SELECT count(*) AS n, round(avg(CASE WHEN " + " AND ".join(f"{c} = m_{c}" for c in _TG)
+   + f" THEN 1{D} ELSE 0{D} END), 6) AS exact_match, "
+   + ", ".join(f"round(avg(CASE WHEN {c} = m_{c} THEN 1{D} ELSE 0{D} END), 6) AS acc_{c}" for c in _TG)
+   + " FROM te, maj")

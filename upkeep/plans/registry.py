@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.plans import interval, lifespan
+from upkeep.plans import interval, lifespan, tickets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interval_assignment": interval.interval_assignment,
@@ -34,4 +34,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "type_slice_error": lifespan.type_slice_error,
     "diverse_sample": lifespan.diverse_sample,
     "regression_metrics": lifespan.regression_metrics,
+    "ticket_concat": tickets.ticket_concat,
+    "ticket_clean_basic": tickets.ticket_clean_basic,
+    "ticket_clean_strict": tickets.ticket_clean_strict,
+    "ticket_stop_lemma": tickets.ticket_stop_lemma,
+    "hash_split": tickets.hash_split_query,
+    "ticket_synonym_augment": tickets.ticket_synonym_augment,
+    "ticket_partial_substitution": tickets.ticket_partial_substitution,
+    "ticket_tfidf": tickets.ticket_tfidf,
+    "exact_match": tickets.exact_match,
 }
