@@ -95,16 +95,19 @@ def row_number_within(df: DataFrame, group: list[str], order: list[str], rn_col:
     return out.withColumn(rn_col, F.col("_gpos") - F.col("_start") + 1).drop("_gpos", "_start")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Keep-first row per key (``drop_duplicates(keep='first')`` in ``order_col`` order).
+def first_per_key(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
+    """Keep-first row per key (``drop_duplicates(keep='first')`` in ``order`` order).
 
-    One aggregate: ``min_by`` of the whole row by the order column.  Partial aggregation
+    One aggregate: ``min_by`` of the whole row by the order columns.  Partial aggregation
     keeps at most one row per key per task before the shuffle, so a hot key costs nothing
-    extra.  (``dropDuplicates`` is not deterministic about which row stays.)
+    extra.  (``dropDuplicates`` is not deterministic about which row stays.)  Missing key
+    values form their own group, as in pandas.
     """
+    order = [order] if isinstance(order, str) else list(order)
     others = [c for c in df.columns if c not in keys]
+    ord_col = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     packed = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_r"))
+        F.min_by(F.struct(*[F.col(c) for c in others]), ord_col).alias("_r"))
     return packed.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 

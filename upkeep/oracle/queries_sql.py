@@ -469,3 +469,159 @@ SQL["exact_match"] = with_fixtures(["tickets"], TICK + [
    + f" THEN 1{D} ELSE 0{D} END), 6) AS exact_match, "
    + ", ".join(f"round(avg(CASE WHEN {c} = m_{c} THEN 1{D} ELSE 0{D} END), 6) AS acc_{c}" for c in _TG)
    + " FROM te, maj")
+
+
+# --- corpus jobs -----------------------------------------------------------------------------
+_COMBO = ["kategori", "sub_kategori", "tipe", "merek", "lokasi_gedung", "lokasi_lantai", "lokasi_zona"]
+_CASE = ["kategori", "severity", "penyebab", "jenis_kerusakan"]
+
+
+def _cat_sql(table: str, cols: list[str], source: str) -> str:
+    inner = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS val FROM {table}" for c in cols)
+    return (f"SELECT '{source}' AS source, col AS \"column\", val AS value, count(*) AS n "
+            f"FROM ({inner}) WHERE val IS NOT NULL GROUP BY col, val")
+
+
+SQL["allowed_values"] = with_fixtures(["assets", "complaints"], [], _cat_sql(
+    "complaints", ["severity", "penyebab", "jenis_kerusakan"], "complaints") + " UNION ALL "
+    + _cat_sql("assets", _COMBO, "assets"))
+
+_COMBOS = ("combos0", "SELECT DISTINCT " + ", ".join(_COMBO) + " FROM assets WHERE "
+           + " AND ".join(f"{c} IS NOT NULL" for c in _COMBO))
+SQL["valid_combinations"] = with_fixtures(["assets"], [_COMBOS], "SELECT * FROM combos0")
+
+_CKEY = "concat_ws('|', " + ", ".join(f"coalesce(c.{c}, 'nan')" for c in _CASE) + ", '42')"
+QUEUE = [
+    _COMBOS,
+    ("cases", f"""SELECT {', '.join(_CASE)}, biaya_perbaikan FROM (
+        SELECT *, row_number() OVER (PARTITION BY {', '.join(_CASE)} ORDER BY id, row_seq) AS rn
+        FROM complaints) WHERE rn = 1"""),
+    ("combos", f"""SELECT *, row_number() OVER (PARTITION BY kategori ORDER BY {', '.join(_COMBO[1:])}) AS pick,
+                          count(*) OVER (PARTITION BY kategori) AS n_cat FROM combos0"""),
+    ("drawn", f"""SELECT c.*, CAST(floor({u_sql(_CKEY)} * n.n_cat) + 1 AS BIGINT) AS pick
+                  FROM cases c JOIN (SELECT DISTINCT kategori, n_cat FROM combos) n
+                  ON c.kategori = n.kategori"""),
+    ("queue", """SELECT d.kategori, k.tipe, k.merek, k.lokasi_gedung, k.lokasi_lantai, k.lokasi_zona,
+                        d.severity, d.penyebab, d.jenis_kerusakan, d.biaya_perbaikan
+                 FROM drawn d JOIN combos k ON d.kategori = k.kategori AND d.pick = k.pick"""),
+    ("remaining", """SELECT * FROM queue q WHERE NOT EXISTS (SELECT 1 FROM done_cases d
+        WHERE d.kategori_aset IS NOT DISTINCT FROM q.kategori AND d.severity IS NOT DISTINCT FROM q.severity
+          AND d.root_cause IS NOT DISTINCT FROM q.penyebab
+          AND d.jenis_kerusakan IS NOT DISTINCT FROM q.jenis_kerusakan)"""),
+]
+SQL["coverage_queue"] = with_fixtures(["assets", "complaints"], QUEUE[:-1], "SELECT * FROM queue")
+SQL["queue_remaining"] = with_fixtures(["assets", "complaints", "done_cases"], QUEUE,
+                                       "SELECT * FROM remaining")
+
+from upkeep.plans.corpus import PROMPT_TEMPLATE  # noqa: E402
+
+SQL["prompt_text"] = with_fixtures(["assets", "complaints", "done_cases"], QUEUE, f"""
+SELECT kategori, severity, penyebab, jenis_kerusakan,
+       printf('{PROMPT_TEMPLATE}', kategori, tipe, merek, lokasi_gedung, lokasi_lantai, lokasi_zona,
+              severity, penyebab, jenis_kerusakan,
+              CAST(CAST(round(biaya_perbaikan) AS BIGINT) AS VARCHAR)) AS prompt
+FROM remaining""")
+
+_V2 = ["teks_keluhan_awam", "teks_laporan_teknisi", "kategori_aset", "severity", "root_cause",
+       "jenis_kerusakan", "biaya_perbaikan"]
+_FENCED = strip_sql("replace(replace(response_text, '```csv', ''), '```', '')")
+RESP = [
+    ("txt", f"""SELECT batch_id, CASE WHEN starts_with(lower(t0), 'teks_keluhan')
+                     THEN array_to_string(string_split(t0, chr(10))[2:], chr(10)) ELSE t0 END AS t
+                FROM (SELECT batch_id, {_FENCED} AS t0 FROM responses)"""),
+    ("lines", """SELECT batch_id, unnest(string_split(t, chr(10))) AS line,
+                        unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no FROM txt"""),
+    ("kept", f"SELECT *, string_split(line, '|') AS f FROM lines WHERE {strip_sql('line')} <> ''"),
+    ("rrows", "SELECT batch_id, CAST(line_no AS BIGINT) AS line_no, CAST(len(f) AS BIGINT) AS n_fields, "
+              + ", ".join(f"f[{i + 1}] AS {c}" for i, c in enumerate(_V2)) + " FROM kept WHERE len(f) <= 7"),
+]
+SQL["response_rows"] = with_fixtures(["assets", "complaints", "responses"], RESP, """
+SELECT r.*, coalesce(r.severity IN (SELECT severity FROM complaints WHERE severity IS NOT NULL), false)
+       AS severity_known FROM rrows r""")
+
+SQL["ticket_read_bad_lines"] = with_fixtures(["responses"], RESP, """
+SELECT n_fields, count(*) AS n_rows, count(DISTINCT batch_id) AS n_batches FROM rrows GROUP BY 1""")
+
+SQL["delimiter_sniff"] = with_fixtures(["responses"], [], """
+SELECT batch_id, CASE WHEN contains(split_part(response_text, chr(10), 1), '|') THEN '|' ELSE ',' END AS sep
+FROM responses""")
+
+
+# --- reports --------------------------------------------------------------------------------
+from upkeep.functions.tagged import TAG_PATTERN  # noqa: E402
+from upkeep.functions.text import REPORT_CHARSET  # noqa: E402
+from upkeep.plans.reports import REPORT_TEMPLATE  # noqa: E402
+from upkeep.oracle.fixtures_sql import dots  # noqa: E402
+
+
+def clean_report_sql(x: str) -> str:
+    body = strip_sql(f"regexp_replace(regexp_replace({x}, '{WS}+', ' ', 'g'), '{REPORT_CHARSET}', '', 'g')")
+    return f"CASE WHEN {x} IS NULL THEN '' ELSE {body} END"
+
+
+TAGS = [
+    ("tp", f"""SELECT pair_id, linearized_data_input, narasi_laporan_output,
+                      regexp_extract_all(linearized_data_input, '{TAG_PATTERN}', 1) AS tags,
+                      regexp_extract_all(linearized_data_input, '{TAG_PATTERN}', 2) AS vals
+               FROM report_pairs"""),
+    ("perm", f"""SELECT pair_id, narasi_laporan_output,
+        CASE WHEN linearized_data_input IS NULL THEN NULL
+             WHEN len(tags) = 0 THEN linearized_data_input
+             ELSE array_to_string(list_transform(list_sort(list_transform(range(1, len(tags) + 1),
+                    lambda i: struct_pack(h := md5(concat_ws('|', tags[i], CAST(pair_id AS VARCHAR), '42')),
+                                          t := tags[i] || ' ' || {strip_sql('vals[i]')}))),
+                  lambda x: x.t), ' ') END AS permuted FROM tp"""),
+]
+SQL["tagged_parse"] = with_fixtures(["report_pairs"], TAGS, f"""
+SELECT pair_id, CAST(i - 1 AS BIGINT) AS pos, tags[i] AS tag, {strip_sql('vals[i]')} AS value
+FROM (SELECT pair_id, tags, vals, unnest(range(1, len(tags) + 1)) AS i FROM tp)""")
+
+SQL["tagged_permute"] = with_fixtures(["report_pairs"], TAGS, "SELECT pair_id, permuted FROM perm")
+
+SQL["report_pairs"] = with_fixtures(["report_pairs"], TAGS + [
+    ("aug", """SELECT DISTINCT linearized_data_input, narasi_laporan_output FROM (
+                 SELECT linearized_data_input, narasi_laporan_output FROM report_pairs
+                 UNION ALL SELECT permuted, narasi_laporan_output FROM perm)""")], f"""
+SELECT 'Buat laporan: ' || {clean_report_sql('linearized_data_input')} AS clean_input,
+       {clean_report_sql('narasi_laporan_output')} AS clean_output FROM aug""")
+
+
+def _ids_sql(col: str, pad: int) -> str:
+    return f"""(SELECT pair_id, count(*) AS n, list(coalesce(v.id, 2) ORDER BY pos) AS ids
+               FROM (SELECT pair_id, unnest({tokens_sql(col)}) AS token,
+                            unnest(range(len({tokens_sql(col)}))) AS pos FROM pp) t
+               LEFT JOIN vocab v ON t.token = v.token GROUP BY pair_id)"""
+
+
+def _pad_sql(ids: str, pad: int) -> str:
+    full = f"list_concat({ids}[1:127], [1])"
+    return f"array_to_string(list_concat({full}, list_transform(range(128 - len({full})), lambda i: {pad})), ',')"
+
+
+SQL["fixed_length_ids"] = with_fixtures(["report_pairs"], [
+    ("pp", f"""SELECT pair_id, 'Buat laporan: ' || {clean_report_sql('linearized_data_input')} AS src,
+                      {clean_report_sql('narasi_laporan_output')} AS tgt FROM report_pairs"""),
+    ("words", f"SELECT unnest(list_concat({tokens_sql('src')}, {tokens_sql('tgt')})) AS token FROM pp"),
+    ("vocab", """SELECT token, CAST(row_number() OVER (ORDER BY c DESC, token) + 2 AS INTEGER) AS id
+                 FROM (SELECT token, count(*) AS c FROM words GROUP BY token ORDER BY c DESC, token LIMIT 32000)"""),
+    ("si", _ids_sql("src", 0)),
+    ("ti", _ids_sql("tgt", -100)),
+], f"""SELECT si.pair_id, si.n AS n_input_tokens, {_pad_sql('si.ids', 0)} AS input_ids,
+              ti.n AS n_label_tokens, {_pad_sql('ti.ids', -100)} AS labels
+       FROM si JOIN ti ON si.pair_id = ti.pair_id""")
+
+_SEVW = "CASE severity_max WHEN 1 THEN 'Ringan' WHEN 2 THEN 'Sedang' WHEN 3 THEN 'Berat' WHEN 4 THEN 'Fatal' ELSE 'Tidak Ada' END"
+REP = ASSET + [("rep", f"""SELECT l.id, a.nama,
+        CAST(greatest(coalesce(round(2950{D} - total_komplain * 75 - severity_max * 240, 0)
+                                - datediff('day', l.inst, DATE '2002-01-01'),
+                               round(2950{D} - total_komplain * 75 - severity_max * 240, 0)), 1{D}) AS BIGINT)
+          AS days_left,
+        {_SEVW} AS severity_word, CAST(round(biaya_mean) AS BIGINT) AS money
+        FROM lab l LEFT JOIN assets a ON l.id = a.id""")]
+SQL["linearize_asset"] = with_fixtures(LIFE_FIX, REP, f"""
+SELECT id, '[MESIN] ' || nama || ' [STATUS] Prediksi Rusak ' || CAST(days_left AS VARCHAR)
+           || ' Hari [SEVERITY] ' || severity_word || ' [ESTIMASI_BIAYA] Rp ' || {dots('money')}
+           AS linearized_data_input FROM rep""")
+SQL["asset_report_text"] = with_fixtures(LIFE_FIX, REP, f"""
+SELECT id, printf('{REPORT_TEMPLATE}', nama, CAST(days_left AS VARCHAR), severity_word, {dots('money')})
+       AS report FROM rep""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.plans import interval, lifespan, tickets
+from upkeep.plans import corpus, interval, lifespan, reports, tickets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interval_assignment": interval.interval_assignment,
@@ -43,4 +43,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ticket_partial_substitution": tickets.ticket_partial_substitution,
     "ticket_tfidf": tickets.ticket_tfidf,
     "exact_match": tickets.exact_match,
+    "allowed_values": corpus.allowed_values,
+    "valid_combinations": corpus.valid_combinations,
+    "coverage_queue": corpus.coverage_queue,
+    "queue_remaining": corpus.queue_remaining,
+    "response_rows": corpus.response_rows,
+    "prompt_text": corpus.prompt_text,
+    "delimiter_sniff": corpus.delimiter_sniff,
+    "ticket_read_bad_lines": corpus.ticket_read_bad_lines,
+    "tagged_parse": reports.tagged_parse,
+    "tagged_permute": reports.tagged_permute,
+    "linearize_asset": reports.linearize_asset,
+    "report_pairs": reports.report_pairs,
+    "fixed_length_ids": reports.fixed_length_ids,
+    "asset_report_text": reports.asset_report_text,
 }
