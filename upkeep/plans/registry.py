@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.plans import corpus, interval, lifespan, reports, tickets
+from upkeep.plans import corpus, interval, lifespan, models, reports, tickets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interval_assignment": interval.interval_assignment,
@@ -57,4 +57,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_pairs": reports.report_pairs,
     "fixed_length_ids": reports.fixed_length_ids,
     "asset_report_text": reports.asset_report_text,
+    # model training (checked on row counts only)
+    "interval_model": models.interval_model,
+    "interval_feature_importance": models.interval_feature_importance,
+    "lifespan_model": models.lifespan_model,
+    "ticket_model": models.ticket_model,
+    "ticket_grid": models.ticket_grid,
+    "vector_model": models.vector_model,
 }
