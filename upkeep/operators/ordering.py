@@ -43,7 +43,7 @@ def global_positions(df: DataFrame, order: list[str], pos_col: str = "pos",
     picks = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
                         lambda i: F.element_at("_s", (i * F.size("_s") / F.lit(n)).cast("int") + 1))
     # The bounds (at most n-1 keys) are the only data brought to the driver.
-    row = sample.agg(srt.alias("_s")).select(
+    row = [] if n <= 1 else sample.agg(srt.alias("_s")).select(
         F.when(F.size("_s") == 0, F.array_except("_s", "_s")).otherwise(picks).alias("b")
     ).collect()[0]["b"]
     types = {c: df.schema[c].dataType for c in order}

@@ -35,12 +35,13 @@ def value_map(c, mapping: dict, default) -> Column:
     return F.coalesce(m[c], F.lit(default))
 
 
-def severity_num(c, preset: str) -> Column:
-    mapping, default = SEVERITY_PRESETS[preset]
+def severity_num(c, preset) -> Column:
+    """``preset``: a preset name ('interval', 'lifespan') or a (mapping, default) pair."""
+    mapping, default = SEVERITY_PRESETS[preset] if isinstance(preset, str) else preset
     return value_map(c, mapping, default)
 
 
-def complaint_counts(complaints: DataFrame, preset: str = "interval") -> DataFrame:
+def complaint_counts(complaints: DataFrame, preset="interval") -> DataFrame:
     """A1: per asset, number of complaints and mean severity (null asset ids dropped, as
     pandas ``groupby`` does)."""
     return (complaints.filter(F.col("id").isNotNull())

@@ -14,26 +14,30 @@ from upkeep.sources import fixtures as fx
 AS_OF = "2002-01-01"  # replaces the wall clock of the reference, so results are repeatable
 
 
-def asset_conditions(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    """Assets with complaint count, mean severity (interval vocabulary) and age."""
+def asset_conditions(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
+                     severity="interval") -> DataFrame:
+    """Assets with complaint count, mean severity and age.  ``severity`` is the severity
+    vocabulary: the interval classifier's preset (default 2) or a (mapping, default)."""
     a = fx.assets(spark, sf_dir)
-    base = attach_counts(a, complaint_counts(fx.complaints(spark, sf_dir), "interval"))
+    base = attach_counts(a, complaint_counts(fx.complaints(spark, sf_dir), severity))
     return base.withColumn("umur_aset_tahun",
                            age_years(as_of, parse_date("tanggal_instalasi")))
 
 
-def scored_assets(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def scored_assets(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
+                  severity="interval") -> DataFrame:
     """Assets with their type's interval list and urgency score."""
-    base = asset_conditions(spark, sf_dir, as_of)
+    base = asset_conditions(spark, sf_dir, as_of, severity)
     lists = iv.interval_lists(fx.schedule(spark, sf_dir))
     j = base.join(lists, iv.TYPE_KEYS, "left")  # J7: a dict probe; null keys never match
     u = iv.urgency("jumlah_komplain", "rata_severity", "tingkat_kekritisan", "umur_aset_tahun")
     return j.withColumn("urgency", u)
 
 
-def interval_assignment(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def interval_assignment(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
+                        severity="interval") -> DataFrame:
     """Flagship: one interval label per asset (null when its type has no schedule)."""
-    return (scored_assets(spark, sf_dir, as_of)
+    return (scored_assets(spark, sf_dir, as_of, severity)
             .select("id", "kategori", "sub_kategori", "tipe", "tingkat_kekritisan",
                     "jumlah_komplain", "rata_severity", "umur_aset_tahun", "urgency",
                     F.when(F.col("intervals").isNull(), F.lit(0)).otherwise(F.size("intervals"))
