@@ -25,10 +25,12 @@ def _long_form(df: DataFrame, cols: list[str], keep: list[str], missing: str | N
 
 def fit_label_codes(df: DataFrame, cols: list[str], missing: str = "Unknown") -> DataFrame:
     """LabelEncoder: per column the sorted distinct values get codes 0..n-1 (missing values
-    are first replaced by ``missing``).  Result: (column, value, code)."""
+    are first replaced by ``missing``).  Result: (column, value, code), materialised (a
+    fitted encoder with one row per category)."""
+    from upkeep.session import materialize
     distinct = _long_form(df, cols, [], missing).distinct()
     w = Window.partitionBy("column").orderBy("value")  # one row per category: small
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
+    return materialize(distinct.withColumn("code", (F.row_number().over(w) - 1).cast("long")))
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str],
@@ -62,14 +64,18 @@ def fit_target_encoding(train: DataFrame, cols: list[str], target: str,
     Result: (column, value, n, mean, enc) plus one row per column with value null and
     ``is_prior`` for unseen categories.
     """
-    prior = train.select(F.avg(target)).scalar()
+    from upkeep.session import materialize
+    # the prior is one number: computed once and passed as a literal
+    prior = F.lit(train.select(F.avg(target).cast("double")).first()[0]).cast("double")
     long = _long_form(train.filter(F.col(target).isNotNull()), cols, [target], None)
     stats = long.groupBy("column", "value").agg(F.count(target).alias("n"),
                                                 F.avg(target).alias("mean"))
     w = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n") - F.lit(min_samples_leaf))
                                          / F.lit(float(smoothing))))
     enc = F.when(F.col("n") == 1, prior).otherwise(prior * (F.lit(1.0) - w) + F.col("mean") * w)
-    return stats.withColumns({"enc": enc, "prior": prior})
+    # the fitted encoder (one row per category) is cut from its lineage: every column's
+    # join reads it instead of recomputing the training aggregate
+    return materialize(stats.withColumns({"enc": enc, "prior": prior}))
 
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, cols: list[str],
@@ -83,6 +89,7 @@ def apply_target_encoding(df: DataFrame, enc: DataFrame, cols: list[str],
             F.col("prior").alias(f"_prior_{c}"))
         out = (out.join(m, F.col(c).cast("string").eqNullSafe(F.col(f"_v_{c}")), "left")
                .drop(f"_v_{c}", f"_prior_{c}"))
-    prior = enc.select(F.first("prior")).scalar()
+    prior_row = enc.select(F.first("prior")).first()
+    prior = F.lit(prior_row[0] if prior_row else None).cast("double")
     return out.withColumns(
         {f"{prefix}{c}": F.coalesce(F.col(f"{prefix}{c}"), prior) for c in cols})

@@ -21,6 +21,7 @@ from upkeep.operators.ordering import first_per_key, null_safe_on
 from upkeep.operators.rollup import asset_rollup, severity_num
 from upkeep.operators.splits import time_split
 from upkeep.operators.stats import quantile_scalar
+from upkeep.session import materialize
 from upkeep.sources import fixtures as fx
 
 SEED = 42
@@ -126,7 +127,7 @@ def penalty_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def complaint_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global time-ordered 80/20 split of the complaint features (ties by id, seq)."""
-    h = history_rows(spark, sf_dir)
+    h = materialize(history_rows(spark, sf_dir))  # read by the bounds sample and the split
     return time_split(h, ["tanggal", "id", "row_seq"])
 
 
@@ -142,7 +143,8 @@ def critical_oversample(spark: SparkSession, sf_dir: str, threshold: int = 60,
     3% Gaussian jitter on three columns (noise std measured on the copied rows, as the
     reference does), absolute values; union with the training rows.  One pass: each
     critical row explodes into its copies."""
-    train = complaint_time_split(spark, sf_dir).filter("is_train")
+    # the split is read by the originals, the copies and three std aggregates
+    train = materialize(complaint_time_split(spark, sf_dir)).filter("is_train")
     cols = ["umur_saat_komplain", "jarak_servis_sebelumnya", "cost_density"]
     crit = train.filter(F.col("target_rul") <= threshold)
     copied = crit.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
@@ -173,6 +175,8 @@ def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> Da
     lab = lab.join(roll, "id", "left").fillna(
         0, subset=["total_komplain", "severity_max"]).fillna(
         0.0, subset=["severity_mean", "biaya_total", "biaya_mean"])
+    # the asset feature table feeds the median, the split and every consumer after it
+    lab = materialize(lab)
     med = quantile_scalar(lab, "hari_antar_komplain_mean", 0.5, ["id"])
     return lab.withColumns({
         "hari_antar_komplain_mean": F.coalesce(F.col("hari_antar_komplain_mean"), med),
@@ -209,7 +213,8 @@ def asset_split(spark: SparkSession, sf_dir: str, noise_scale: float = 0.0) -> D
     """Labelled assets with the formula target, split 80/20 by replacement date."""
     t = lifespan_columns(labelled_assets(spark, sf_dir), noise_scale=noise_scale)
     t = t.withColumn("target", F.col("target_keyed"))
-    return time_split(t, ["tanggal_penggantian", "id"])
+    # fitting, encoding and reports all read the split: materialise it once
+    return materialize(time_split(t, ["tanggal_penggantian", "id"]))
 
 
 def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

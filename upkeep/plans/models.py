@@ -133,7 +133,7 @@ def lifespan_model(spark: SparkSession, sf_dir: str, num_trees: int = 250,
     noise), 'sqrt' features, min split 6 -> 3 rows per node; metrics in days on the
     time-ordered test part."""
     from upkeep.operators.encoding import apply_target_encoding, fit_target_encoding
-    s = materialize(ls.asset_split(spark, sf_dir, noise_scale=30.0))
+    s = ls.asset_split(spark, sf_dir, noise_scale=30.0)
     enc = fit_target_encoding(s.filter("is_train"), ls.CAT_COLS, "target")
     d = materialize(apply_target_encoding(s, enc, ls.CAT_COLS)
                     .withColumn("label", F.log1p("target")))

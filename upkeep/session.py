@@ -8,6 +8,7 @@ and only when it is unset.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,12 +66,18 @@ def ensure_test_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
-
-    Survives executor loss (the data is in the shared folder, not on executors).  When the
-    session names no folder the plan is returned unchanged rather than written to a
-    machine-local place.
+    """Cut lineage by writing the rows as a Parquet table in the shared checkpoint folder
+    and reading them back.
+
+    One job computes the rows once (``Dataset.checkpoint`` would compute them twice: once
+    to count, once to write); the files survive a lost executor because they live in the
+    cluster's shared folder; the read-back plan gets Parquet column pruning and row-count
+    statistics (so AQE can size joins against it).  When the session names no folder the
+    plan is returned unchanged rather than written to a machine-local place.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+    base = checkpoint_dir(df.sparkSession)
+    if not base:
+        return df
+    path = os.path.join(base, "upkeep-tables", uuid.uuid4().hex)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
