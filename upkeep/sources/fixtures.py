@@ -45,6 +45,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a heavy per-row stage (whole-text regexes) all cores when the scan itself
+    yields fewer splits than the session's parallelism (a single-row-group file is one
+    split).  A large input already has at least that many splits and is left as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def _pick(values: list, idx: Column) -> Column:
     """0-based lookup into a constant list (null for a None entry)."""
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), idx + 1)
@@ -141,7 +151,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket table (v1 shape).  The complaint text is the document's first line and the
     technician text is the rest of the document, so the two fields together hold the
     whole text."""
-    d = _read(spark, sf_dir, "documents")
+    d = spread(_read(spark, sf_dir, "documents"))
     lab = _read(spark, sf_dir, "labels")
     did = F.col("doc_id")
     first = F.substring_index("text", "\n", 1)
