@@ -75,7 +75,8 @@ def complaint_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rul_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5 + P5: real remaining life = replacement - work date in days, kept when >= 0."""
     b = complaint_base(spark, sf_dir)
-    return (b.withColumn("target_rul", F.datediff("tanggal_penggantian", "tanggal"))
+    return (b.withColumn("target_rul",
+                         F.datediff("tanggal_penggantian", "tanggal").cast("long"))
             .filter(F.col("target_rul") >= 0))
 
 
@@ -87,14 +88,15 @@ def rul_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """complaint-level features over the RUL rows (one chunked window pass)."""
-    r = rul_rows(spark, sf_dir).withColumn("severity_num", severity_num("severity", "lifespan"))
+    r = rul_rows(spark, sf_dir).withColumn("severity_num",
+                                           severity_num("severity", "lifespan").cast("long"))
     h = history_features(r, key="id", date="tanggal", seq="row_seq", sev="severity_num")
-    umur = F.datediff("tanggal", "tanggal_instalasi")
+    umur = F.datediff("tanggal", "tanggal_instalasi").cast("long")
     return h.select(
         "id", "row_seq", "tanggal", "target_rul",
         umur.alias("umur_saat_komplain"),
         F.col("running_number").alias("total_komplain_historis"),
-        F.coalesce(F.col("gap_days"), umur).alias("jarak_servis_sebelumnya"),
+        F.coalesce(F.col("gap_days").cast("long"), umur).alias("jarak_servis_sebelumnya"),
         "severity_num",
         F.col("max_sev_3").alias("max_severity_3"),
         "biaya_perbaikan",

@@ -38,6 +38,8 @@ SEED = 42
 # Tree training: a larger node batch per pass over the data (fewer passes per level) and
 # node ids cached with the rows instead of re-walking every tree each pass.
 TREE_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
+# Many small forests at once (grid search): node-id caching would checkpoint each of them.
+GRID_TREE_OPTS = {"maxMemoryInMB": 256}
 
 # ---- M1 / M5: interval classifier --------------------------------------------------------
 INTERVAL_NUMERIC = ["jumlah_komplain", "rata_severity", "umur_aset_tahun"]
@@ -188,13 +190,14 @@ def fit_tfidf(train: DataFrame, max_features: int = 2000) -> PipelineModel:
     return PipelineModel(stages=list(front.stages) + [scale, norm])
 
 
-def _fit_target(feats: DataFrame, target: str, num_trees: int, max_depth: int):
+def _fit_target(feats: DataFrame, target: str, num_trees: int, max_depth: int,
+                opts: dict | None = None):
     idx = StringIndexer(inputCol=target, outputCol=f"y_{target}", handleInvalid="keep",
                         stringOrderType="alphabetAsc").fit(feats)
     rf = RandomForestClassifier(labelCol=f"y_{target}", featuresCol="features",
                                 predictionCol=f"p_{target}", rawPredictionCol=f"raw_{target}",
                                 probabilityCol=f"prob_{target}", numTrees=num_trees,
-                                maxDepth=max_depth, seed=SEED, **TREE_OPTS)
+                                maxDepth=max_depth, seed=SEED, **(opts or TREE_OPTS))
     return idx, rf.fit(idx.transform(feats))
 
 
@@ -254,7 +257,7 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
 
             def fit_one(job, feats=feats):
                 n, d, t = job
-                return job, _fit_target(feats, t, n, d)
+                return job, _fit_target(feats, t, n, d, GRID_TREE_OPTS)
 
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
                 fitted = dict(pool.map(fit_one, jobs))
