@@ -199,3 +199,14 @@ def test_sinks_append_and_probe(spark, tmpdir_path):
     runs = os.path.join(tmpdir_path, "runs")
     log_run(spark, runs, "exp", "r1", {"trees": 10}, {"acc": 0.5})
     assert table_or_empty(spark, runs, RUN_SCHEMA).count() == 2
+
+
+def test_sampled_bounds_fallback_positions(spark):
+    """Fallback used when no checkpoint folder is configured: same positions."""
+    from upkeep.operators.ordering import _positions_by_sampled_bounds
+    df = spark.range(0, 3000).withColumn("g", F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10))
+    for n in (1, 5):
+        p = _positions_by_sampled_bounds(df, ["g", "id"], n, 32).select(
+            "g", "id", (F.col("_off") + F.col("_rn") - 1).alias("pos"))
+        exp = df.select("g", "id", (F.row_number().over(Window.orderBy("g", "id")) - 1).alias("pos"))
+        assert p.exceptAll(exp).count() == 0

@@ -1,20 +1,20 @@
 """Positions in a total order without a single-partition window.
 
 ``row_number()`` over a window with no partition key, or with a key that may hold a third
-of all rows, runs in one task.  Here rows are cut into ``num_buckets`` contiguous ranges of
-the (unique) order key and numbered inside their range:
-
-1. bucket bounds = quantiles of a keyed bottom-k sample of the order key (the k rows with
-   the smallest hash: a uniform sample of bounded size, found with a bounded top-k); only
-   these n-1 bound keys are collected to the driver;
-2. a row's bucket = number of bounds <= its key - a pure function of the row, so every
-   branch of the plan and every retry after a lost executor sees the same buckets (Spark's
-   own range partitioner samples with a seed tied to the RDD id, so two evaluations can
-   disagree);
-3. position = rows in earlier buckets (an aggregate with one row per bucket, a proven
-   bound, broadcast) + row number inside the bucket (a window partitioned by bucket).
-
-Even one hot group is spread over many buckets because the order key is unique.
+of all rows, runs in one task.  Here positions come from a distributed sort: rows are
+range-partitioned on the (unique) order key - Spark samples the key, so even one hot group
+is cut across many partitions - and numbered inside their partition; a row's position is
+its number plus the row count of all earlier partitions (an aggregate with one row per
+partition, a proven bound, broadcast).
+
+Consistency: the counts and the numbered rows must describe the same partitioning.  Spark's
+range partitioner samples with a seed tied to the RDD id, so two evaluations of the same
+plan can cut differently.  The ranged rows are therefore written once, with their
+partition-local numbers, to the shared checkpoint folder (``session.materialize``) and both
+consumers read that one result; a retried task re-reads the same shuffle partition and
+numbers it identically (the order key is unique).  Without a checkpoint folder a fallback
+derives bucket bounds from a keyed bottom-k sample (a pure function of the data, checked by
+comparison against each bound - meant for small local runs).
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from upkeep.session import checkpoint_dir, materialize
+
+_LOW33 = (1 << 33) - 1
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -29,6 +33,16 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _offsets(counts: DataFrame, key: str) -> DataFrame:
+    w = Window.orderBy(key)  # one row per partition/bucket only
+    return counts.select(
+        key,
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding,
+                                       Window.unboundedFollowing)).alias("_total"))
+
+
 def global_positions(df: DataFrame, order: list[str], pos_col: str = "pos",
                      total_col: str | None = None, num_buckets: int | None = None,
                      sample_per_bucket: int = 32) -> DataFrame:
@@ -36,6 +50,25 @@ def global_positions(df: DataFrame, order: list[str], pos_col: str = "pos",
     forming a total order, unique per row).  ``total_col`` optionally carries the row
     count."""
     n = _partitions(df, num_buckets)
+    cols = [F.col(c) for c in order]
+    if checkpoint_dir(df.sparkSession):
+        ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+        # partition id in the upper bits, record number in sorted order in the lower 33
+        tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+        tagged = tagged.withColumns({"_bk": F.shiftright("_mid", 33),
+                                     "_rn": F.col("_mid").bitwiseAND(F.lit(_LOW33)) + 1})
+        counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+        out = tagged.join(F.broadcast(_offsets(counts, "_bk")), "_bk").drop("_mid")
+    else:
+        out = _positions_by_sampled_bounds(df, order, n, sample_per_bucket)
+    out = out.withColumn(pos_col, F.col("_off") + F.col("_rn") - 1)
+    if total_col:
+        out = out.withColumn(total_col, F.col("_total"))
+    return out.drop("_bk", "_rn", "_off", "_total")
+
+
+def _positions_by_sampled_bounds(df: DataFrame, order: list[str], n: int,
+                                 sample_per_bucket: int) -> DataFrame:
     key = F.struct(*[F.col(c) for c in order])
     sample = (df.select(key.alias("_k"), F.xxhash64(*[F.col(c) for c in order]).alias("_h"))
               .orderBy("_h", "_k").limit(n * sample_per_bucket))
@@ -58,20 +91,9 @@ def global_positions(df: DataFrame, order: list[str], pos_col: str = "pos",
     bucket = sum((F.when(lb <= key, 1).otherwise(0) for lb in lits), F.lit(0))
     b = df.withColumn("_bk", bucket)
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_bk")  # one row per bucket only
-    offsets = counts.select(
-        "_bk",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding,
-                                       Window.unboundedFollowing)).alias("_total"))
     wb = Window.partitionBy("_bk").orderBy(*[F.col(c) for c in order])
-    out = (b.withColumn("_rn", F.row_number().over(wb))
-           .join(F.broadcast(offsets), "_bk")
-           .withColumn(pos_col, F.col("_off") + F.col("_rn") - 1))
-    if total_col:
-        out = out.withColumn(total_col, F.col("_total"))
-    return out.drop("_bk", "_rn", "_off", "_total")
+    return (b.withColumn("_rn", F.row_number().over(wb))
+            .join(F.broadcast(_offsets(counts, "_bk")), "_bk"))
 
 
 def row_number_within(df: DataFrame, group: list[str], order: list[str], rn_col: str = "rn",
