@@ -46,11 +46,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a heavy per-row stage (whole-text regexes) all cores when the scan itself
-    yields fewer splits than the session's parallelism (a single-row-group file is one
-    split).  A large input already has at least that many splits and is left as it is."""
+    """Give a heavy per-row stage (whole-text regexes, tree levels) all cores when the
+    input is fewer files than the session's parallelism (a small file is typically one
+    split).  A large input has many files and is left as it is, without a shuffle."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if len(df.inputFiles()) < want:
         return df.repartition(want)
     return df
 
