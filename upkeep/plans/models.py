@@ -245,32 +245,35 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
          .withColumn("fold", F.floor(keyed.uniform("ticket_id", F.lit("fold"), seed=SEED)
                                      * folds).cast("int"))
     s = materialize(s)
-    results = []
+    # feature sets per (fold, vocabulary size), then every forest of the grid in one
+    # bounded pool (no group waits for its slowest forest)
+    sets = {}
     for f in range(folds):
         tr, va = s.filter(F.col("fold") != f), s.filter(F.col("fold") == f)
         for v in vocab_sizes:
             vec = fit_tfidf(tr, v)
-            feats = materialize(vec.transform(tr).select("features", *tk.TARGETS))
-            vfeats = materialize(vec.transform(va).select("features", *tk.TARGETS))
-            # every (trees, depth, target) forest of this fold and vocabulary at once
-            jobs = [(n, d, t) for n in tree_counts for d in depths for t in tk.TARGETS]
-
-            def fit_one(job, feats=feats):
-                n, d, t = job
-                return job, _fit_target(feats, t, n, d, GRID_TREE_OPTS)
-
-            with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                fitted = dict(pool.map(fit_one, jobs))
-            for n in tree_counts:
-                for d in depths:
-                    p = vfeats
-                    for t in tk.TARGETS:
-                        idx, m = fitted[(n, d, t)]
-                        p = IndexToString(inputCol=f"p_{t}", outputCol=f"pred_{t}",
-                                          labels=idx.labels + ["__unseen__"]).transform(m.transform(p))
-                    em = exact_match_report(p, [(t, f"pred_{t}") for t in tk.TARGETS]).first()
-                    results.append((v, n, d, f, float(em["exact_match"] or 0.0)))
-    s.unpersist()
+            sets[(f, v)] = (materialize(vec.transform(tr).select("features", *tk.TARGETS)),
+                            materialize(vec.transform(va).select("features", *tk.TARGETS)))
+    jobs = [(f, v, n, d, t) for (f, v) in sets for n in tree_counts for d in depths
+            for t in tk.TARGETS]
+
+    def fit_one(job):
+        f, v, n, d, t = job
+        return job, _fit_target(sets[(f, v)][0], t, n, d, GRID_TREE_OPTS)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        fitted = dict(pool.map(fit_one, jobs))
+    results = []
+    for (f, v) in sets:
+        for n in tree_counts:
+            for d in depths:
+                p = sets[(f, v)][1]
+                for t in tk.TARGETS:
+                    idx, m = fitted[(f, v, n, d, t)]
+                    p = IndexToString(inputCol=f"p_{t}", outputCol=f"pred_{t}",
+                                      labels=idx.labels + ["__unseen__"]).transform(m.transform(p))
+                em = exact_match_report(p, [(t, f"pred_{t}") for t in tk.TARGETS]).first()
+                results.append((v, n, d, f, float(em["exact_match"] or 0.0)))
     res = spark.createDataFrame(results, "max_features int, num_trees int, max_depth int, "
                                          "fold int, exact_match double")
     return res.groupBy("max_features", "num_trees", "max_depth").agg(
