@@ -64,3 +64,20 @@ def test_stream_appends_each_file_once(spark, tmpdir_path):
     n2 = spark.read.parquet(sink).count()
     start_append(spark, raw, sink, ck).awaitTermination()  # nothing new: nothing appended
     assert 0 < n1 < n2 == spark.read.parquet(sink).count()
+
+
+def test_tfidf_ml_form_equals_relational_form(spark):
+    """the ML pipeline (counts x (Spark idf + 1), L2) gives the relational weights when
+    the vocabulary holds every term (no frequency ties at a cutoff)."""
+    from pyspark.ml.functions import vector_to_array
+    from upkeep.operators.tfidf import tfidf_long
+    from upkeep.plans import models, tickets
+    rows = tickets.with_input(tickets.ticket_rows(spark, SF_SMALL))
+    rel = tfidf_long(tickets.clean_teks(rows), "ticket_id", "clean_teks", max_features=1 << 20)
+    vec = models.fit_tfidf(rows, max_features=1 << 20)
+    vocab = vec.stages[4].vocabulary
+    ml = (vec.transform(rows).select("ticket_id", F.posexplode(vector_to_array("features")).alias("i", "w"))
+          .filter("w != 0"))
+    terms = spark.createDataFrame(list(enumerate(vocab)), "i int, term string")
+    ml = ml.join(terms, "i").select("ticket_id", "term", F.round("w", 6).alias("tfidf"))
+    assert rel.exceptAll(ml).count() == 0 and ml.exceptAll(rel).count() == 0

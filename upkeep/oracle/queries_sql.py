@@ -489,6 +489,8 @@ SQL["allowed_values"] = with_fixtures(["assets", "complaints"], [], _cat_sql(
 _COMBOS = ("combos0", "SELECT DISTINCT " + ", ".join(_COMBO) + " FROM assets WHERE "
            + " AND ".join(f"{c} IS NOT NULL" for c in _COMBO))
 SQL["valid_combinations"] = with_fixtures(["assets"], [_COMBOS], "SELECT * FROM combos0")
+SQL["combination_sample"] = with_fixtures(["assets"], [_COMBOS], "SELECT * FROM combos0 ORDER BY md5(concat_ws('|', "
+                                          + ", ".join(_COMBO) + ", '42')) LIMIT 3")
 
 _CKEY = "concat_ws('|', " + ", ".join(f"coalesce(c.{c}, 'nan')" for c in _CASE) + ", '42')"
 QUEUE = [

@@ -130,3 +130,12 @@ def ticket_read_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = response_lines(fx.responses(spark, sf_dir))
     return rows.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n_rows"),
                                         F.count_distinct("batch_id").alias("n_batches"))
+
+
+def combination_sample(spark: SparkSession, sf_dir: str, n: int = 3, seed: int = SEED
+                       ) -> DataFrame:
+    """A uniform sample of ``n`` valid asset combinations (keyed-hash order, a bounded
+    top-n; the limit is the feature)."""
+    c = valid_combinations(spark, sf_dir)
+    h = F.md5(F.concat_ws("|", *[F.col(x) for x in COMBO_COLS], F.lit(str(seed))))
+    return c.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")

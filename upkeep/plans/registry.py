@@ -45,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_match": tickets.exact_match,
     "allowed_values": corpus.allowed_values,
     "valid_combinations": corpus.valid_combinations,
+    "combination_sample": corpus.combination_sample,
     "coverage_queue": corpus.coverage_queue,
     "queue_remaining": corpus.queue_remaining,
     "response_rows": corpus.response_rows,
