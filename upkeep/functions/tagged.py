@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from upkeep.functions.text import strip_ws, thousands_dots
 
+# ---- fixed value (must equal the reference's tagged-record pattern) -------------------
 # Tag followed by its value (everything up to the next '[').
 TAG_PATTERN = r"(\[[A-Z_]+\])\s*([^\[]+)"
+# ---------------------------------------------------------------------------------------
 
 
 def _c(c) -> Column:

@@ -109,9 +109,11 @@ def strip_sentinels(c) -> Column:
     return F.regexp_replace(_c(c), r"<extra_id_\d+>", "")
 
 
+# ---- fixed value (must equal the reference's report cleanup) ---------------------------
 # Allowed characters of report text: word characters (letters, numbers, underscore),
-# whitespace and . , ! ? - R p [ ] |
+# whitespace and . , ! ? - R p [ ] |  (everything else is removed)
 REPORT_CHARSET = r"[^\p{L}\p{N}_\t\n\x0B\f\r \.,!?\-Rp\[\]\|]"
+# ---------------------------------------------------------------------------------------
 
 
 def report_charset(c) -> Column:
