@@ -10,7 +10,9 @@ table has at most one row per (asset, day, bucket), bounded by the calendar, not
 volume.  Each row finally combines its in-chunk values with the chunk's predecessors.
 
 Shuffles: rows once by chunk; chunk summaries once by asset and once back by chunk (the
-rows side of that join is already partitioned by chunk).
+rows side of that join is already partitioned by chunk).  The rows feed both the windows
+and the summaries; the two branches prune columns differently, so Spark would compute the
+input twice - it is written once to the checkpoint folder instead.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ def history_features(df: DataFrame, key: str = "id", date: str = "tanggal",
     key, null for the first) and ``max_sev_3`` (max of ``sev`` over the row and the two
     before it).  Order inside a key: (date, seq); rows must have non-null key and date, and
     ``seq`` must be unique within (key, date) and increase with position in the order."""
-    rows = df.withColumn("_b", F.floor(F.col(seq) / F.lit(seq_bucket_width)).cast("long"))
+    from upkeep.session import materialize
+    rows = materialize(df).withColumn(
+        "_b", F.floor(F.col(seq) / F.lit(seq_bucket_width)).cast("long"))
     chunk = [key, date, "_b"]
     w_in = Window.partitionBy(*chunk).orderBy(seq)
     rows = rows.withColumns({
