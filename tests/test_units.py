@@ -210,3 +210,19 @@ def test_sampled_bounds_fallback_positions(spark):
             "g", "id", (F.col("_off") + F.col("_rn") - 1).alias("pos"))
         exp = df.select("g", "id", (F.row_number().over(Window.orderBy("g", "id")) - 1).alias("pos"))
         assert p.exceptAll(exp).count() == 0
+
+
+def test_median_imputation_fit_on_train(spark):
+    """With fit_on='train' the imputed value is the median of the training rows only."""
+    from upkeep.operators.splits import time_split
+    from upkeep.plans.lifespan import labelled_assets
+    all_rows = labelled_assets(spark, SF_SMALL, fit_on="all")
+    tr = labelled_assets(spark, SF_SMALL, fit_on="train")
+    raw = time_split(all_rows.select("id", "tanggal_penggantian"), ["tanggal_penggantian", "id"])
+    # assets with fewer than two dated complaints were imputed; compare on them
+    from upkeep.plans.lifespan import dated_complaints
+    single = dated_complaints(spark, SF_SMALL).groupBy("id").count().filter("count > 1").select("id")
+    imputed = tr.join(single, "id", "left_anti").select("hari_antar_komplain_mean").distinct().collect()
+    known = tr.join(single, "id", "left_semi").join(raw.filter("is_train").select("id"), "id")
+    exp = known.select(F.median("hari_antar_komplain_mean")).first()[0]
+    assert len(imputed) == 1 and abs(imputed[0][0] - exp) < 1e-9

@@ -167,7 +167,8 @@ def critical_oversample(spark: SparkSession, sf_dir: str, threshold: int = 60,
 
 def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> DataFrame:
     """Replaced assets with type schedule and complaint rollup; zero fills; the mean gap
-    imputed with the exact median (``fit_on='all'`` as the reference, before the split)."""
+    imputed with the exact median, fitted on all rows (``fit_on='all'``, as the reference
+    does before its split) or on the training part of the time split (``'train'``)."""
     a = fx.assets(spark, sf_dir).select(
         "id", parse_date("tanggal_instalasi").alias("tanggal_instalasi"), *TYPE_KEYS,
         "merek", "tingkat_kekritisan")
@@ -179,7 +180,13 @@ def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> Da
         0.0, subset=["severity_mean", "biaya_total", "biaya_mean"])
     # the asset feature table feeds the median, the split and every consumer after it
     lab = materialize(lab)
-    med = quantile_scalar(lab, "hari_antar_komplain_mean", 0.5, ["id"])
+    if fit_on == "all":       # the reference imputes before splitting (trap T9)
+        fit_rows = lab
+    elif fit_on == "train":   # no test rows in the statistic
+        fit_rows = time_split(lab, ["tanggal_penggantian", "id"]).filter("is_train")
+    else:
+        raise ValueError(fit_on)
+    med = quantile_scalar(fit_rows, "hari_antar_komplain_mean", 0.5, ["id"])
     return lab.withColumns({
         "hari_antar_komplain_mean": F.coalesce(F.col("hari_antar_komplain_mean"), med),
         "biaya_total_log": F.log1p("biaya_total"),
