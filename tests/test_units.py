@@ -201,17 +201,26 @@ def test_sinks_append_and_probe(spark, tmpdir_path):
     assert table_or_empty(spark, runs, RUN_SCHEMA).count() == 2
 
 
-def test_sampled_bounds_fallback_positions(spark):
-    """Fallback used when no checkpoint folder is configured: same positions."""
-    from upkeep.operators.ordering import _positions_by_sampled_bounds
+def test_positions_with_hot_leading_key(spark):
+    from upkeep.operators.ordering import global_positions
     df = spark.range(0, 3000).withColumn("g", F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10))
+    exp = df.select("g", "id", (F.row_number().over(Window.orderBy("g", "id")) - 1).alias("pos"))
     for n in (1, 5):
-        p = _positions_by_sampled_bounds(df, ["g", "id"], n, 32).select(
-            "g", "id", (F.col("_off") + F.col("_rn") - 1).alias("pos"))
-        exp = df.select("g", "id", (F.row_number().over(Window.orderBy("g", "id")) - 1).alias("pos"))
+        p = global_positions(df, ["g", "id"], num_buckets=n).select("g", "id", "pos")
         assert p.exceptAll(exp).count() == 0
 
 
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from upkeep.session import Scratch, materialize
+    with Scratch(spark) as sc:
+        assert materialize(spark.range(5), sc).count() == 5
+        path = sc.paths[0].removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_median_imputation_fit_on_train(spark):
     """With fit_on='train' the imputed value is the median of the training rows only."""
     from upkeep.operators.splits import time_split

@@ -12,9 +12,7 @@ range partitioner samples with a seed tied to the RDD id, so two evaluations of
 plan can cut differently.  The ranged rows are therefore written once, with their
 partition-local numbers, to the shared checkpoint folder (``session.materialize``) and both
 consumers read that one result; a retried task re-reads the same shuffle partition and
-numbers it identically (the order key is unique).  Without a checkpoint folder a fallback
-derives bucket bounds from a keyed bottom-k sample (a pure function of the data, checked by
-comparison against each bound - meant for small local runs).
+numbers it identically (the order key is unique). 
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.session import checkpoint_dir, materialize
+from upkeep.session import materialize
 
 _LOW33 = (1 << 33) - 1
 
@@ -44,58 +42,26 @@ def _offsets(counts: DataFrame, key: str) -> DataFrame:
 
 
 def global_positions(df: DataFrame, order: list[str], pos_col: str = "pos",
-                     total_col: str | None = None, num_buckets: int | None = None,
-                     sample_per_bucket: int = 32) -> DataFrame:
+                     total_col: str | None = None,
+                     num_buckets: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based position of the row in ascending ``order`` (column names
     forming a total order, unique per row).  ``total_col`` optionally carries the row
     count."""
     n = _partitions(df, num_buckets)
     cols = [F.col(c) for c in order]
-    if checkpoint_dir(df.sparkSession):
-        ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-        # partition id in the upper bits, record number in sorted order in the lower 33
-        tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-        tagged = tagged.withColumns({"_bk": F.shiftright("_mid", 33),
-                                     "_rn": F.col("_mid").bitwiseAND(F.lit(_LOW33)) + 1})
-        counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-        out = tagged.join(F.broadcast(_offsets(counts, "_bk")), "_bk").drop("_mid")
-    else:
-        out = _positions_by_sampled_bounds(df, order, n, sample_per_bucket)
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # partition id in the upper bits, record number in sorted order in the lower 33
+    tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = tagged.withColumns({"_bk": F.shiftright("_mid", 33),
+                                 "_rn": F.col("_mid").bitwiseAND(F.lit(_LOW33)) + 1})
+    counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+    out = tagged.join(F.broadcast(_offsets(counts, "_bk")), "_bk").drop("_mid")
     out = out.withColumn(pos_col, F.col("_off") + F.col("_rn") - 1)
     if total_col:
         out = out.withColumn(total_col, F.col("_total"))
     return out.drop("_bk", "_rn", "_off", "_total")
 
 
-def _positions_by_sampled_bounds(df: DataFrame, order: list[str], n: int,
-                                 sample_per_bucket: int) -> DataFrame:
-    key = F.struct(*[F.col(c) for c in order])
-    sample = (df.select(key.alias("_k"), F.xxhash64(*[F.col(c) for c in order]).alias("_h"))
-              .orderBy("_h", "_k").limit(n * sample_per_bucket))
-    srt = F.array_sort(F.collect_list("_k"))
-    picks = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
-                        lambda i: F.element_at("_s", (i * F.size("_s") / F.lit(n)).cast("int") + 1))
-    # The bounds (at most n-1 keys) are the only data brought to the driver.
-    row = [] if n <= 1 else sample.agg(srt.alias("_s")).select(
-        F.when(F.size("_s") == 0, F.array_except("_s", "_s")).otherwise(picks).alias("b")
-    ).collect()[0]["b"]
-    types = {c: df.schema[c].dataType for c in order}
-    seen, lits = set(), []
-    for r in row or []:
-        t = tuple(r)
-        if t in seen:
-            continue
-        seen.add(t)
-        lits.append(F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, t)]))
-    # bucket = number of bounds <= key: a pure function of the row's key
-    bucket = sum((F.when(lb <= key, 1).otherwise(0) for lb in lits), F.lit(0))
-    b = df.withColumn("_bk", bucket)
-    counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy("_bk").orderBy(*[F.col(c) for c in order])
-    return (b.withColumn("_rn", F.row_number().over(wb))
-            .join(F.broadcast(_offsets(counts, "_bk")), "_bk"))
-
-
 def row_number_within(df: DataFrame, group: list[str], order: list[str], rn_col: str = "rn",
                       size_col: str | None = None, num_buckets: int | None = None
                       ) -> DataFrame:

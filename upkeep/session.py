@@ -8,6 +8,7 @@ and only when it is unset.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,36 +49,72 @@ def apply_scale_conf(spark: SparkSession) -> None:
             pass
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder named by the cluster, if any."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d and not spark.sparkContext.getCheckpointDir():
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where the session names none, a single-machine session (``local[...]``, as in tests) sets
+    a temporary folder of its own; on a cluster that would be a machine-local folder, so the
+    call raises instead.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all "
+                             "executors share")
+        d = tempfile.mkdtemp(prefix="upkeep-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
-    return d or spark.sparkContext.getCheckpointDir()
+    return d
 
 
 def ensure_test_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     """Tests/bench only: use the session's folder, or ``fallback`` where none is set."""
-    d = checkpoint_dir(spark)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
 
-def materialize(df: DataFrame) -> DataFrame:
+class Scratch:
+    """The tables that one computation has written; ``drop()`` deletes them.
+
+    A context manager only for jobs that have consumed their result: a returned lazy plan
+    still reads the tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = os.path.join(checkpoint_dir(self.spark), "upkeep-tables", uuid.uuid4().hex)
+        df.write.mode("errorifexists").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.paths = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop()
+
+
+def materialize(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Cut lineage by writing the rows as a Parquet table in the shared checkpoint folder
-    and reading them back.
+    and reading them back.  Runs a job at once, while the caller's plan is still being built.
 
     One job computes the rows once (``Dataset.checkpoint`` would compute them twice: once
     to count, once to write); the files survive a lost executor because they live in the
     cluster's shared folder; the read-back plan gets Parquet column pruning and row-count
-    statistics (so AQE can size joins against it).  When the session names no folder the
-    plan is returned unchanged rather than written to a machine-local place.
+    statistics (so AQE can size joins against it).  Pass a ``Scratch`` to be able to delete
+    the table when its consumers are done.
     """
-    base = checkpoint_dir(df.sparkSession)
-    if not base:
-        return df
-    path = os.path.join(base, "upkeep-tables", uuid.uuid4().hex)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return (scratch or Scratch(df.sparkSession)).write(df)
