@@ -86,10 +86,15 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def new_path(self) -> str:
+        """A new folder's name in the shared checkpoint folder."""
         path = os.path.join(checkpoint_dir(self.spark), "upkeep-tables", uuid.uuid4().hex)
-        df.write.mode("errorifexists").parquet(path)
         self.paths.append(path)
+        return path
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.new_path()
+        df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
