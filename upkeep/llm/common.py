@@ -106,23 +106,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_NO_WORD = _SPACE.copy()
+_NO_WORD[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end (byte offsets) of every word (run of bytes other than
-    x20 and x09-x0D) of a buffer, A-Z folded to lower case."""
+def word_hashes(data: bytes, punctuation: bool = False
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end (byte offsets) of every word of a buffer, A-Z folded to lower
+    case.  Words lie between x20 and x09-x0D or, with ``punctuation``, between any ASCII
+    characters other than letters and digits."""
     buf = np.frombuffer(data, np.uint8)
     if not len(buf):
         e = np.empty(0, np.int64)
         return np.empty(0, np.uint64), e, e
-    space = _SPACE[buf]
+    space = (_NO_WORD if punctuation else _SPACE)[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     power, inverse = _powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    values = (_LOWER[buf] if lower else buf).astype(np.uint64)
+    values = _LOWER[buf].astype(np.uint64)
     values += np.uint64(1)
     values *= power[:len(buf)]
     np.cumsum(values, out=sums[1:])
@@ -195,3 +199,25 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def with_text_column(docs: DataFrame, text_col: str, name: str, ddl: str, make) -> DataFrame:
+    """``docs`` with one more column ``name`` of type ``ddl`` computed from the texts, all other
+    columns untouched whatever their names.  ``make()`` runs once per task and returns a function
+    from a list of UTF-8 texts (null: empty) to an Arrow array."""
+    ship_package(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[[c.lower() for c in docs.columns].index(text_col.lower())]
+    fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)]
+
+    def run(batches):
+        compute = make()
+        for batch in batches:
+            batch = batch.rename_columns(names)
+            for part in text_slices(batch, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, compute(utf8(part, text))],
+                                                 [*names, "made"])
+
+    out = docs.toDF(*names).mapInArrow(run, ", ".join([*fields, f"made {ddl}"]))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)],
+                      F.col("made").alias(name))

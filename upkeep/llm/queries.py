@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from upkeep.llm import bpe
+from upkeep.llm import bpe, decontaminate, quality, simhash, token_files
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_token_files": token_files.op5_token_files,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL: dict[str, str] = {}
