@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from upkeep.llm import bpe, decontaminate, quality, simhash, token_files
+from upkeep.llm import bpe, decontaminate, line_dedup, pii, quality, quotes, secrets, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_personal_data": pii.op1_personal_data,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_quotation_linking": quotes.op4_quotation_linking,
     "op5_token_files": token_files.op5_token_files,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
