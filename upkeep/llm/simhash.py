@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from upkeep.llm.common import (connected_components, documents, ship_package, spanning_edges,
-                               text_slices, utf8)
+                               text_key, text_slices, utf8)
 from upkeep.session import Scratch
 
 #: Fingerprints in a tile, about; in a sub-tile; and comparisons held at once.
@@ -52,18 +52,21 @@ def fingerprint(data: bytes, k: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; fp holds the 64 bits as a signed long."""
+    """(doc_id, tkey, fp) for every row of ``docs``; fp holds the 64 bits as a signed long, tkey is
+    the hash of the text that tells rows of one id apart."""
     ship_package(docs.sparkSession)
-    keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"),
+                       F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 fp = np.array([fingerprint(t, k, seed) for t in utf8(part, "text")], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                    [part.column("doc_id"), part.column("tkey"), pa.array(fp.view(np.int64))],
+                    ["doc_id", "tkey", "fp"])
 
-    return keep.mapInArrow(run, "doc_id long, fp long")
+    return keep.mapInArrow(run, "doc_id long, tkey long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -151,25 +154,44 @@ def near_links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFr
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fp`` (signed long) and ``component_id``, the
-    smallest id among the documents reachable over links of at most ``radius`` bits.
+    """One row per row of ``docs``: ``doc_id``, ``tkey`` (hash of the text), ``fp`` (signed long),
+    ``component_id``, the smallest id among the documents reachable over links of at most
+    ``radius`` bits, and ``first``: whether the row is the component's first by id (null last),
+    then text hash.
 
     A null text counts as empty; empty texts have fingerprint 0 and are linked like any other;
-    repeated rows stay repeated; rows with a null id link but never give a component its id (a
-    component of null ids only has a null id); other columns are ignored whatever their names.
-    Runs Spark jobs and writes to the checkpoint folder.
+    repeated rows stay repeated and are all first, or none; rows with a null id link but never give
+    a component its id (a component of null ids only has a null id); other columns are ignored
+    whatever their names.  Runs Spark jobs and writes to the checkpoint folder.
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.write(fingerprints(docs, k, seed, id_col, text_col))
     # one row per distinct fingerprint, whatever the size of its group of copies
-    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
+    distinct = scratch.write(fps.groupBy("fp").agg(F.min(row).alias("head")))
     roots = connected_components(near_links(distinct.select("fp"), radius, tile), scratch)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = linked.join(lowest, "root").select("fp", "component_id")
-    groups = distinct.join(moved, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
+    lowest = linked.groupBy("root").agg(F.min("head").alias("top"))
+    moved = linked.join(lowest, "root").select("fp", "top")
+    groups = distinct.join(moved, "fp", "left").select("fp", F.coalesce("top", "head").alias("top"))
+    return fps.join(groups, "fp").select(
+        "doc_id", "tkey", "fp", F.col("top.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("tkey") == F.col("top.tkey"))).alias("first"))
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` calls first, all columns as they are; of rows
+    equal in id and text one stays."""
+    ident = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c.lower(): p for c, p in zip(docs.columns, plain)}
+    own = docs.toDF(*plain).withColumns({"k": ident(F.col(at[id_col.lower()])),
+                                         "tkey": text_key(F.col(at[text_col.lower()]))})
+    reps = found.filter("first").select(ident(F.col("doc_id")).alias("k"), "tkey")
+    kept = own.join(reps, ["k", "tkey"], "left_semi")  # the window below needs no other shuffle
+    number = F.row_number().over(Window.partitionBy("k", "tkey").orderBy("tkey"))
+    return kept.withColumn("number", number).filter("number = 1").select(
+        *[F.col(p).alias(c) for c, p in zip(docs.columns, plain)])
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
