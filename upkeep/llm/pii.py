@@ -207,7 +207,7 @@ def _agreement(pairs: np.ndarray) -> np.ndarray:
     return np.clip(np.log(joint / np.outer(margin, margin)), -3.0, 3.0)
 
 
-def fit(rows: list[Sites], rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def fit(rows: list[Sites], rounds: int = 400, rate: float = 2.0, decay: float = 1e-4) -> Field:
     """Fit the weights to documents whose labels are their base spans (free sites: nothing)."""
     k = len(KINDS) + 1
     label = np.concatenate([np.maximum(s.label, 0) for s in rows]) if rows else np.empty(0, np.int64)

@@ -19,7 +19,7 @@ from upkeep.session import Scratch
 
 #: Words that a single line needs to be a key by itself.
 LINE_WORDS = 3
-_MARKS = r"^ ?(?:> ?)+"
+_MARKS = r"^ ?>[> ]*+"
 
 
 def _norm(text: Column) -> Column:
@@ -69,7 +69,7 @@ def _keys(text: Column, lines: Column) -> Column:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                 role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per row of ``messages``: ``conv_id``, ``turn``, ``role``, ``text`` (without quoted lines
-    and their introductions, outer blank lines cut), ``n_quotes`` (passages), ``n_linked`` (passages whose
+    and their introductions, outer blanks cut), ``n_quotes`` (passages), ``n_linked`` (passages whose
     source was found), ``sources`` (sorted array of the (conv_id, turn) linked to), ``parent_turn``,
     ``thread`` (turn of the first message of the chain), ``depth``, ``path`` (turns from there to here).
     Ordered by (conv_id, path), a conversation reads in reply order.
@@ -86,7 +86,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
                            F.col(role_col).alias("role"), text_key(text).alias("tkey"),
                            parse_lines(text).alias("lines"))
     own_lines = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"])
-    body = F.regexp_replace(F.array_join(own_lines, "\n"), r"\A(?:[ \t\r]*\n)+|(?:\n[ \t\r]*)+\z", "")
+    body = F.btrim(F.array_join(own_lines, "\n"), F.lit(" \t\r\n"))
     rows = scratch.write(rows.select("conv_id", "turn", "role", "tkey", body.alias("text"), passages(F.col("lines")).alias("quotes"))
                          .withColumn("n_quotes", F.size("quotes").cast("long")))
 

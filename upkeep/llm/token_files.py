@@ -67,8 +67,11 @@ class WordBpe:
     def _word_ids(self, word: bytes) -> bytes:
         runs = self.runs
         if not word.isascii():
-            core = word.rstrip(b".,;:!?%$#&*|")  # ends a run of letters; what follows is its own
-            return runs[core] + (runs[word[len(core):]] if len(core) < len(word) else b"")
+            core = word.rstrip(b".,;:!?%$#&*|")
+            ends = self.tokenizer.normalizer.normalize_str(core.decode())[-1:]
+            if len(core) < len(word) and ends.isalpha():  # a run of letters ends here
+                return runs[core] + runs[word[len(core):]]
+            return runs[word]
         word = word.lower()
         if b"'" in word:
             return runs[word]

@@ -144,6 +144,7 @@ class LabelModel:
     parent: list[int] = field(default_factory=list)
     table: list[np.ndarray] = field(default_factory=list)
     accuracy: list[float] = field(default_factory=list)
+    share: np.ndarray | None = None  # how much each voter counts while dependence is unknown
     dependence: np.ndarray | None = None
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
@@ -151,7 +152,7 @@ class LabelModel:
         score = np.log([[1 - self.prior, self.prior]]).repeat(len(votes), axis=0)
         for k, (p, t) in enumerate(zip(self.parent, self.table)):
             above = votes[:, p] if p >= 0 else np.zeros(len(votes), np.int64)
-            score += np.log(t[:, above, votes[:, k]]).T
+            score += (1.0 if self.share is None else self.share[k]) * np.log(t[:, above, votes[:, k]]).T
         return 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
 
 
@@ -168,8 +169,16 @@ def _tables(votes, weight, toxic, parent):
     return out
 
 
-def _dependence(votes, weight, toxic) -> np.ndarray:
-    """Mutual information of every two voters given the label."""
+def _shares(votes, weight) -> np.ndarray:
+    """One over the number of voters that nearly repeat each voter: their mutual information is
+    nearly the voter's whole entropy."""
+    shared = _dependence(votes, weight, np.zeros(len(votes)), own=True)
+    most = np.sqrt(np.outer(np.diag(shared), np.diag(shared)))
+    return 1.0 / np.maximum(1, (shared >= 0.9 * np.maximum(most, 1e-9)).sum(axis=1))
+
+
+def _dependence(votes, weight, toxic, own: bool = False) -> np.ndarray:
+    """Mutual information of every two voters given the label (``own``: entropies on the diagonal)."""
     k = votes.shape[1]
     out = np.zeros((k, k))
     for y_weight in (weight * (1 - toxic), weight * toxic):
@@ -177,13 +186,13 @@ def _dependence(votes, weight, toxic) -> np.ndarray:
         if total <= 0:
             continue
         for i in range(k):
-            for j in range(i):
+            for j in range(i + own):
                 joint = np.zeros((3, 3))
                 np.add.at(joint, (votes[:, i], votes[:, j]), y_weight / total)
-                own = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
+                apart = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
                 seen = joint > 0
-                out[i, j] += total / weight.sum() * (joint[seen] * np.log(joint[seen] / own[seen])).sum()
-    return out + out.T
+                out[i, j] += total / weight.sum() * (joint[seen] * np.log(joint[seen] / apart[seen])).sum()
+    return np.maximum(out, out.T)
 
 
 def _tree(dependence: np.ndarray, least: float = 1e-3) -> list[int]:
@@ -210,7 +219,8 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 50) ->
         model.table = [np.full((2, 1, 3), 1 / 3) for _ in range(k)]
         model.accuracy = [0.5] * k
         return model
-    said = ((votes == 1).sum(axis=1) - (votes == 0).sum(axis=1)).astype(float)
+    model.share = _shares(votes, weight)
+    said = ((votes == 1) - 1.0 * (votes == 0)) @ model.share
     toxic = 1 / (1 + np.exp(-2.0 * (said - 0.5)))
     for stage in range(2):
         for _ in range(rounds):
@@ -218,7 +228,7 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 50) ->
             model.table = _tables(votes, weight, toxic, model.parent)
             toxic = model.posterior(votes)
         if stage == 0:
-            model.dependence = _dependence(votes, weight, toxic)
+            model.share, model.dependence = None, _dependence(votes, weight, toxic)
             model.parent = _tree(model.dependence)
     right = np.where(votes == 1, toxic[:, None], 1 - toxic[:, None]) * (votes < 2) * weight[:, None]
     model.accuracy = (right.sum(axis=0) / np.maximum(1e-9, ((votes < 2) * weight[:, None]).sum(axis=0))).tolist()
