@@ -199,12 +199,23 @@ class Field:
         return p / p.sum(axis=1, keepdims=True) if n else p
 
 
+def _adjacency(pairs: np.ndarray) -> np.ndarray:
+    """Chain log potentials from counts of (left, right) labels: how much oftener than by chance;
+    pairs that chance would not show either stay near 0."""
+    total = max(1.0, pairs.sum())
+    chance = np.outer(pairs.sum(axis=1), pairs.sum(axis=0)) / total
+    return np.clip(np.log((pairs + 1) / (chance + 1)), -3.0, 3.0)
+
+
 def _agreement(pairs: np.ndarray) -> np.ndarray:
-    """Log potentials from counts of label pairs: how much oftener than by chance, smoothed."""
-    c = pairs + pairs.T + 0.5
-    joint = c / c.sum()
-    margin = joint.sum(axis=1)
-    return np.clip(np.log(joint / np.outer(margin, margin)), -3.0, 3.0)
+    """Skip log potentials from counts of label pairs of similar sites: how often a label meets
+    itself (half the time if never seen), the rest shared by the other labels."""
+    both = pairs + pairs.T
+    same = (np.diag(both) + 1) / (both.sum(axis=1) + 2)
+    k = len(same)
+    out = np.log(np.repeat((1 - same)[:, None], k, axis=1) / (k - 1))
+    out[np.arange(k), np.arange(k)] = np.log(same)
+    return np.clip((out + out.T) / 2, -5.0, 0.0)
 
 
 def fit(rows: list[Sites], rounds: int = 400, rate: float = 2.0, decay: float = 1e-4) -> Field:
@@ -235,7 +246,7 @@ def fit(rows: list[Sites], rounds: int = 400, rate: float = 2.0, decay: float =
             step = np.zeros_like(unary)
             np.add.at(step, features.ravel(), np.repeat(p * weight[:, None], 8, axis=0))
             unary -= rate * (step + decay * unary)
-    return Field(unary, _agreement(chain), _agreement(skip))
+    return Field(unary, _adjacency(chain), _agreement(skip))
 
 
 def _complete(token: str) -> bool:
