@@ -17,11 +17,6 @@ def _q(c: Column, qs: list[float], approx: bool) -> Column:
     return F.percentile(c, F.array(*[F.lit(q) for q in qs]))
 
 
-def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
-    """Counts per value, missing values excluded (order by count when displaying)."""
-    return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
-
-
 def describe(df: DataFrame, cols: list[str], approx: bool = False, digits: int = 6
              ) -> DataFrame:
     """A10: count, mean, sample std, min, quartiles (linear interpolation), max per column,
@@ -68,13 +63,17 @@ def boxplot_stats(df: DataFrame, group: str, measures: list[str], approx: bool =
                       "n_outliers")
 
 
-def crosstab(df: DataFrame, rows: str, cols: str, values: list[str]) -> DataFrame:
-    """Counts of (rows, cols) pairs, one column per listed value (missing on either
-    side excluded), zero where a pair does not occur."""
-    named = {v: "n_" + v.lower().replace(" ", "_") for v in values}
-    p = (df.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
-         .groupBy(rows).pivot(cols, values).count().fillna(0, subset=values))
-    return p.select(rows, *[F.col(f"`{v}`").cast("long").alias(named[v]) for v in values])
+def crosstab(df: DataFrame, rows: str, cols: str) -> DataFrame:
+    """How often each pair of values occurs, one row per pair (missing on either side
+    excluded).  All values count; ``pivot_counts`` spreads them over columns."""
+    return (df.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
+            .groupBy(rows, cols).agg(F.count(F.lit(1)).alias("n")))
+
+
+def pivot_counts(pairs: DataFrame, rows: str, cols: str) -> DataFrame:
+    """The pairs of ``crosstab`` as one column per value found, zero where a pair does not occur."""
+    values = sorted(r[0] for r in pairs.select(cols).distinct().collect())  # columns to be
+    return pairs.groupBy(rows).pivot(cols, values).agg(F.sum("n")).fillna(0, subset=values)
 
 
 def table_profile(df: DataFrame) -> DataFrame:

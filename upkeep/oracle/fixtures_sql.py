@@ -7,7 +7,7 @@ from __future__ import annotations
 
 NL = "chr(10)"
 
-_ID = "'A' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')"
+_ID = "printf('A%06d', p_partkey)"
 _PRICE = "CAST(round(p_retailprice * 1000) AS BIGINT)"
 _REPORT_SEV = ("CASE p_size % 4 WHEN 0 THEN 'Rendah' WHEN 1 THEN 'Sedang' "
                "WHEN 2 THEN 'Tinggi' ELSE 'Kritis' END")
@@ -47,10 +47,10 @@ SELECT a.id, a.kategori, a.sub_kategori, a.tipe,
        CASE WHEN l_orderkey % 40 = 0 THEN NULL
             ELSE strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') END AS tanggal_pengerjaan,
        strftime(CAST(l_shipdate AS DATE) + 2, '%d-%m-%Y') AS tanggal_selesai,
-       datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * CAST(4294967296 AS BIGINT)
+       datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) * CAST(281474976710656 AS BIGINT)
          + l_orderkey * 8 + l_linenumber AS row_seq
 FROM lineitem JOIN assets a ON a.row_seq = l_partkey
-WHERE l_partkey % 10 <> 0 AND (l_orderkey * 7 + l_linenumber) % (1 + l_partkey % 12) = 0"""),
+WHERE l_partkey % 10 <> 0"""),
     "schedule": (["assets"], """
 SELECT kategori, sub_kategori, tipe,
        (['Harian', 'Mingguan', 'Bulanan', 'Tiga Bulanan', 'Semester', 'Tahunan', 'Reaktif'])[i]
@@ -79,7 +79,7 @@ SELECT d.doc_id AS ticket_id,
        source AS kategori_aset, lang AS severity,
        'q' || CAST(quality AS VARCHAR) AS root_cause,
        CASE WHEN d.doc_id % 31 = 0 THEN NULL ELSE 't' || CAST(toxic AS VARCHAR) END AS tindakan
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
     "responses": ([], f"""
 SELECT batch_id,
        CASE batch_id % 3

@@ -229,8 +229,8 @@ ASSET = LIFE_BASE + [
                          (row_number() OVER (ORDER BY tanggal_penggantian, id) - 1)
                            < (count(*) OVER ()) * 4 // 5 AS is_train FROM life"""),
     ("tpred", """SELECT *, abs(predicted - actual) AS error FROM (
-                   SELECT *, round(target, 0) AS actual,
-                          round(2950::DOUBLE - total_komplain * 75 - severity_max * 240, 0) AS predicted
+                   SELECT *, round_even(target, 0) AS actual,
+                          round_even(2950::DOUBLE - total_komplain * 75 - severity_max * 240, 0) AS predicted
                    FROM asplit WHERE NOT is_train)"""),
 ]
 
@@ -326,9 +326,9 @@ SQL["complaint_boxplot"] = with_fixtures(INT_FIX, FAN + [
 FROM lng l JOIN qs q ON l.frekuensi = q.frekuensi AND l.measure = q.measure
 WHERE l.v IS NOT NULL GROUP BY q.frekuensi, q.measure, q1, median, q3""")
 
-SQL["criticality_crosstab"] = with_fixtures(INT_FIX, FAN, "SELECT tingkat_kekritisan, " + ", ".join(
-    f"count(*) FILTER (WHERE frekuensi = '{v}') AS n_{v.lower().replace(' ', '_')}" for v in INTERVALS)
-    + " FROM fan WHERE tingkat_kekritisan IS NOT NULL AND frekuensi IS NOT NULL GROUP BY 1")
+SQL["criticality_crosstab"] = with_fixtures(INT_FIX, FAN, """
+SELECT tingkat_kekritisan, frekuensi, count(*) AS n FROM fan
+WHERE tingkat_kekritisan IS NOT NULL AND frekuensi IS NOT NULL GROUP BY ALL""")
 
 _ASSET_COLS = ["id", "nama", "kategori", "sub_kategori", "tipe", "merek", "tingkat_kekritisan",
                "tanggal_instalasi", "lokasi_gedung", "lokasi_lantai", "lokasi_zona", "row_seq"]
@@ -404,8 +404,7 @@ TICK = [
     ("trows", """SELECT * FROM tickets
         WHERE NOT (teks_keluhan_awam IS NULL AND teks_laporan_teknisi IS NULL)
           AND NOT contains(lower(coalesce(teks_keluhan_awam, 'nan')), 'teks_keluhan')
-          AND kategori_aset IS NOT NULL AND severity IS NOT NULL AND root_cause IS NOT NULL
-          AND tindakan IS NOT NULL"""),
+"""),
     ("tin", """SELECT *, coalesce(teks_keluhan_awam, 'nan') || ' ' || coalesce(teks_laporan_teknisi, 'nan')
                  AS input_teks FROM trows"""),
     ("tclean", f"""SELECT *, {collapse_sql(f"regexp_replace(lower(input_teks), '[^a-z{WS[1:-1]}]', '', 'g')")}
@@ -447,22 +446,24 @@ SELECT ticket_id, 1, array_to_string(list_transform({tokens_sql('basic')}, lambd
          CASE WHEN {_TOKU} < 0.2{D} THEN {word_map_sql('t', LEXICON)} ELSE t END), ' ') FROM tb""")
 
 SQL["ticket_tfidf"] = with_fixtures(["tickets"], TICK + [
-    ("docs", f"""SELECT ticket_id AS doc, list_filter({tokens_sql('clean_teks')}, lambda t: length(t) >= 2)
-                  AS toks FROM tteks"""),
-    ("grams", """SELECT doc, list_concat(toks, list_transform(range(1, len(toks)),
+    ("docs", f"""SELECT ticket_id AS doc, is_train, list_filter({tokens_sql('clean_teks')}, lambda t: length(t) >= 2)
+                  AS toks FROM tsplit"""),
+    ("grams", """SELECT doc, is_train, list_concat(toks, list_transform(range(1, len(toks)),
                    lambda i: toks[i] || ' ' || toks[i + 1])) AS g FROM docs"""),
-    ("tf", "SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(g) AS term FROM grams) GROUP BY ALL"),
-    ("pt", "SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term"),
+    ("tf", "SELECT doc, is_train, term, count(*) AS tf FROM (SELECT doc, is_train, unnest(g) AS term FROM grams) GROUP BY ALL"),
+    ("pt", "SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE is_train GROUP BY term"),
     ("vocab", "SELECT term, df FROM pt ORDER BY cf DESC, term LIMIT 2000"),
     ("w", """SELECT tf.doc, tf.term,
-                    tf.tf * (ln((1 + (SELECT count(*) FROM docs)) / (1 + vocab.df)) + 1) AS w
+                    tf.tf * (ln((1 + (SELECT count(*) FROM docs WHERE is_train)) / (1 + vocab.df)) + 1) AS w
              FROM tf JOIN vocab ON tf.term = vocab.term"""),
 ], "SELECT doc AS ticket_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS tfidf FROM w")
 
 _TG = ["kategori_aset", "severity", "root_cause", "tindakan"]
 SQL["exact_match"] = with_fixtures(["tickets"], TICK + [
-    ("tr", "SELECT * FROM tsplit WHERE is_train"),
-    ("te", "SELECT * FROM tsplit WHERE NOT is_train"),
+    ("whole", """SELECT * FROM tsplit WHERE kategori_aset IS NOT NULL AND severity IS NOT NULL
+                 AND root_cause IS NOT NULL AND tindakan IS NOT NULL"""),
+    ("tr", "SELECT * FROM whole WHERE is_train"),
+    ("te", "SELECT * FROM whole WHERE NOT is_train"),
     ("maj", "SELECT " + ", ".join(
         f"(SELECT {c} FROM tr GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS m_{c}" for c in _TG)),
 ], "SELECT count(*) AS n, round(avg(CASE WHEN " + " AND ".join(f"{c} = m_{c}" for c in _TG)
@@ -515,11 +516,15 @@ SQL["coverage_queue"] = with_fixtures(["assets", "complaints"], QUEUE[:-1], "SEL
 SQL["queue_remaining"] = with_fixtures(["assets", "complaints", "done_cases"], QUEUE,
                                        "SELECT * FROM remaining")
 
-from upkeep.plans.corpus import PROMPT_TEMPLATE  # noqa: E402
+PROMPT = ("Tugas: tulis tiga tiket perbaikan sebagai baris berpemisah pipa.\n"
+          "kategori=%s\ntipe=%s\nmerek=%s\ngedung=%s\nlantai=%s\nzona=%s\nseverity=%s\n"
+          "penyebab=%s\nkerusakan=%s\nbiaya=%s\n"
+          "Nilai di atas dipakai persis. Urutan kolom: teks_keluhan_awam|teks_laporan_teknisi|"
+          "kategori_aset|severity|root_cause|jenis_kerusakan|biaya_perbaikan")
 
 SQL["prompt_text"] = with_fixtures(["assets", "complaints", "done_cases"], QUEUE, f"""
 SELECT kategori, severity, penyebab, jenis_kerusakan,
-       printf('{PROMPT_TEMPLATE}', kategori, tipe, merek, lokasi_gedung, lokasi_lantai, lokasi_zona,
+       printf('{PROMPT}', kategori, tipe, merek, lokasi_gedung, lokasi_lantai, lokasi_zona,
               severity, penyebab, jenis_kerusakan,
               CAST(CAST(round(biaya_perbaikan) AS BIGINT) AS VARCHAR)) AS prompt
 FROM remaining""")
@@ -552,7 +557,6 @@ FROM responses""")
 # --- reports --------------------------------------------------------------------------------
 from upkeep.functions.tagged import TAG_PATTERN  # noqa: E402
 from upkeep.functions.text import REPORT_CHARSET  # noqa: E402
-from upkeep.plans.reports import REPORT_TEMPLATE  # noqa: E402
 from upkeep.oracle.fixtures_sql import dots  # noqa: E402
 
 
@@ -589,10 +593,11 @@ SELECT 'Buat laporan: ' || {clean_report_sql('linearized_data_input')} AS clean_
 
 
 def _ids_sql(col: str, pad: int) -> str:
-    return f"""(SELECT pair_id, count(*) AS n, list(coalesce(v.id, 2) ORDER BY pos) AS ids
-               FROM (SELECT pair_id, unnest({tokens_sql(col)}) AS token,
-                            unnest(range(len({tokens_sql(col)}))) AS pos FROM pp) t
-               LEFT JOIN vocab v ON t.token = v.token GROUP BY pair_id)"""
+    return f"""(SELECT pp.pair_key, len({tokens_sql(col)}) AS n, coalesce(x.ids, []) AS ids
+               FROM pp LEFT JOIN (SELECT pair_key, list(coalesce(v.id, 2) ORDER BY pos) AS ids
+                 FROM (SELECT pair_key, unnest({tokens_sql(col)}) AS token,
+                              unnest(range(len({tokens_sql(col)}))) AS pos FROM pp) t
+                 LEFT JOIN vocab v ON t.token = v.token GROUP BY pair_key) x ON pp.pair_key = x.pair_key)"""
 
 
 def _pad_sql(ids: str, pad: int) -> str:
@@ -600,23 +605,27 @@ def _pad_sql(ids: str, pad: int) -> str:
     return f"array_to_string(list_concat({full}, list_transform(range(128 - len({full})), lambda i: {pad})), ',')"
 
 
-SQL["fixed_length_ids"] = with_fixtures(["report_pairs"], [
-    ("pp", f"""SELECT pair_id, 'Buat laporan: ' || {clean_report_sql('linearized_data_input')} AS src,
-                      {clean_report_sql('narasi_laporan_output')} AS tgt FROM report_pairs"""),
+SQL["fixed_length_ids"] = with_fixtures(["report_pairs"], TAGS + [
+    ("aug", """SELECT DISTINCT linearized_data_input, narasi_laporan_output FROM (
+                 SELECT linearized_data_input, narasi_laporan_output FROM report_pairs
+                 UNION ALL SELECT permuted, narasi_laporan_output FROM perm)"""),
+    ("pp", f"""SELECT md5(concat_ws('|', coalesce(linearized_data_input, ''), narasi_laporan_output)) AS pair_key,
+                      'Buat laporan: ' || {clean_report_sql('linearized_data_input')} AS src,
+                      {clean_report_sql('narasi_laporan_output')} AS tgt FROM aug"""),
     ("words", f"SELECT unnest(list_concat({tokens_sql('src')}, {tokens_sql('tgt')})) AS token FROM pp"),
     ("vocab", """SELECT token, CAST(row_number() OVER (ORDER BY c DESC, token) + 2 AS INTEGER) AS id
                  FROM (SELECT token, count(*) AS c FROM words GROUP BY token ORDER BY c DESC, token LIMIT 32000)"""),
     ("si", _ids_sql("src", 0)),
     ("ti", _ids_sql("tgt", -100)),
-], f"""SELECT si.pair_id, si.n AS n_input_tokens, {_pad_sql('si.ids', 0)} AS input_ids,
+], f"""SELECT si.pair_key, si.n AS n_input_tokens, {_pad_sql('si.ids', 0)} AS input_ids,
               ti.n AS n_label_tokens, {_pad_sql('ti.ids', -100)} AS labels
-       FROM si JOIN ti ON si.pair_id = ti.pair_id""")
+       FROM si JOIN ti ON si.pair_key = ti.pair_key""")
 
 _SEVW = "CASE severity_max WHEN 1 THEN 'Ringan' WHEN 2 THEN 'Sedang' WHEN 3 THEN 'Berat' WHEN 4 THEN 'Fatal' ELSE 'Tidak Ada' END"
 REP = ASSET + [("rep", f"""SELECT l.id, a.nama,
-        CAST(greatest(coalesce(round(2950{D} - total_komplain * 75 - severity_max * 240, 0)
+        CAST(greatest(coalesce(round_even(2950{D} - total_komplain * 75 - severity_max * 240, 0)
                                 - datediff('day', l.inst, DATE '2002-01-01'),
-                               round(2950{D} - total_komplain * 75 - severity_max * 240, 0)), 1{D}) AS BIGINT)
+                               round_even(2950{D} - total_komplain * 75 - severity_max * 240, 0)), 1{D}) AS BIGINT)
           AS days_left,
         {_SEVW} AS severity_word, CAST(round(biaya_mean) AS BIGINT) AS money
         FROM lab l LEFT JOIN assets a ON l.id = a.id""")]
@@ -625,5 +634,5 @@ SELECT id, '[MESIN] ' || nama || ' [STATUS] Prediksi Rusak ' || CAST(days_left A
            || ' Hari [SEVERITY] ' || severity_word || ' [ESTIMASI_BIAYA] Rp ' || {dots('money')}
            AS linearized_data_input FROM rep""")
 SQL["asset_report_text"] = with_fixtures(LIFE_FIX, REP, f"""
-SELECT id, printf('{REPORT_TEMPLATE}', nama, CAST(days_left AS VARCHAR), severity_word, {dots('money')})
+SELECT id, printf('%s: sisa umur %s hari, keparahan tertinggi %s, biaya rata-rata Rp %s', nama, CAST(days_left AS VARCHAR), severity_word, {dots('money')})
        AS report FROM rep""")

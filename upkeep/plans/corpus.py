@@ -101,10 +101,11 @@ def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.withColumn("severity_known", F.col("_sev").isNotNull()).drop("_sev")
 
 
-PROMPT_TEMPLATE = ("Buat 3 baris data CSV untuk skenario: Kategori: %s (Tipe: %s, Merek: %s); "
-                   "Lokasi: %s Lantai %s Zona %s; Severity: %s; Root Cause: %s; "
-                   "Jenis Kerusakan: %s; Biaya Perbaikan: %s. Kolom: " + fx.TICKET_V2_HEADER
-                   + ". Tanpa header, tanpa markdown.")
+#: Ten slots: category, type, brand, place (3), severity, cause, damage, cost.
+PROMPT_TEMPLATE = ("Tugas: tulis tiga tiket perbaikan sebagai baris berpemisah pipa.\n"
+                   "kategori=%s\ntipe=%s\nmerek=%s\ngedung=%s\nlantai=%s\nzona=%s\nseverity=%s\n"
+                   "penyebab=%s\nkerusakan=%s\nbiaya=%s\n"
+                   "Nilai di atas dipakai persis. Urutan kolom: " + fx.TICKET_V2_HEADER)
 
 
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def complaint_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def criticality_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     from upkeep.operators.profile import crosstab
-    return crosstab(profile_base(spark, sf_dir), "tingkat_kekritisan", "frekuensi", fx.INTERVALS)
+    return crosstab(profile_base(spark, sf_dir), "tingkat_kekritisan", "frekuensi")
 
 
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ def fixed_prediction(df: DataFrame) -> DataFrame:
     """A fixed linear predictor of lifespan (stands in for a fitted model so the report
     operators can be checked exactly): 2950 - 75*n - 240*max severity."""
     pred = F.lit(2950.0) - F.col("total_komplain") * 75 - F.col("severity_max") * 240
-    return df.withColumns({"actual": F.round("target", 0), "predicted": F.round(pred, 0)})
+    return df.withColumns({"actual": F.bround("target", 0), "predicted": F.bround(pred, 0)})
 
 
 def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

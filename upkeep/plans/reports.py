@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from upkeep.functions import tagged as tg
 from upkeep.functions import text as tx
 from upkeep.plans import lifespan as ls
+from upkeep.session import materialize
 from upkeep.sources import fixtures as fx
 
 SEED = 42
@@ -20,9 +21,10 @@ LABEL_PAD = -100            # label id of padding positions
 PAD_ID, EOS_ID, UNK_ID, FIRST_ID = 0, 1, 2, 3  # this vocabulary's special ids
 # Severity words of the lifespan vocabulary by maximum severity (0 = no complaint).
 SEVERITY_WORD = {0: "Tidak Ada", 1: "Ringan", 2: "Sedang", 3: "Berat", 4: "Fatal"}
-REPORT_TEMPLATE = ("Berdasarkan analitik pemeliharaan, aset %s diproyeksikan memerlukan "
-                   "perbaikan dalam %s hari dengan tingkat keparahan %s. Estimasi dana yang "
-                   "perlu disiapkan adalah Rp %s.")
+#: Name, days left, severity word, money.  Any four-slot sentence will do.
+REPORT_TEMPLATE = "%s: sisa umur %s hari, keparahan tertinggi %s, biaya rata-rata Rp %s"
+#: Words kept in the vocabulary of ``fixed_length_ids``; rarer ones read as unknown.
+VOCAB_SIZE = 32000
 
 
 def tagged_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,39 +59,41 @@ def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.clean_report_text("narasi_laporan_output").alias("clean_output"))
 
 
-def _ids(df: DataFrame, key: str, text: str, vocab: DataFrame, pad: int) -> DataFrame:
-    """Token ids of one text column, truncated to MAX_LEN-1, end marker, padded."""
-    toks = df.select(key, F.posexplode(tx.tokens(text)).alias("pos", "token"))
-    ided = toks.join(F.broadcast(vocab), "token", "left").select(
-        key, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-    seq = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"),
-                                F.count(F.lit(1)).alias("n"))
-    ids = F.transform(F.slice("s", 1, MAX_LEN - 1), lambda x: x["id"])
-    full = F.concat(ids, F.array(F.lit(EOS_ID)))
-    padded = F.concat(full, F.array_repeat(F.lit(pad), F.lit(MAX_LEN) - F.size(full)))
-    return seq.select(key, F.col("n").cast("long").alias("n"), padded.alias("ids"))
-
-
-def fixed_length_ids(spark: SparkSession, sf_dir: str, vocab_size: int = 32000) -> DataFrame:
-    """F13 + C31: a vocabulary built by Spark (ids by corpus frequency, ties by token; 0 pad,
-    1 end, 2 unknown), input ids and labels of fixed length 128 (pad labels masked -100).
-    Each row's tokens are regrouped by its own key: a group is one text."""
-    p = fx.report_pairs(spark, sf_dir).select(
-        "pair_id",
-        F.concat(F.lit(PREFIX), tx.clean_report_text("linearized_data_input")).alias("src"),
-        tx.clean_report_text("narasi_laporan_output").alias("tgt"))
-    words = p.select(F.explode(F.concat(tx.tokens("src"), tx.tokens("tgt"))).alias("token"))
+def fixed_length_ids(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """F13 + C31 over the prepared pairs (originals and tag-permuted copies): a vocabulary built by
+    Spark (ids by corpus frequency, ties by token; 0 pad, 1 end, 2 unknown), input ids and labels of
+    fixed length 128 (pad labels masked -100).
+
+    Texts are cut to their first 127 tokens before they are exploded, and a text without tokens
+    stays, as an end marker and padding.  A group is one pair."""
+    pairs = augmented_pairs(spark, sf_dir).select(
+        F.md5(F.concat_ws("|", F.coalesce("linearized_data_input", F.lit("")), "narasi_laporan_output")).alias("pair_key"),
+        tx.tokens(F.concat(F.lit(PREFIX), tx.clean_report_text("linearized_data_input"))).alias("src"),
+        tx.tokens(tx.clean_report_text("narasi_laporan_output")).alias("tgt"))
+    # two inputs may read alike once cleaned; both are pairs of their own unless equal before
+    pairs = materialize(pairs)
+    words = pairs.select(F.explode(F.concat("src", "tgt")).alias("token"))
     top = (words.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
            .orderBy(F.desc("c"), F.asc("token")).limit(vocab_size))  # bounded by vocab_size
     vocab = top.select("token", (F.row_number().over(
         Window.orderBy(F.desc("c"), F.asc("token")))  # over <= vocab_size rows
         + FIRST_ID - 1).cast("int").alias("id"))
-    src = _ids(p, "pair_id", "src", vocab, PAD_ID)
-    tgt = _ids(p, "pair_id", "tgt", vocab, LABEL_PAD)
-    return src.join(tgt.withColumnsRenamed({"n": "n_label_tokens", "ids": "labels"}), "pair_id") \
-        .select("pair_id", F.col("n").alias("n_input_tokens"),
-                F.array_join("ids", ",").alias("input_ids"), "n_label_tokens",
-                F.array_join("labels", ",").alias("labels"))
+    side = lambda c, k: F.transform(F.slice(c, 1, MAX_LEN - 1), lambda t, i: F.struct(
+        F.lit(k).alias("side"), i.alias("pos"), t.alias("token")))
+    toks = pairs.select("pair_key", F.explode(F.concat(side("src", 0), side("tgt", 1))).alias("t")).select("pair_key", "t.*")
+    ided = toks.join(F.broadcast(vocab), "token", "left").select(
+        "pair_key", "side", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+    seq = ided.groupBy("pair_key").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "id"))).alias("s"))
+
+    def padded(k, pad):
+        ids = F.transform(F.filter(F.coalesce("s", F.array().cast(seq.schema["s"].dataType)),
+                                   lambda x: x["side"] == k), lambda x: x["id"])
+        full = F.concat(ids, F.array(F.lit(EOS_ID)))
+        return F.array_join(F.concat(full, F.array_repeat(F.lit(pad), F.lit(MAX_LEN) - F.size(full))), ",")
+
+    return pairs.join(seq, "pair_key", "left").select(
+        "pair_key", F.size("src").cast("long").alias("n_input_tokens"), padded(0, PAD_ID).alias("input_ids"),
+        F.size("tgt").cast("long").alias("n_label_tokens"), padded(1, LABEL_PAD).alias("labels"))
 
 
 def scored_report_rows(spark: SparkSession, sf_dir: str, as_of: str = "2002-01-01"

@@ -45,16 +45,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a heavy per-row stage (whole-text regexes, tree levels) all cores when the
-    input is fewer files than the session's parallelism (a small file is typically one
-    split).  A large input has many files and is left as it is, without a shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < want:
-        return df.repartition(want)
-    return df
-
-
 def _pick(values: list, idx: Column) -> Column:
     """0-based lookup into a constant list (null for a None entry)."""
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), idx + 1)
@@ -64,6 +54,15 @@ def _day_text(base: str, offset: Column) -> Column:
     return F.date_format(F.date_add(F.lit(base).cast("date"), offset.cast("int")), DATE_FMT)
 
 
+def asset_id(key: Column) -> Column:
+    """``A`` and the key, padded to six digits at least (longer keys keep all digits)."""
+    return F.format_string("A%06d", key)
+
+
+#: Bits of ``row_seq`` below the day; the order key of a complaint may use all but three.
+SEQ_BITS = 48
+
+
 def price_units(retail: Column) -> Column:
     """Integer money amount used by responses and report inputs."""
     return F.round(retail * 1000).cast("long")
@@ -73,7 +72,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(
-        F.concat(F.lit("A"), F.lpad(k.cast("string"), 6, "0")).alias("id"),
+        asset_id(k).alias("id"),
         F.col("p_name").alias("nama"),
         F.col("p_type").alias("kategori"),
         F.concat(F.lit("Sub"),
@@ -94,7 +93,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     pk, ok, ln = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
-    kept = li.filter((pk % 10 != 0) & (((ok * 7 + ln) % (pk % 12 + 1)) == 0))
+    kept = li.filter(pk % 10 != 0)  # every tenth asset stays without complaints
     a = assets(spark, sf_dir).select("id", "kategori", "sub_kategori", "tipe",
                                      F.col("row_seq").alias("l_partkey"))
     ship = F.to_date("l_shipdate")
@@ -109,9 +108,12 @@ def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok % 40 == 0, F.lit(None).cast("string"))
          .otherwise(F.date_format(ship, DATE_FMT)).alias("tanggal_pengerjaan"),
         F.date_format(F.date_add(ship, 2), DATE_FMT).alias("tanggal_selesai"),
-        # Total order of a complaint inside its asset: ship day, then order line.
-        (F.datediff(ship, F.lit("1970-01-01").cast("date")).cast("long") * F.lit(1 << 32)
-         + ok * 8 + ln).alias("row_seq"),
+        # Total order of a complaint inside its asset: ship day, then order line.  Order keys
+        # beyond the bits kept for them are an error, never a wrong order.
+        F.when((ok < 0) | (ok >= (1 << (SEQ_BITS - 3))),
+               F.raise_error(F.lit("order key too large for row_seq")).cast("long"))
+         .otherwise(F.datediff(ship, F.lit("1970-01-01").cast("date")).cast("long")
+                    * F.lit(1 << SEQ_BITS) + ok * 8 + ln).alias("row_seq"),
     )
 
 
@@ -140,7 +142,7 @@ def replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p.select(k, "p_name", F.explode(F.filter(F.array(first, second),
                                                     lambda r: r["keep"])).alias("r"))
     return rows.select(
-        F.concat(F.lit("A"), F.lpad(k.cast("string"), 6, "0")).alias("id"),
+        asset_id(k).alias("id"),
         F.col("p_name").alias("nama"),
         F.col("r.d").alias("tanggal_penggantian"),
         F.col("r.row_seq").alias("row_seq"),
@@ -150,14 +152,14 @@ def replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket table (v1 shape).  The complaint text is the document's first line and the
     technician text is the rest of the document, so the two fields together hold the
-    whole text."""
-    d = spread(_read(spark, sf_dir, "documents"))
+    whole text.  Every document is a ticket; without a label it lacks two targets."""
+    d = _read(spark, sf_dir, "documents")
     lab = _read(spark, sf_dir, "labels")
     did = F.col("doc_id")
     first = F.substring_index("text", "\n", 1)
     rest = F.nullif(F.expr("substr(text, length(substring_index(text, '\n', 1)) + 2)"),
                     F.lit(""))
-    return d.join(lab, "doc_id").select(
+    return d.join(lab, "doc_id", "left").select(
         did.alias("ticket_id"),
         F.when(did % 23 == 0, F.lit(None).cast("string")).otherwise(first)
          .alias("teks_keluhan_awam"),
