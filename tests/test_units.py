@@ -71,7 +71,7 @@ def test_comma_csv_quoted(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "c.csv")
     with open(p, "w") as f:
         f.write('x,y\n"a, b","line1\nline2"\n')
-    r = read_comma_csv(spark, p, string_schema(["x", "y"])).collect()
+    r = read_comma_csv(spark, p, string_schema(["x", "y"]), multi_line=True).collect()
     assert r[0]["x"] == "a, b" and r[0]["y"] == "line1\nline2"
 
 

@@ -1,7 +1,7 @@
 """Text column functions (all JVM-side, whole-stage codegen friendly).
 
-Whitespace is the ASCII set ``[\\t\\n\\x0B\\f\\r ]`` throughout, spelled out so that the Java
-regex engine (Spark) and RE2 (the SQL oracle) agree.  Python's ``str.strip()`` removes
+Whitespace is what Python's ``\\s``, ``split`` and ``strip`` take for it, spelled out by code point so
+that the Java regex engine (Spark) and RE2 (the SQL oracle) agree.  Python's ``str.strip()`` removes
 line breaks as well as blanks, while SQL ``trim`` removes blanks only, so stripping is a
 regex here.
 """
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\t\n\x0B\f\r ]"
+WS = (r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+      r"\x{202F}\x{205F}\x{3000}]")
 NULL_TOKEN = "nan"  # what astype(str) makes of a missing text value
 
 
@@ -36,12 +37,12 @@ def collapse_ws(c) -> Column:
 
 def symbols_to_blank(c) -> Column:
     """Every character outside ``[a-z0-9\\s]`` becomes a blank."""
-    return F.regexp_replace(_c(c), r"[^a-z0-9\t\n\x0B\f\r ]", " ")
+    return F.regexp_replace(_c(c), rf"[^a-z0-9{WS[1:-1]}]", " ")
 
 
 def drop_non_letters(c) -> Column:
     """Every character outside ``[a-z\\s]`` is removed (digits too; words may fuse)."""
-    return F.regexp_replace(_c(c), r"[^a-z\t\n\x0B\f\r ]", "")
+    return F.regexp_replace(_c(c), rf"[^a-z{WS[1:-1]}]", "")
 
 
 def basic_clean(c, collapse: bool = False, null_token: str | None = NULL_TOKEN) -> Column:
@@ -112,7 +113,7 @@ def strip_sentinels(c) -> Column:
 # ---- fixed value (must equal the reference's report cleanup) ---------------------------
 # Allowed characters of report text: word characters (letters, numbers, underscore),
 # whitespace and . , ! ? - R p [ ] |  (everything else is removed)
-REPORT_CHARSET = r"[^\p{L}\p{N}_\t\n\x0B\f\r \.,!?\-Rp\[\]\|]"
+REPORT_CHARSET = r"[^\p{L}\p{N}_" + WS[1:-1] + r"\.,!?\-Rp\[\]\|]"
 # ---------------------------------------------------------------------------------------
 
 

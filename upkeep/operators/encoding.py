@@ -29,8 +29,9 @@ def fit_label_codes(df: DataFrame, cols: list[str], missing: str = "Unknown") ->
     fitted encoder with one row per category)."""
     from upkeep.session import materialize
     distinct = _long_form(df, cols, [], missing).distinct()
-    w = Window.partitionBy("column").orderBy("value")  # one row per category: small
-    return materialize(distinct.withColumn("code", (F.row_number().over(w) - 1).cast("long")))
+    from upkeep.operators.ordering import row_number_within
+    numbered = row_number_within(distinct, ["column"], ["value"], rn_col="code")
+    return materialize(numbered.withColumn("code", (F.col("code") - 1).cast("long")))
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str],

@@ -11,13 +11,16 @@ from upkeep.operators.ordering import null_safe_on
 from upkeep.operators.rollup import attach_counts, complaint_counts
 from upkeep.sources import fixtures as fx
 
+#: Severity words of the fixture complaints with the classifier's default for others.  The
+#: reference's own words are the preset ``"interval"``.
+GRADED = ({"Ringan": 1, "Sedang": 2, "Berat": 3, "Fatal": 4}, 2)
 AS_OF = "2002-01-01"  # replaces the wall clock of the reference, so results are repeatable
 
 
 def asset_conditions(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
-                     severity="interval") -> DataFrame:
+                     severity=GRADED) -> DataFrame:
     """Assets with complaint count, mean severity and age.  ``severity`` is the severity
-    vocabulary: the interval classifier's preset (default 2) or a (mapping, default)."""
+    vocabulary: a (mapping, default), or ``"interval"``, the reference's words (default 2)."""
     a = fx.assets(spark, sf_dir)
     base = attach_counts(a, complaint_counts(fx.complaints(spark, sf_dir), severity))
     return base.withColumn("umur_aset_tahun",
@@ -25,7 +28,7 @@ def asset_conditions(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
 
 
 def scored_assets(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
-                  severity="interval") -> DataFrame:
+                  severity=GRADED) -> DataFrame:
     """Assets with their type's interval list and urgency score."""
     base = asset_conditions(spark, sf_dir, as_of, severity)
     lists = iv.interval_lists(fx.schedule(spark, sf_dir))
@@ -35,7 +38,7 @@ def scored_assets(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
 
 
 def interval_assignment(spark: SparkSession, sf_dir: str, as_of: str = AS_OF,
-                        severity="interval") -> DataFrame:
+                        severity=GRADED) -> DataFrame:
     """Flagship: one interval label per asset (null when its type has no schedule)."""
     return (scored_assets(spark, sf_dir, as_of, severity)
             .select("id", "kategori", "sub_kategori", "tipe", "tingkat_kekritisan",
@@ -59,7 +62,7 @@ def interval_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_complaint_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + J1 + J11 + P10: every asset with its complaint count and mean severity."""
     base = attach_counts(fx.assets(spark, sf_dir),
-                         complaint_counts(fx.complaints(spark, sf_dir), "interval"))
+                         complaint_counts(fx.complaints(spark, sf_dir), GRADED))
     return base.select("id", "kategori", "tingkat_kekritisan", "jumlah_komplain", "rata_severity")
 
 

@@ -145,12 +145,12 @@ def critical_oversample(spark: SparkSession, sf_dir: str, threshold: int = 60,
     3% Gaussian jitter on three columns (noise std measured on the copied rows, as the
     reference does), absolute values; union with the training rows.  One pass: each
     critical row explodes into its copies."""
-    # the split is read by the originals, the copies and three std aggregates
-    train = materialize(complaint_time_split(spark, sf_dir)).filter("is_train")
+    train = complaint_time_split(spark, sf_dir).filter("is_train")  # positions are written already
     cols = ["umur_saat_komplain", "jarak_servis_sebelumnya", "cost_density"]
     crit = train.filter(F.col("target_rul") <= threshold)
     copied = crit.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    stds = {c: copied.select(F.stddev_samp(F.col(c).cast("double"))).scalar() for c in cols}
+    stds = copied.agg(F.struct(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols])
+                      .alias("s")).scalar()
     jittered = copied.withColumns({
         c: F.abs(F.col(c).cast("double")
                  + stds[c] * F.lit(jitter) * keyed.gaussian("id", "row_seq", "copy", F.lit(c),
@@ -165,10 +165,10 @@ def critical_oversample(spark: SparkSession, sf_dir: str, threshold: int = 60,
 
 # ---- asset level (MP2) --------------------------------------------------------------------
 
-def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> DataFrame:
+def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "train") -> DataFrame:
     """Replaced assets with type schedule and complaint rollup; zero fills; the mean gap
-    imputed with the exact median, fitted on all rows (``fit_on='all'``, as the reference
-    does before its split) or on the training part of the time split (``'train'``)."""
+    imputed with the exact median, fitted on the training part of the time split, or on all rows
+    (``fit_on='all'``, as the reference does before its split: test rows leak into it)."""
     a = fx.assets(spark, sf_dir).select(
         "id", parse_date("tanggal_instalasi").alias("tanggal_instalasi"), *TYPE_KEYS,
         "merek", "tingkat_kekritisan")
@@ -180,9 +180,9 @@ def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "all") -> Da
         0.0, subset=["severity_mean", "biaya_total", "biaya_mean"])
     # the asset feature table feeds the median, the split and every consumer after it
     lab = materialize(lab)
-    if fit_on == "all":       # the reference imputes before splitting (trap T9)
+    if fit_on == "all":
         fit_rows = lab
-    elif fit_on == "train":   # no test rows in the statistic
+    elif fit_on == "train":
         fit_rows = time_split(lab, ["tanggal_penggantian", "id"]).filter("is_train")
     else:
         raise ValueError(fit_on)

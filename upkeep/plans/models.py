@@ -19,9 +19,11 @@ from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, IndexT
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import DenseVector
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from upkeep.plans import interval as ip
 from upkeep.plans import lifespan as ls
 from upkeep.plans import tickets as tk
 from upkeep.session import materialize
+from upkeep.sources import fixtures as fx
 
 SEED = 42
 # Tree training: a larger node batch per pass over the data (fewer passes per level) and
@@ -82,16 +85,28 @@ def _with_labels(model: PipelineModel, pred: DataFrame) -> DataFrame:
                          labels=labels).transform(pred)
 
 
+_trained: dict = {}
+
+
+def _interval_fit(spark: SparkSession, source):
+    """The fitted model of a session and source; predictions and importances share one fit."""
+    key = spark.sparkContext.applicationId, source if isinstance(source, str) else id(source)
+    if key not in _trained:
+        _trained.clear()
+        _trained[key] = train_interval_model(spark, source)
+    return _trained[key]
+
+
 def interval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: predicted interval for every test asset."""
-    model, _, test = train_interval_model(spark, sf_dir)
+    model, _, test = _interval_fit(spark, sf_dir)
     pred = _with_labels(model, model.transform(test))
     return pred.select("id", "frekuensi", "predicted")
 
 
 def interval_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: feature importances of the interval forest, strongest first."""
-    model, _, _ = train_interval_model(spark, sf_dir)
+    model, _, _ = _interval_fit(spark, sf_dir)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(zip(INTERVAL_FEATURES, imp), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(n, float(v), i + 1) for i, (n, v) in enumerate(rows)],
@@ -106,11 +121,12 @@ def save_interval_model(model: PipelineModel, codes: DataFrame, path: str) -> No
 
 def load_interval_model(spark: SparkSession, path: str):
     try:
-        model = PipelineModel.load(os.path.join(path, "pipeline"))
         codes = spark.read.parquet(os.path.join(path, "codes"))
-    except Exception as e:  # missing artifact: say what to do
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no interval model at {path}; train and save one first") from e
-    return model, codes
+    return PipelineModel.load(os.path.join(path, "pipeline")), codes
 
 
 def score_intervals(model: PipelineModel, codes: DataFrame, assets: DataFrame) -> DataFrame:
@@ -160,16 +176,25 @@ def lifespan_model(spark: SparkSession, sf_dir: str, num_trees: int = 250,
 class TicketCleaner(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
                     DefaultParamsWritable):
     """The training-time cleanup as a pipeline stage, so scoring new text (M6) runs the very
-    same expressions: strict cleanup, stop words, base forms."""
+    same expressions: strict cleanup, stop words, base forms.  The word tables are parameters and are
+    saved with the stage."""
+
+    stopWords = Param(Params._dummy(), "stopWords", "words to drop", TypeConverters.toListString)
+    words = Param(Params._dummy(), "words", "words that have a base form", TypeConverters.toListString)
+    bases = Param(Params._dummy(), "bases", "base forms of words, in order", TypeConverters.toListString)
 
     @keyword_only
-    def __init__(self, inputCol: str = "input_teks", outputCol: str = "clean_teks"):
+    def __init__(self, inputCol: str = "input_teks", outputCol: str = "clean_teks", stopWords=None,
+                 words=None, bases=None):
         super().__init__()
-        self._set(**self._input_kwargs)
+        self._setDefault(stopWords=list(tk.STOP_WORDS), words=list(tk.LEMMAS),
+                         bases=list(tk.LEMMAS.values()))
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
         strict = tx.strict_clean(F.col(self.getInputCol()))
-        toks = tx.map_words(tx.remove_words(tx.tokens(strict), tk.STOP_WORDS), tk.LEMMAS)
+        base_of = dict(zip(self.getOrDefault("words"), self.getOrDefault("bases")))
+        toks = tx.map_words(tx.remove_words(tx.tokens(strict), self.getOrDefault("stopWords")), base_of)
         return df.withColumn(self.getOutputCol(), tx.join_tokens(toks))
 
 
@@ -191,9 +216,9 @@ def fit_tfidf(train: DataFrame, max_features: int = 2000) -> PipelineModel:
 
 
 def _fit_target(feats: DataFrame, target: str, num_trees: int, max_depth: int,
-                opts: dict | None = None):
-    idx = StringIndexer(inputCol=target, outputCol=f"y_{target}", handleInvalid="keep",
-                        stringOrderType="alphabetAsc").fit(feats)
+                opts: dict | None = None, idx=None):
+    idx = idx or StringIndexer(inputCol=target, outputCol=f"y_{target}", handleInvalid="keep",
+                               stringOrderType="alphabetAsc").fit(feats)
     rf = RandomForestClassifier(labelCol=f"y_{target}", featuresCol="features",
                                 predictionCol=f"p_{target}", rawPredictionCol=f"raw_{target}",
                                 probabilityCol=f"prob_{target}", numTrees=num_trees,
@@ -201,12 +226,26 @@ def _fit_target(feats: DataFrame, target: str, num_trees: int, max_depth: int,
     return idx, rf.fit(idx.transform(feats))
 
 
-def train_ticket_models(train: DataFrame, max_features: int = 2000, num_trees: int = 100,
-                        max_depth: int = 20, parallelism: int = 4):
+def augment_tickets(train: DataFrame) -> DataFrame:
+    """Every training ticket and a copy with synonyms substituted in its cleaned text; the copy
+    keeps the source's id, targets and fold."""
+    text = F.col("input_teks")
+    both = F.array(text, tx.replace_words(tx.strict_clean(text), tk.SYNONYMS))
+    return train.withColumn("input_teks", F.explode(both))
+
+
+def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Rows for tree training in as few partitions as their number needs: every level of every tree
+    is a job over all partitions."""
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
+def train_ticket_models(train: DataFrame, max_features: int = 2000, num_trees: int = 200,
+                        max_depth: int = 30, parallelism: int = 4):
     """M3: one forest per target on one cached feature vector, fitted from a bounded driver
     thread pool (Spark runs the jobs concurrently)."""
     vec = fit_tfidf(train, max_features)
-    feats = vec.transform(train).select("features", *tk.TARGETS).cache()
+    feats = compact(materialize(vec.transform(train).select("features", *tk.TARGETS))).cache()
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         fitted = list(pool.map(lambda t: _fit_target(feats, t, num_trees, max_depth), tk.TARGETS))
     feats.unpersist()
@@ -224,12 +263,16 @@ def predict_tickets(vec: PipelineModel, fitted: dict, df: DataFrame) -> DataFram
 
 
 def ticket_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3 + E6/E7: four forests on TF-IDF, predictions for the test tickets."""
-    s = tk.with_input(tk.ticket_rows(spark, sf_dir))
+    """M3 + E6/E7 + F11: four forests (200 trees; depth 30 is Spark's "unlimited") on TF-IDF of the
+    augmented training part; predictions for the test tickets, beside them the exact match and the
+    accuracy of each target over all of them."""
+    s = tk.with_targets(tk.with_input(tk.ticket_rows(spark, sf_dir)))
     s = s.withColumn("is_train", keyed.uniform("ticket_id", seed=SEED) < F.lit(0.8))
-    vec, fitted = train_ticket_models(s.filter("is_train"))
+    vec, fitted = train_ticket_models(materialize(augment_tickets(s.filter("is_train"))))
     pred = predict_tickets(vec, fitted, s.filter(~F.col("is_train")))
-    return pred.select("ticket_id", *tk.TARGETS, *[f"pred_{t}" for t in tk.TARGETS])
+    pred = materialize(pred.select("ticket_id", *tk.TARGETS, *[f"pred_{t}" for t in tk.TARGETS]))
+    report = exact_match_report(pred, [(t, f"pred_{t}") for t in tk.TARGETS])  # one row
+    return pred.join(F.broadcast(report.withColumnRenamed("n", "n_test")))
 
 
 def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
@@ -239,7 +282,7 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
     twins never straddle folds); the score is the joint exact match over four targets,
     which is why the loop is explicit (CrossValidator scores one target).  Depth 30 is
     Spark's maximum and stands for 'unlimited'."""
-    s = tk.with_input(tk.ticket_rows(spark, sf_dir))
+    s = tk.with_targets(tk.with_input(tk.ticket_rows(spark, sf_dir)))
     s = s.withColumn("is_train", keyed.uniform("ticket_id", seed=SEED) < F.lit(0.8)) \
          .filter("is_train") \
          .withColumn("fold", F.floor(keyed.uniform("ticket_id", F.lit("fold"), seed=SEED)
@@ -252,14 +295,18 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
         tr, va = s.filter(F.col("fold") != f), s.filter(F.col("fold") == f)
         for v in vocab_sizes:
             vec = fit_tfidf(tr, v)
-            sets[(f, v)] = (materialize(vec.transform(tr).select("features", *tk.TARGETS)),
-                            materialize(vec.transform(va).select("features", *tk.TARGETS)))
+            sets[(f, v)] = tuple(compact(materialize(vec.transform(x).select("features", *tk.TARGETS))).cache()
+                                 for x in (tr, va))
+    # an index per fold and target (it does not depend on the vocabulary)
+    indexers = {(f, t): StringIndexer(inputCol=t, outputCol=f"y_{t}", handleInvalid="keep",
+                                      stringOrderType="alphabetAsc").fit(sets[(f, vocab_sizes[0])][0])
+                for f in range(folds) for t in tk.TARGETS}
     jobs = [(f, v, n, d, t) for (f, v) in sets for n in tree_counts for d in depths
             for t in tk.TARGETS]
 
     def fit_one(job):
         f, v, n, d, t = job
-        return job, _fit_target(sets[(f, v)][0], t, n, d, GRID_TREE_OPTS)
+        return job, _fit_target(sets[(f, v)][0], t, n, d, GRID_TREE_OPTS, indexers[(f, t)])
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         fitted = dict(pool.map(fit_one, jobs))
@@ -274,6 +321,9 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
                                       labels=idx.labels + ["__unseen__"]).transform(m.transform(p))
                 em = exact_match_report(p, [(t, f"pred_{t}") for t in tk.TARGETS]).first()
                 results.append((v, n, d, f, float(em["exact_match"] or 0.0)))
+    for pair in sets.values():
+        for x in pair:
+            x.unpersist()
     res = spark.createDataFrame(results, "max_features int, num_trees int, max_depth int, "
                                          "fold int, exact_match double")
     return res.groupBy("max_features", "num_trees", "max_depth").agg(
@@ -285,7 +335,7 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
 def vector_model(spark: SparkSession, sf_dir: str, num_trees: int = 200,
                  max_depth: int = 30) -> DataFrame:
     """F10 re-aimed: a forest on stored float-array vectors (array_to_vector, no Python)."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = fx.embeddings(spark, sf_dir)
     d = (e.withColumn("features", array_to_vector("embedding"))
          .withColumn("label", F.col("label").cast("double"))
          .withColumn("is_train", keyed.uniform("vec_id", seed=SEED) < F.lit(0.8)))

@@ -22,10 +22,12 @@ def string_schema(names: list[str], corrupt: bool = False) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_comma_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Comma CSV with a header, quoted fields that may hold commas and line breaks."""
+def read_comma_csv(spark: SparkSession, path: str, schema: T.StructType,
+                   multi_line: bool = False) -> DataFrame:
+    """Comma CSV with a header and quoted fields that may hold commas.  Fields that hold line
+    breaks need ``multi_line``, which reads every file in one task."""
     return (spark.read.schema(schema).option("header", True).option("quote", '"')
-            .option("escape", '"').option("multiLine", True).csv(path))
+            .option("escape", '"').option("multiLine", multi_line).csv(path))
 
 
 def read_pipe_csv(spark: SparkSession, path: str, names: list[str], header: bool = True,
@@ -36,7 +38,8 @@ def read_pipe_csv(spark: SparkSession, path: str, names: list[str], header: bool
     df = (spark.read.schema(string_schema(names, corrupt=True)).option("sep", sep)
           .option("header", header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    n_fields = F.size(F.split(F.col(CORRUPT), "\\" + sep if sep in "|.^$*+?()[]{}\\" else sep))
+    bare = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*+"', "")  # separators in quotes are text
+    n_fields = F.size(F.split(bare, "\\" + sep if sep in "|.^$*+?()[]{}\\" else sep))
     keep = F.col(CORRUPT).isNull() | (n_fields <= len(names))
     # Spark refuses a scan whose only used column is the corrupt-record one (e.g. under a
     # bare count); touching the first data column keeps such plans legal.
@@ -49,17 +52,3 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     the first line is read (a limit-1 scan)."""
     first = spark.read.text(path).limit(1).collect()
     return "|" if first and "|" in (first[0][0] or "") else ","
-
-
-def parse_delimited_column(df: DataFrame, text_col: str, names: list[str], sep: str = "|"
-                           ) -> DataFrame:
-    """Delimited text held in a string value -> one row per line, named fields (short
-    lines padded, long lines skipped, blank lines dropped)."""
-    lines = df.select("*", F.posexplode(F.split(F.col(text_col), "\n")).alias("_i", "_line"))
-    lines = lines.filter(F.trim("_line") != "")
-    fields = F.split("_line", "\\" + sep if sep in "|.^$*+?()[]{}\\" else sep)
-    lines = lines.filter(F.size(fields) <= len(names))
-    return lines.select(*[c for c in df.columns if c != text_col],
-                        (F.col("_i") + 1).alias("line_no"),
-                        *[F.try_element_at(fields, F.lit(i + 1)).alias(n)
-                          for i, n in enumerate(names)])

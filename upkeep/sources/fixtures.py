@@ -13,6 +13,8 @@ tables.  All derivations are narrow projections/filters except:
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,22 @@ TICKET_V1_COLUMNS = ["teks_keluhan_awam", "teks_laporan_teknisi", "kategori_aset
 DATE_FMT = "dd-MM-yyyy"
 
 
+def own_table(derive):
+    """Plans name their source as ``(spark, source)``: a folder of the shared test tables, from
+    which ``derive`` makes the table, or a mapping of table names to the caller's DataFrames."""
+    name = derive.__name__
+
+    @functools.wraps(derive)
+    def table(spark: SparkSession, source: str | Mapping[str, DataFrame]) -> DataFrame:
+        if isinstance(source, Mapping):
+            if name not in source:
+                raise KeyError(f"the plan needs a table {name!r}; given: {sorted(source)}")
+            return source[name]
+        return derive(spark, source)
+
+    return table
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +86,7 @@ def price_units(retail: Column) -> Column:
     return F.round(retail * 1000).cast("long")
 
 
+@own_table
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -90,6 +109,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@own_table
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     pk, ok, ln = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
@@ -117,6 +137,7 @@ def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@own_table
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = assets(spark, sf_dir).select("kategori", "sub_kategori", "tipe").distinct()
     i = F.col("i")
@@ -129,6 +150,7 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _pick(INTERVALS, i - 1).alias("frekuensi"), i.cast("long").alias("row_seq")))
 
 
+@own_table
 def replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -149,6 +171,7 @@ def replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@own_table
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket table (v1 shape).  The complaint text is the document's first line and the
     technician text is the rest of the document, so the two fields together hold the
@@ -173,6 +196,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@own_table
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw generated-text responses, five pipe lines per batch, three wrapping styles."""
     p = _read(spark, sf_dir, "part")
@@ -199,6 +223,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("batch_id", text.alias("response_text"))
 
 
+@own_table
 def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     k = F.col("p_partkey")
@@ -217,6 +242,7 @@ def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     out.alias("narasi_laporan_output"))
 
 
+@own_table
 def done_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases already present in the ticket sink (for the resume job)."""
     c = complaints(spark, sf_dir).filter(F.length("severity") % 2 == 0)
@@ -224,6 +250,7 @@ def done_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("penyebab").alias("root_cause"), "jenis_kerusakan").distinct()
 
 
+@own_table
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings")
 
