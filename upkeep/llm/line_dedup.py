@@ -10,9 +10,10 @@ replace one character).  Blank lines are structure and stay.
    quarter of its length, aligned from the left and from the right.  Hashes of the line without
    each of its four windows are counted; only lines that share one go on.  This loses nothing: one edit
    lies in some window.
+   The same step inside the shared windows narrows them to a sixteenth of the line.
 3. For those lines, all variants within the edit bound that touch the shared window are emitted
    as hashed keys: the line itself, the line with one character deleted, and the line with one
-   character deleted and its place kept.  Lines meet over equal keys (deleted against whole: one
+   character deleted and its place kept (the window's text together with the hash of the rest).  Lines meet over equal keys (deleted against whole: one
    insert or delete; deleted at the same place: one replaced character) and the edit distance
    to the earliest line under the key is verified.
 4. The first position of every kept line returns to its document as a bit set of line numbers, by
@@ -36,21 +37,29 @@ BUCKETS = 1 << 18
 BITS = 62
 
 
-def _unit(length: Column) -> Column:
-    """Length of the aligned pieces outside the windows of a line."""
-    return F.floor(length / (WINDOWS * UNIT)).cast("int") * UNIT
+def _unit(length: Column, step: int = UNIT) -> Column:
+    """Length of the aligned pieces outside the windows of a text, a multiple of ``step``."""
+    return F.floor(length / (WINDOWS * step)).cast("int") * step
 
 
-def _outside(line: Column, length: Column, unit: Column) -> list[Column]:
-    """Hash of the line without window j, for every j."""
+def _outside(text: Column, length: Column, unit: Column, *more: Column) -> list[Column]:
+    """Hash of ``more`` and the text without window j, for every j."""
     keys = []
     for j in range(WINDOWS):
         left, right = unit * j, unit * (WINDOWS - 1 - j)
-        keys.append(F.xxhash64(F.lit(j), unit, F.substring(line, F.lit(1), left),
-                               F.substring(line, length - right + 1, right)))
+        keys.append(F.xxhash64(F.lit(j), unit, *more, F.substring(text, F.lit(1), left),
+                               F.substring(text, length - right + 1, right)))
     return keys
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows whose ``key`` occurs with more than one line: two extremes tell (different lines
+    have different hashes), so no group is gathered."""
+    keys = (keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+            .filter("lo != hi").select("key"))
+    return keyed.join(keys, "key", "left_semi")
+
+
 def _written(line: Column) -> Column:
     """Whether a line is more than x20 and x09-x0D."""
     return line.rlike(r"[^ \t-\r]")
@@ -75,10 +84,7 @@ def _near_firsts(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFra
     """(h1, h2) of the distinct lines that have an earlier neighbour.  ``first`` holds every
     distinct line's position, length and window hashes (``keys``)."""
     keyed = first.filter(F.size("keys") > 0).select("h1", "h2", F.explode("keys").alias("key"))
-    # lines differ if their hashes do; two extremes tell whether a key has more than one line
-    shared = (keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-              .filter("lo != hi").select("key"))
-    alive = scratch.write(keyed.join(shared, "key", "left_semi").select("h1", "h2", "key"))
+    alive = scratch.write(_shared(keyed).select("h1", "h2", "key"))
     # texts of those lines: a bounded set of hash buckets first thins out the scan, then an exact join
     buckets = F.broadcast(alive.select(F.pmod("h1", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
     texts = (_lines(docs).withColumn("bucket", F.pmod("h1", F.lit(BUCKETS)).cast("int"))
@@ -88,23 +94,30 @@ def _near_firsts(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFra
     n = F.length("line")
     live = alive.groupBy("h1", "h2").agg(F.collect_set("key").alias("alive"))  # at most 8 keys
     lines = scratch.write(texts.join(live, ["h1", "h2"]).withColumn("n", n))
-    # windows [left, n - right) of the line whose outside is shared, for either length class
-    spans = []
-    for unit in (_unit(F.col("n")), _unit(F.col("n") - 1)):
-        for j, key in enumerate(_outside(F.col("line"), F.col("n"), unit)):
-            spans.append(F.when(F.array_contains("alive", key),
-                                F.sequence(unit * j, F.col("n") - unit * (WINDOWS - 1 - j) - 1)))
-    places = F.array_distinct(F.flatten(F.filter(F.array(*spans), lambda s: s.isNotNull())))
-    cut = lambda i: F.concat(F.substring("line", F.lit(1), i),
-                             F.substring("line", i + 2, F.col("n")))
+    # the windows whose outside is shared, for either length class; then the same inside them, so
+    # that variants are made of some sixteenth of a line and hashed with what lies around it
+    units = [_unit(F.col("n")), _unit(F.col("n") - 1)]
+    inner = F.array(*[F.struct(key.alias("key"), F.substring("line", unit * j + 1, F.col("n") - unit * (WINDOWS - 1))
+                               .alias("text")) for unit in units
+                      for j, key in enumerate(_outside(F.col("line"), F.col("n"), unit))])
+    windows = lines.select("h1", "h2", "pos", "alive", F.explode(F.array_distinct(inner)).alias("w")).filter(
+        F.array_contains("alive", F.col("w.key"))).select("h1", "h2", "pos", "w.*")
+    m = F.length("text")
+    parts = F.array(*[F.struct(key.alias("key"), F.substring("text", unit * j + 1, m - unit * (WINDOWS - 1))
+                               .alias("text")) for unit in (_unit(m, 1), _unit(m - 1, 1))
+                      for j, key in enumerate(_outside(F.col("text"), m, unit, F.col("key")))])
+    close = _shared(windows.select("h1", "h2", "pos", F.explode(F.array_distinct(parts)).alias("w"))
+                    .select("h1", "h2", "pos", "w.*"))
+    cut = lambda i: F.concat(F.substring("text", F.lit(1), i), F.substring("text", i + 2, m))
+    places = F.sequence(F.lit(0), m - 1)
     variants = F.concat(
         F.array(F.struct(F.lit("whole").alias("side"), F.lit("deleted").alias("meets"),
-                         F.xxhash64("line").alias("key"))),
+                         F.xxhash64("key", "text").alias("key"))),
         F.transform(places, lambda i: F.struct(F.lit("deleted").alias("side"), F.lit("whole").alias("meets"),
-                                               F.xxhash64(cut(i)).alias("key"))),
+                                               F.xxhash64(F.col("key"), cut(i)).alias("key"))),
         F.transform(places, lambda i: F.struct(F.lit("replaced").alias("side"), F.lit("replaced").alias("meets"),
-                                               F.xxhash64(i, cut(i)).alias("key"))))
-    emitted = scratch.write(lines.select("h1", "h2", "pos", F.explode(F.array_distinct(variants)).alias("v"))
+                                               F.xxhash64(F.col("key"), i, cut(i)).alias("key"))))
+    emitted = scratch.write(close.filter(m > 0).select("h1", "h2", "pos", F.explode(F.array_distinct(variants)).alias("v"))
                             .select("h1", "h2", "pos", "v.*"))
     # keys met by one line only end here; the others are joined with the earliest under the key
     earliest = emitted.groupBy("key", "side").agg(F.min("pos").alias("epos"),
@@ -175,8 +188,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          lambda w: F.coalesce(F.element_at("__kept", w), F.lit(0).cast("long")))
     both = both.withColumns({"__lines": lines, "__n": count, "__bits": bitset})
     held = lambda i: F.getbit(F.get("__bits", F.floor(i / BITS).cast("int")), i % BITS) == 1
-    both = both.withColumn("__out", F.filter("__lines", lambda x, i: ~_written(x) | held(i)))
-    left = F.size(F.filter(F.coalesce("__out", F.array(F.lit(""))), _written))
+    both = both.withColumn("__out", F.filter("__lines", lambda x, i: held(i) | ~_written(x)))
+    left = F.aggregate("__bits", F.lit(0), lambda acc, w: acc + F.bit_count(w))
     stats = F.struct(F.col("__n").cast("long").alias("n_lines"),
                      (F.col("__n") - F.size(F.coalesce("__out", F.array(F.lit(""))))).cast("long").alias("n_dropped"),
                      left.cast("long").alias("n_left"))

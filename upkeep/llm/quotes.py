@@ -149,6 +149,8 @@ def chat_turns(linked: DataFrame) -> DataFrame:
 
 
 def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``parent_turn`` is -1 for messages that answer none."""
     turns = chat_turns(link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    return turns.select("conv_id", "turn", "n_quotes", "n_linked", "parent_turn", "thread", "depth",
+    return turns.select("conv_id", "turn", "n_quotes", "n_linked",
+                        F.coalesce("parent_turn", F.lit(-1).cast("long")).alias("parent_turn"), "thread", "depth",
                         F.array_join("path", "/").alias("path"), F.md5("formatted").alias("formatted_md5"))

@@ -22,9 +22,10 @@ ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
           r"""([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{14,}+"  # 18 characters or more
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
-#: Candidate tokens, and what makes one look like a credential rather than a word.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
-MIXED = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])"
+#: Candidate tokens: 12 characters or more with a digit and a letter among them; and what
+#: makes one look like a credential rather than a name.
+CANDIDATE = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])"
+             r"[A-Za-z0-9+/_=-]{12,}+")
 LIVE_CHARS, LIVE_DISTINCT = 20, 10
 #: From so many owners on, a value is a copied example.
 EXAMPLE_OWNERS = 3
@@ -49,9 +50,11 @@ def _before(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, joined(blocks)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _found(text: Column, pattern: str, group: int, kind: str, order: int, least: int = 0) -> Column:
+def _found(text: Column, needs: Column, pattern: str, group: int, kind: str, order: int,
+           least: int = 0) -> Column:
     """All leftmost non-overlapping matches: array of (start, ord, end, kind, value), offsets in
-    code points.  Lengths of the text between matches and of the matches add up to them."""
+    code points.  Lengths of the text between matches and of the matches add up to them.
+    ``needs`` is a cheap test that every text with a match passes."""
     rx = F.lit(pattern)
     whole = F.regexp_extract_all(text, rx, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
@@ -65,7 +68,7 @@ def _found(text: Column, pattern: str, group: int, kind: str, order: int, least:
         F.lit(kind).alias("kind"), v.alias("value")))
     rows = F.filter(rows, lambda r: F.length(r["value"]) >= least)
     none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string>>")
-    return F.when(text.rlike(pattern), rows).otherwise(none)
+    return F.when(needs & text.rlike(pattern), rows).otherwise(none)
 
 
 def _written(spans: Column) -> Column:
@@ -95,9 +98,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
                        F.coalesce(F.col(repository_col).cast("string"), F.lit("")).alias("repository"))
     text = F.col("text")
-    base = F.array_sort(F.concat(_found(text, ASSIGN, 2, "assign", 0, 12),
-                                 _found(text, ACCESS, 0, "access", 1), _found(text, HEX, 0, "hex", 2)))
-    tokens = F.filter(_found(text, CANDIDATE, 0, "live", 3), lambda t: t["value"].rlike(MIXED))
+    marks, digits = text.contains("=") | text.contains(":"), text.rlike("[0-9]")
+    base = F.array_sort(F.concat(
+        _found(text, marks, ASSIGN, 2, "assign", 0, 12),
+        _found(text, text.contains("AKIA"), ACCESS, 0, "access", 1),
+        _found(text, F.lit(True), HEX, 0, "hex", 2)))
+    tokens = _found(text, digits, CANDIDATE, 0, "live", 3)
     rows = scratch.write(rows.select("doc_id", "owner", "repository", text_key(text).alias("tkey"),
                                      base.alias("base"), tokens.alias("tokens")))
     # one row per value and document at most, then per value and owner, then per value
