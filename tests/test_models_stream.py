@@ -1,6 +1,8 @@
 """Models (statistical checks, persistence) and the streaming append job."""
 
 import os
+
+import pytest
 import shutil
 
 from pyspark.sql import functions as F
@@ -64,6 +66,14 @@ def test_stream_appends_each_file_once(spark, tmpdir_path):
     n2 = spark.read.parquet(sink).count()
     start_append(spark, raw, sink, ck).awaitTermination()  # nothing new: nothing appended
     assert 0 < n1 < n2 == spark.read.parquet(sink).count()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start_append(spark, raw, sink, ck + "2")
+    # resume from the real sink: what it holds is no longer queued
+    from upkeep.plans.corpus import coverage_queue, queue_remaining
+    case = coverage_queue(spark, SF_SMALL).first()
+    done = spark.createDataFrame([(case.kategori, case.severity, case.penyebab, case.jenis_kerusakan)],
+                                 "kategori_aset string, severity string, root_cause string, jenis_kerusakan string")
+    assert queue_remaining(spark, SF_SMALL, done).count() == coverage_queue(spark, SF_SMALL).count() - 1
 
 
 def test_tfidf_ml_form_equals_relational_form(spark):
@@ -81,3 +91,25 @@ def test_tfidf_ml_form_equals_relational_form(spark):
     terms = spark.createDataFrame(list(enumerate(vocab)), "i int, term string")
     ml = ml.join(terms, "i").select("ticket_id", "term", F.round("w", 6).alias("tfidf"))
     assert rel.exceptAll(ml).count() == 0 and ml.exceptAll(rel).count() == 0
+
+
+def test_complaint_level_model(spark):
+    """M2 at complaint level, few trees: metrics over the test part of the time split, and scores that
+    beat the training mean."""
+    from upkeep.plans import lifespan, models
+    model, feats, days = models.rul_fit(spark, SF_SMALL, num_trees=10, max_depth=6)
+    s = lifespan.complaint_split(spark, SF_SMALL)
+    assert days.count() == s.filter("not is_train").count() and len(feats) == 13
+    mean = s.filter("is_train").agg(F.avg("target")).first()[0]
+    mae, flat = days.agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))),
+                         F.avg(F.abs(F.col("actual") - F.lit(mean)))).first()
+    assert mae < flat
+    assert model.featureImportances.size == 13
+
+
+def test_augmented_tickets_keep_their_source(spark):
+    from upkeep.plans import models, tickets
+    rows = tickets.with_targets(tickets.with_input(tickets.ticket_rows(spark, SF_SMALL)))
+    twice = models.augment_tickets(rows)
+    assert twice.count() == 2 * rows.count()
+    assert twice.select("ticket_id", *tickets.TARGETS).distinct().count() == rows.count()

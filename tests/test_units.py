@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -29,18 +31,15 @@ def test_pick_edge_cases(spark):
 
 
 def test_interval_counts(spark):
-    """With the interval classifier's vocabulary every fixture severity maps to 2 (only
-    'Sedang' is in it, the rest take the default); with the fixture's own vocabulary and
-    default 2 the counts are those noted in FIXTURES.md."""
-    from upkeep.operators.rollup import SEVERITY_MAP_LIFESPAN
+    """With the reference's words every fixture severity maps to 2 (only 'Sedang' is among them, the
+    rest take the default); with the fixture's own words the counts are those of FIXTURES.md."""
     from upkeep.plans.interval import interval_assignment
 
     def dist(**kw):
         return {r["frekuensi"]: r["c"] for r in interval_assignment(spark, SF_SMALL, **kw)
                 .groupBy("frekuensi").agg(F.count("*").alias("c")).collect()}
-    assert dist() == {"Harian": 29, "Mingguan": 59, "Bulanan": 64, "Tiga Bulanan": 22, None: 26}
-    assert dist(severity=(SEVERITY_MAP_LIFESPAN, 2)) == {
-        "Harian": 31, "Mingguan": 59, "Bulanan": 61, "Tiga Bulanan": 22, "Semester": 1, None: 26}
+    assert dist(severity="interval") == {"Harian": 67, "Mingguan": 65, "Bulanan": 32, "Tiga Bulanan": 10, None: 26}
+    assert dist() == {"Harian": 70, "Mingguan": 65, "Bulanan": 29, "Tiga Bulanan": 10, None: 26}
 
 
 def test_bad_dates_become_null(spark):
@@ -235,3 +234,104 @@ def test_median_imputation_fit_on_train(spark):
     known = tr.join(single, "id", "left_semi").join(raw.filter("is_train").select("id"), "id")
     exp = known.select(F.median("hari_antar_komplain_mean")).first()[0]
     assert len(imputed) == 1 and abs(imputed[0][0] - exp) < 1e-9
+
+
+def test_ids_and_order_beyond_six_digits(spark):
+    """Keys are padded, never cut; order keys far beyond 2**29 keep one order; larger ones are an error."""
+    from upkeep.sources import fixtures as fx
+    keys = spark.createDataFrame([(k,) for k in (7, 999999, 1000000, 1000007)], "k long")
+    ids = [r[0] for r in keys.select(fx.asset_id(F.col("k"))).collect()]
+    assert ids == ["A000007", "A999999", "A1000000", "A1000007"]
+
+
+def _lineitem_source(spark, path, orders):
+    spark.read.parquet(f"{SF_SMALL}/part.parquet").write.parquet(f"{path}/part.parquet")
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(1)
+    rows = [li.withColumn("l_orderkey", F.lit(o).cast("long")).withColumn("l_partkey", F.lit(7).cast(
+        li.schema["l_partkey"].dataType)) for o in orders]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    out.write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_large_order_keys(spark, tmpdir_path):
+    from upkeep.sources import fixtures as fx
+    src = _lineitem_source(spark, tmpdir_path + "/a", [600_000_000, 536_870_912, 1 << 44])
+    seq = [r.row_seq for r in fx.complaints(spark, src).orderBy("row_seq").collect()]
+    assert len(set(seq)) == 3 and all(s >> fx.SEQ_BITS == seq[0] >> fx.SEQ_BITS for s in seq)
+    src = _lineitem_source(spark, tmpdir_path + "/b", [1 << 45])
+    with pytest.raises(Exception, match="order key too large"):
+        fx.complaints(spark, src).collect()
+
+
+def test_crosstab_keeps_every_value(spark):
+    from upkeep.operators.profile import crosstab, pivot_counts
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "unlisted"), ("b", None)], "r string, c string")
+    pairs = crosstab(df, "r", "c")
+    assert {tuple(r) for r in pairs.collect()} == {("a", "x", 1), ("a", "y", 1), ("b", "unlisted", 1)}
+    wide = {r.r: r for r in pivot_counts(pairs, "r", "c").collect()}
+    assert wide["b"]["unlisted"] == 1 and wide["b"]["x"] == 0
+
+
+def test_quoted_separators_count_as_text(spark, tmpdir_path):
+    import os
+
+    from upkeep.sources.delimited import read_pipe_csv
+    path = os.path.join(tmpdir_path, "t.csv")
+    with open(path, "w") as f:
+        f.write('a|b|c\n"x|y|z"|q\n1|2|3\n1|2|3|4\n"s ""|"" t"|u|v\n')
+    got = {tuple(r) for r in read_pipe_csv(spark, path, ["a", "b", "c"]).collect()}
+    assert ("x|y|z", "q", None) in got and ("1", "2", "3") in got and len(got) == 3
+
+
+def test_blanks_as_in_python(spark):
+    from upkeep.functions import text as tx
+    for t in ("pompa air", "　a \x1c b ", "x\x85y "):
+        r = spark.createDataFrame([(t,)], "t string").select(tx.collapse_ws("t"), tx.tokens("t")).first()
+        assert r[0] == " ".join(t.split()) and r[1] == t.split()
+
+
+def test_plans_on_own_tables(spark):
+    from upkeep.plans import interval
+    own = {
+        "assets": spark.createDataFrame([("x1", "n", "K", "S", "T", "m", "Critical", "01-01-1990", "g", "l", "z", 1)],
+                                        "id string, nama string, kategori string, sub_kategori string, tipe string, merek string, "
+                                        "tingkat_kekritisan string, tanggal_instalasi string, lokasi_gedung string, "
+                                        "lokasi_lantai string, lokasi_zona string, row_seq long"),
+        "complaints": spark.createDataFrame([("x1", "Fatal")], "id string, severity string"),
+        "schedule": spark.createDataFrame([("K", "S", "T", "Bulanan", 1), ("K", "S", "T", "Harian", 2)],
+                                          "kategori string, sub_kategori string, tipe string, frekuensi string, row_seq long"),
+    }
+    r = interval.interval_assignment(spark, own).first()
+    assert (r.id, r.rata_severity, r.n_intervals, r.frekuensi) == ("x1", 4.0, 2, "Harian")
+    with pytest.raises(KeyError, match="replacements"):
+        from upkeep.plans.lifespan import first_replacements
+        first_replacements(spark, own)
+
+
+def test_empty_sink_only_if_missing(spark, tmpdir_path):
+    from upkeep.sources.sinks import RUN_SCHEMA, read_with_row_seq, table_or_empty
+    assert table_or_empty(spark, tmpdir_path + "/none", RUN_SCHEMA).count() == 0
+    spark.range(10).coalesce(1).write.parquet(tmpdir_path + "/t")
+    got = read_with_row_seq(spark, tmpdir_path + "/t").orderBy("row_seq").collect()
+    assert [r.id for r in got] == list(range(10)) and [r.row_seq.row for r in got] == list(range(10))
+    with pytest.raises(Exception):
+        table_or_empty(spark, tmpdir_path + "/t", RUN_SCHEMA, fmt="no_such_format").count()
+
+
+def test_half_even_report_values(spark):
+    from upkeep.plans.lifespan import fixed_prediction
+    df = spark.createDataFrame([(0.5, 0, 0), (1.5, 0, 0), (2.5, 0, 0)], "target double, total_komplain int, severity_max int")
+    assert [r.actual for r in fixed_prediction(df).collect()] == [0.0, 2.0, 2.0]
+
+
+def test_texts_without_tokens_stay(spark):
+    from upkeep.plans.reports import fixed_length_ids
+    pairs = spark.createDataFrame([(1, "[MESIN] a", "kata kata"), (2, "[MESIN] b", "()"), (3, None, "kata")],
+                                  "pair_id long, linearized_data_input string, narasi_laporan_output string")
+    rows = fixed_length_ids(spark, {"report_pairs": pairs}).collect()
+    assert len(rows) == 3 and sorted(r.n_label_tokens for r in rows) == [0, 1, 2]
+    none = next(r for r in rows if r.n_label_tokens == 0)
+    assert none.labels.split(",") == ["1"] + ["-100"] * 127

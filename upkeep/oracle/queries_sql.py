@@ -272,6 +272,22 @@ SQL["target_encoding"] = with_fixtures(LIFE_FIX, ASSET + [
     f"LEFT JOIN enc e{i} ON e{i}.col = '{c}' AND e{i}.val IS NOT DISTINCT FROM CAST(s.{c} AS VARCHAR)"
     for i, c in enumerate(_TE)))
 
+SQL["complaint_target_encoding"] = with_fixtures(LIFE_FIX, HIST + [
+    ("tr", "SELECT *, CAST(target_rul AS DOUBLE) AS target FROM hsplit WHERE is_train"),
+    ("prior", "SELECT avg(target) AS prior FROM tr"),
+    ("st", "SELECT col, val, count(*) AS n, avg(target) AS mean FROM ("
+           + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS val, target FROM tr"
+                                for c in _TE) + ") GROUP BY col, val"),
+    ("enc", f"""SELECT col, val, CASE WHEN n = 1 THEN prior
+                  ELSE prior * (1{D} - w) + mean * w END AS enc
+                FROM (SELECT st.*, p.prior, 1{D} / (1{D} + exp(-(n - 20) / 10{D})) AS w
+                      FROM st, prior p)"""),
+], "SELECT s.id, s.row_seq, s.is_train, round(ln(1 + biaya_perbaikan), 6) AS biaya_log, " + ", ".join(
+    f"round(coalesce(e{i}.enc, (SELECT prior FROM prior)), 6) AS te_{c}" for i, c in enumerate(_TE))
+   + " FROM hsplit s " + " ".join(
+    f"LEFT JOIN enc e{i} ON e{i}.col = '{c}' AND e{i}.val IS NOT DISTINCT FROM CAST(s.{c} AS VARCHAR)"
+    for i, c in enumerate(_TE)))
+
 SQL["worst_predictions"] = with_fixtures(LIFE_FIX, ASSET, """
 SELECT t.id, t.actual, t.predicted, t.error, a.kategori, a.sub_kategori, a.tipe, a.merek
 FROM (SELECT id, actual, predicted, error FROM tpred ORDER BY error DESC, id LIMIT 15) t

@@ -66,11 +66,12 @@ def coverage_queue(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFr
                       "lokasi_zona", "severity", "penyebab", "jenis_kerusakan", "biaya_perbaikan")
 
 
-def queue_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queue_remaining(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
     """K4 + J9: queued cases not yet in the sink, matched on the four real key columns
-    (a missing part matches a missing part)."""
+    (a missing part matches a missing part).  ``done`` is the sink's table, e.g.
+    ``sinks.table_or_empty(spark, path, schema)``; the test data's stand-in by default."""
     q = coverage_queue(spark, sf_dir)
-    done = fx.done_cases(spark, sf_dir).select(
+    done = (fx.done_cases(spark, sf_dir) if done is None else done).select(
         F.col("kategori_aset").alias("kategori"), "severity",
         F.col("root_cause").alias("penyebab"), "jenis_kerusakan")
     return q.join(done, null_safe_on(q, done, CASE_KEYS), "left_anti")

@@ -147,20 +147,46 @@ def critical_oversample(spark: SparkSession, sf_dir: str, threshold: int = 60,
     critical row explodes into its copies."""
     train = complaint_time_split(spark, sf_dir).filter("is_train")  # positions are written already
     cols = ["umur_saat_komplain", "jarak_servis_sebelumnya", "cost_density"]
-    crit = train.filter(F.col("target_rul") <= threshold)
-    copied = crit.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    out = oversample(train, threshold, copies, jitter, seed)
+    return out.select("id", "row_seq", "copy", "target_rul",
+                      *[F.round(c, 6).alias(c) for c in cols])
+
+
+COMPLAINT_NUMERIC = ["umur_saat_komplain", "total_komplain_historis", "jarak_servis_sebelumnya",
+                     "severity_num", "max_severity_3", "biaya_log", "cost_density"]
+
+
+def complaint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """complaint features with the cost on a log scale and the real remaining life as target,
+    split by time."""
+    s = complaint_time_split(spark, sf_dir)
+    return s.withColumns({"biaya_log": F.log1p("biaya_perbaikan"),
+                          "target": F.col("target_rul").cast("double")})
+
+
+def complaint_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 + F7 on complaints: encodings fitted on the training part, applied to every row."""
+    s = materialize(complaint_split(spark, sf_dir))
+    enc = fit_target_encoding(s.filter("is_train"), CAT_COLS, "target")
+    out = apply_target_encoding(s, enc, CAT_COLS)
+    return out.select("id", "row_seq", "is_train", F.round("biaya_log", 6).alias("biaya_log"),
+                      *[F.round(f"te_{c}", 6).alias(f"te_{c}") for c in CAT_COLS])
+
+
+def oversample(train: DataFrame, threshold: int = 60, copies: int = 2, jitter: float = 0.03,
+               seed: int = SEED) -> DataFrame:
+    """F8: the training rows and ``copies`` of each with a remaining life of ``threshold`` days at most,
+    three columns jittered by keyed Gaussian noise of ``jitter`` of their deviation."""
+    cols = ["umur_saat_komplain", "jarak_servis_sebelumnya", "cost_density"]
+    copied = train.filter(F.col("target_rul") <= threshold).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     stds = copied.agg(F.struct(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols])
                       .alias("s")).scalar()
     jittered = copied.withColumns({
-        c: F.abs(F.col(c).cast("double")
-                 + stds[c] * F.lit(jitter) * keyed.gaussian("id", "row_seq", "copy", F.lit(c),
-                                                            seed=seed))
-        for c in cols})
-    orig = train.withColumn("copy", F.lit(0)).withColumns(
-        {c: F.col(c).cast("double") for c in cols})
-    out = orig.unionByName(jittered.select(*orig.columns))
-    return out.select("id", "row_seq", "copy", "target_rul",
-                      *[F.round(c, 6).alias(c) for c in cols])
+        c: F.abs(F.col(c).cast("double") + stds[c] * F.lit(jitter)
+                 * keyed.gaussian("id", "row_seq", "copy", F.lit(c), seed=seed)) for c in cols})
+    orig = train.withColumn("copy", F.lit(0)).withColumns({c: F.col(c).cast("double") for c in cols})
+    return orig.unionByName(jittered.select(*orig.columns))
 
 
 # ---- asset level (MP2) --------------------------------------------------------------------

@@ -172,6 +172,40 @@ def lifespan_model(spark: SparkSession, sf_dir: str, num_trees: int = 250,
     return regression_report(days, "actual", "predicted", key="id")
 
 
+def rul_fit(spark: SparkSession, sf_dir: str, num_trees: int = 500, max_depth: int = 20):
+    """M2 at complaint level: forest on log1p of the real remaining life, fitted to the oversampled
+    training part of the time split; features are the complaint history, log cost and target
+    encodings.  Returns (model, feature names, scored test rows in days)."""
+    from upkeep.operators.encoding import apply_target_encoding, fit_target_encoding
+    s = materialize(ls.complaint_split(spark, sf_dir))
+    train = s.filter("is_train")
+    enc = fit_target_encoding(train, ls.CAT_COLS, "target")
+    feats = ls.COMPLAINT_NUMERIC + [f"te_{c}" for c in ls.CAT_COLS]
+    va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+
+    def vectors(df):
+        coded = apply_target_encoding(df, enc, ls.CAT_COLS).fillna(0.0, subset=ls.COMPLAINT_NUMERIC)
+        return va.transform(coded.withColumn("label", F.log1p("target"))).select(
+            "id", "row_seq", "label", "features")
+
+    rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=SEED, **TREE_OPTS)
+    fitted = compact(materialize(vectors(ls.oversample(train)))).cache()
+    model = rf.fit(fitted)
+    fitted.unpersist()
+    pred = model.transform(vectors(s.filter(~F.col("is_train"))))
+    days = pred.select("id", "row_seq", F.expm1("label").alias("actual"), F.expm1("prediction").alias("predicted"))
+    return model, feats, materialize(days)
+
+
+def rul_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + E1-E5 + M7: the metrics in days on the test part, and the five strongest features."""
+    model, feats, days = rul_fit(spark, sf_dir)
+    keyed_days = days.withColumn("key", F.concat_ws("|", "id", "row_seq"))
+    top = sorted(zip(feats, model.featureImportances.toArray().tolist()), key=lambda r: (-r[1], r[0]))[:5]
+    return regression_report(keyed_days, "actual", "predicted", key="key").withColumn(
+        "top_features", F.lit(",".join(n for n, _ in top)))
+
+
 # ---- M3 / M4 / M6: ticket classifiers ----------------------------------------------------
 class TicketCleaner(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
                     DefaultParamsWritable):

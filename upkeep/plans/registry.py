@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asset_rollup_full": lifespan.asset_rollup_full,
     "lifespan_target": lifespan.lifespan_target,
     "target_encoding": lifespan.target_encoding,
+    "complaint_target_encoding": lifespan.complaint_target_encoding,
     "worst_predictions": lifespan.worst_predictions,
     "type_slice_error": lifespan.type_slice_error,
     "diverse_sample": lifespan.diverse_sample,

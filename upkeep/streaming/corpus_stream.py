@@ -10,6 +10,7 @@ then the batch anti join of the queue with the sink (``plans.corpus.queue_remain
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,21 +27,36 @@ def response_stream(spark: SparkSession, raw_dir: str) -> DataFrame:
             .select(F.input_file_name().alias("batch_id"), F.col("value").alias("response_text")))
 
 
+def _short(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()[:12]
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system; none if it does not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def start_append(spark: SparkSession, raw_dir: str, sink_dir: str,
                  checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Normalise new response files and append their rows to ``sink_dir`` (Parquet).
 
-    The checkpoint defaults to a folder under the session's ``spark.checkpoint.dir``."""
+    The checkpoint defaults to a folder of the sink's own under the session's
+    ``spark.checkpoint.dir``.  Rows go to one folder per checkpoint and epoch; a replayed epoch
+    overwrites its own folder only.  A sink that another checkpoint has written is refused: that
+    stream would read all files again."""
     if checkpoint is None:
-        base = checkpoint_dir(spark)
-        if not base:
-            raise ValueError("set spark.checkpoint.dir or pass checkpoint=")
-        checkpoint = os.path.join(base, "corpus_append")
+        checkpoint = os.path.join(checkpoint_dir(spark), "corpus_append", _short(sink_dir))
+    run = f"run={_short(checkpoint)}"
+    others = [f for f in _folders(spark, sink_dir) if f.startswith("run=") and f != run]
+    if others:
+        raise ValueError(f"{sink_dir} was written under another checkpoint ({others})")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        # one folder per epoch, overwritten on a replay: a retried epoch cannot duplicate
         rows = response_lines(batch)
-        rows.write.mode("overwrite").parquet(os.path.join(sink_dir, f"epoch={epoch}"))
+        rows.write.mode("overwrite").parquet(os.path.join(sink_dir, run, f"epoch={epoch}"))
 
     w = (response_stream(spark, raw_dir).writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint))
