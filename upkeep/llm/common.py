@@ -42,6 +42,8 @@ def ship_package(spark: SparkSession) -> None:
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most about SLICE_BYTES of text each."""
+    if not batch.num_rows:
+        return
     lengths = batch.column(column).cast(pa.large_binary())
     ends = np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset:lengths.offset + len(lengths) + 1]
     lo, n = 0, batch.num_rows

@@ -134,7 +134,8 @@ def _near_firsts(docs: DataFrame, first: DataFrame, scratch: Scratch) -> DataFra
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                name: str = "lines", near_chars: int = NEAR_CHARS) -> DataFrame:
+                name: str = "lines", near_chars: int = NEAR_CHARS,
+                scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with the dropped lines cut out of the text and one more column, a struct of
     ``n_lines`` (lines of the text, blank ones too), ``n_dropped`` and ``n_left`` (lines that are not
     blank and stay).  The column is called ``name``, with underscores added if taken.
@@ -144,9 +145,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text; rows equal in id and text are the same document and keep the same lines.  Of lines
     with a common earliest neighbour only the edit bound to that neighbour counts, so a line is
     dropped for an earlier line that is itself dropped.  Other columns pass through untouched.
-    Runs Spark jobs and writes to the checkpoint folder.
+    Runs Spark jobs and writes to the checkpoint folder; a ``scratch`` of the caller's lets it delete
+    those tables once the result is stored.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     name = fresh(docs.columns, name)
     near_chars = max(near_chars, WINDOWS * UNIT + 1)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

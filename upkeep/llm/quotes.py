@@ -67,7 +67,8 @@ def _keys(text: Column, lines: Column) -> Column:
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-                role_col: str = "role", text_col: str = "text") -> DataFrame:
+                role_col: str = "role", text_col: str = "text",
+                scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``messages``: ``conv_id``, ``turn``, ``role``, ``text`` (without quoted lines
     and their introductions, outer blanks cut), ``n_quotes`` (passages), ``n_linked`` (passages whose
     source was found), ``sources`` (sorted array of the (conv_id, turn) linked to), ``parent_turn``,
@@ -78,9 +79,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     its own thread; rows equal in conversation and turn share their chain of answers (that of the
     earliest parent); among equal texts the earliest message is the source.  Other columns are
     ignored whatever their names.  Every group is reduced to its earliest member before a join, so
-    common lines never pair up.  Runs Spark jobs and writes to the checkpoint folder.
+    common lines never pair up.  Runs Spark jobs and writes to the checkpoint folder; a ``scratch`` of
+    the caller's lets it delete those tables once the result is stored.
     """
-    scratch = Scratch(messages.sparkSession)
+    scratch = scratch or Scratch(messages.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
                            F.col(role_col).alias("role"), text_key(text).alias("tkey"),

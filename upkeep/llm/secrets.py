@@ -82,7 +82,7 @@ def _hash(value: Column) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  owner_col: str = "source", repository_col: str = "doc_id",
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                 example_owners: int = EXAMPLE_OWNERS, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``base`` and ``live`` (arrays of start, ord, end, kind,
     value; sorted), ``n_live`` and ``n_example`` (base values that are owner-specific, or copied by
     ``example_owners`` owners or more).
@@ -90,9 +90,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty; null owners and repositories each count as one; repeated rows
     have equal results and count once in the frequencies; a live span never overlaps a base span;
     equal starts are ordered by kind.  Other columns are ignored whatever their names.  Runs
-    Spark jobs and writes to the checkpoint folder.
+    Spark jobs and writes to the checkpoint folder; a ``scratch`` of the caller's lets it delete
+    those tables once the result is stored.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),

@@ -153,7 +153,8 @@ def near_links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42,
-                    id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", tile: int = TILE,
+                    scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``tkey`` (hash of the text), ``fp`` (signed long),
     ``component_id``, the smallest id among the documents reachable over links of at most
     ``radius`` bits, and ``first``: whether the row is the component's first by id (null last),
@@ -162,9 +163,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42
     A null text counts as empty; empty texts have fingerprint 0 and are linked like any other;
     repeated rows stay repeated and are all first, or none; rows with a null id link but never give
     a component its id (a component of null ids only has a null id); other columns are ignored
-    whatever their names.  Runs Spark jobs and writes to the checkpoint folder.
+    whatever their names.  Runs Spark jobs and writes to the checkpoint folder; a ``scratch`` of the
+    caller's lets it delete those tables once the result is stored.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     fps = scratch.write(fingerprints(docs, k, seed, id_col, text_col))
     # one row per distinct fingerprint, whatever the size of its group of copies
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")

@@ -366,17 +366,19 @@ def read_features(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                   text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+                   text_col: str = "text", train_rows: int = TRAIN_ROWS,
+                   scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted``.
 
     A null text counts as empty and gets the score of a text without terms; a null id is held
     out and never a training row; repeated rows get equal results; a document with several labels
     counts as toxic if one says so; without usable labels only seed and patterns vote.  Other
-    columns are ignored whatever their names.  Runs Spark jobs and writes to the checkpoint folder.
+    columns are ignored whatever their names.  Runs Spark jobs and writes to the checkpoint folder; a
+    ``scratch`` of the caller's lets it delete those tables once the result is stored.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = labelled_sample(docs, labels, scratch, train_rows)
