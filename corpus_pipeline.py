@@ -66,8 +66,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written before the next reads it."""
-    scratch = Scratch(spark)
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), Scratch(spark)
     for _, stage in STAGES[:-1]:
+        scratch = Scratch(spark)
         docs = scratch.write(stage(spark, docs, sf_dir))
+        last.drop()  # what the previous stage wrote has been read
+        last = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
