@@ -28,12 +28,16 @@ def _selectors(values: np.ndarray, length: np.ndarray) -> np.ndarray:
     n, width = values.shape
     best = np.zeros((n, width), np.int8)  # the escape, where nothing else fits
     ends = np.arange(width)
+    # bits of each value; past 2**53 rounding may say one more, which then takes the escape
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    most = bits.max(initial=0)
+    run = np.zeros((n, width + 1), np.int16)
     for s in range(len(COUNTS) - 1, 0, -1):  # later, larger counts overwrite
-        large = values >> np.uint64(WIDTHS[s]) != 0
-        run = np.zeros((n, width + 1), np.int16)
-        np.cumsum(large, axis=1, out=run[:, 1:], dtype=np.int16)
-        fits = run[:, np.minimum(ends + COUNTS[s], width)] == run[:, :-1]
-        best[fits] = s
+        if most <= WIDTHS[s]:
+            best[:] = s
+            continue
+        np.cumsum(bits > WIDTHS[s], axis=1, out=run[:, 1:], dtype=np.int16)
+        best[run[:, np.minimum(ends + COUNTS[s], width)] == run[:, :-1]] = s
     return best
 
 

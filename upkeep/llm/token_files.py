@@ -21,17 +21,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from upkeep.llm import simple8b
-from upkeep.llm.bpe import STORE_MATCHES, STORE_PIECES, PieceStore, byte_characters
+from upkeep.llm.bpe import PieceStore, byte_characters
 from upkeep.llm.common import documents, ship_package, text_key, text_slices, utf8
 from upkeep.session import Scratch
 
 #: Ids and documents after which a segment is closed (a longer document gets its own).
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 16
+#: Words and runs of letters kept per generation of a worker's stores.
+STORE_WORDS, STORE_RUNS = 150_000, 600_000
 SEGMENT_SCHEMA = ("part int, segment int, doc_ids array<long>, n_tokens array<long>, "
                   "n_ids long, data binary")
 _RUNS = re.compile(rb"[a-z]+|[^a-z]+")
 
 
+def _plain_lower(text: str) -> str | None:
+    """Lower case of a text of Latin letters below U+0250, which are composed already and each have
+    one lower-case letter (but for U+0130); None for other texts."""
+    if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+        return text.lower()
+    return None
+
+
 class WordBpe:
     """Ids of texts by a tokenizer file whose normaliser and splitter never look across blanks
     (composition, folding of blanks, lower case; matches without blanks), so that words encode
@@ -47,31 +57,34 @@ class WordBpe:
                         and self._whole("AB") == self._whole("ab"))
         chars = byte_characters()
         self.table = {i: c for i, c in enumerate(chars)}
-        self.runs = PieceStore(self._run_ids, STORE_MATCHES)
-        self.words = PieceStore(self._word_ids, STORE_PIECES)
+        self.written_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.runs = PieceStore(self._run_ids, STORE_RUNS)
+        self.words = PieceStore(self._word_ids, STORE_WORDS)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def _run_ids(self, run: bytes) -> bytes:
-        text = run.decode()
         if run.isalpha():  # letters a-z only: normalised, one match, written as they are
-            return np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-        low = self.tokenizer.normalizer.normalize_str(text)
-        if low.isalpha() and max(low) < "ɐ":
+            written = run.decode()
+        else:
+            low = _plain_lower(run.decode())
+            if low is None:
+                return self._whole(run.decode())
             written = low.encode().decode("latin-1").translate(self.table)
-            return np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
-        return self._whole(text)
+        written_id = self.written_id
+        return b"".join([written_id[t.id] for t in self.tokenizer.model.tokenize(written)])
 
     def _word_ids(self, word: bytes) -> bytes:
         runs = self.runs
         if not word.isascii():
             core = word.rstrip(b".,;:!?%$#&*|")
-            ends = self.tokenizer.normalizer.normalize_str(core.decode())[-1:]
-            if len(core) < len(word) and ends.isalpha():  # a run of letters ends here
-                return runs[core] + runs[word[len(core):]]
-            return runs[word]
+            low = _plain_lower(core.decode())
+            if low is None:
+                return runs[word]
+            # one run of letters, then marks that are a match of their own
+            return runs[low.encode()] + (runs[word[len(core):]] if len(core) < len(word) else b"")
         word = word.lower()
         if b"'" in word:
             return runs[word]
