@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from upkeep.llm.common import documents, ship_package, text_slices
 
 #: Pieces and single matches kept per generation of a worker's stores, and the longest kept.
-STORE_PIECES, STORE_MATCHES, STORE_CHARS = 150_000, 600_000, 64
+STORE_PIECES, STORE_MATCHES, STORE_CHARS = 100_000, 200_000, 64
 _AFTER_WORD = re.compile(r"(?<=\S) ")
 _BLANK_THEN_SPACE = re.compile(r"\s ")
 #: A word of Latin letters and marks of ASCII after it: two matches of the usual patterns, which

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from upkeep.session import Scratch
 
 #: Text handled at once inside a task, in bytes of UTF-8 (one longer text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _shipped: set[str] = set()
 
