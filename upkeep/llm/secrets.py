@@ -3,8 +3,9 @@
 Base findings are three patterns: assignments, access keys and long hexadecimal runs.  Besides
 them every long token that mixes letters and digits is a candidate.  Candidate values are
 hashed and counted over the corpus by distinct repositories and owners: a value spread over many
-owners is a copied example; a value that stays with one or two owners and looks
-random, or that a base finding names as a secret elsewhere, is reported as live.
+owners, or over many repositories of however few owners, is a copied example; a value that stays
+with few of both and looks random, or that a base finding names as a secret elsewhere, is
+reported as live.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 CANDIDATE = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])"
              r"[A-Za-z0-9+/_=-]{12,}+")
 LIVE_CHARS, LIVE_DISTINCT = 20, 10
-#: From so many owners on, a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: From so many owners or repositories on, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 _BLOCK = 256
 
 
@@ -82,12 +83,15 @@ def _hash(value: Column) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  owner_col: str = "source", repository_col: str = "doc_id",
-                 example_owners: int = EXAMPLE_OWNERS, scratch: Scratch | None = None) -> DataFrame:
+                 example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES,
+                 scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``base`` and ``live`` (arrays of start, ord, end, kind,
     value; sorted), ``n_live`` and ``n_example`` (base values that are owner-specific, or copied by
-    ``example_owners`` owners or more).
+    ``example_owners`` owners or into ``example_repositories`` repositories or more), ``counts`` (array
+    of start, ord, n_owners, n_repositories of the base and live spans; sorted).
 
-    A null text counts as empty; null owners and repositories each count as one; repeated rows
+    A null text counts as empty; null owners and repositories each count as one; a repository
+    belongs to an owner, so equal names of two owners count as two; repeated rows
     have equal results and count once in the frequencies; a live span never overlaps a base span;
     equal starts are ordered by kind.  Other columns are ignored whatever their names.  Runs
     Spark jobs and writes to the checkpoint folder; a ``scratch`` of the caller's lets it delete
@@ -122,21 +126,25 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("f.start") < b["end"]))).drop("base").withColumn("hash", _hash(F.col("f.value")))
     judged = every.join(owned, "hash")
     value = F.col("f.value")
-    example = F.col("n_owners") >= example_owners
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
     random = (F.length(value) >= LIVE_CHARS) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_DISTINCT)
     is_base = F.col("f.ord") < 3
     live = ~is_base & ~F.col("covered") & ~example & ((F.col("named") == 1) | random)
+    count = F.struct(F.col("f.start").alias("start"), F.col("f.ord").alias("ord"), "n_owners", "n_repositories")
     found = judged.groupBy("doc_id", "tkey").agg(
         F.array_sort(F.collect_set(F.when(live, F.col("f")))).alias("live"),
         F.size(F.collect_set(F.when(is_base & ~example, F.col("f")))).cast("long").alias("n_live"),
-        F.size(F.collect_set(F.when(is_base & example, F.col("f")))).cast("long").alias("n_example"))
-    found = found.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), "live", "n_live", "n_example")
+        F.size(F.collect_set(F.when(is_base & example, F.col("f")))).cast("long").alias("n_example"),
+        F.array_sort(F.collect_set(F.when(is_base | live, count))).alias("counts"))
+    found = found.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), "live", "n_live", "n_example", "counts")
     out = rows.select("doc_id", "tkey", "base").join(
         found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left")
     none = F.array().cast(found.schema["live"].dataType)
+    uncounted = F.array().cast(found.schema["counts"].dataType)
     return out.select("doc_id", "base", F.coalesce("live", none).alias("live"),
                       (F.coalesce("n_live", F.lit(0)) + F.size(F.coalesce("live", none))).alias("n_live"),
-                      F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"))
+                      F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
+                      F.coalesce("counts", uncounted).alias("counts"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
