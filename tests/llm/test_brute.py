@@ -135,6 +135,27 @@ def test_words_encode_like_whole_texts():
         assert w.encode(s.encode()) == w._whole(s), repr(s)
 
 
+def test_added_tokens_encode_like_the_library(spark):
+    import public_tokenizers as P
+    import tokenizers
+
+    from tests.llm.test_edges import apply
+    from upkeep.llm.token_files import load
+    path, rnd = P.path("word_bpe_49k.json"), random.Random(4)
+    w, ref = load(path), tokenizers.Tokenizer.from_file(path)
+    assert w.by_word
+    ids = lambda s: ref.encode(s, add_special_tokens=False).ids
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "\u0301", "É", "'S", "foo", "bar",
+             " ", "\n", "\u3000", "|>", "<", "12", ".", "漢"]
+    for _ in range(4_000):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 8)))
+        assert np.frombuffer(w.encode(s.encode()), "<u4").tolist() == ids(s), repr(s)
+    texts = ["foo <|endoftext|> bar", "<|startoftext|>É'<|EndOfText|>", "foo"]
+    assert ids(texts[0])[1] == ref.token_to_id("<|endoftext|>")
+    got = apply("token_files", spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: ids(t) + [2] for i, t in enumerate(texts)}
+
+
 def test_simple8b_round_trip():
     from upkeep.llm import simple8b
     rnd = np.random.default_rng(1)

@@ -45,14 +45,22 @@ def _plain_lower(text: str) -> str | None:
 class WordBpe:
     """Ids of texts by a tokenizer file whose normaliser and splitter never look across blanks
     (composition, folding of blanks, lower case; matches without blanks), so that words encode
-    independently and frequent ones are kept.  Other tokenizers encode whole texts."""
+    independently and frequent ones are kept.  Added tokens of the file match as in the library's
+    ``encode(text, add_special_tokens=False)``: words that hold one are encoded by the library as they
+    are.  Other tokenizers encode whole texts."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        # in the text as written, without blanks, never within a run of letters
+        plain = all(t.content.isascii() and not t.content.isalpha() and len(t.content.split()) == 1
+                    and t.content == t.content.strip()
+                    and not (t.normalized or t.single_word or t.lstrip or t.rstrip) for t in added)
+        # nor made by lower case: a word that holds one in any case is not taken apart
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added) or b"(?!)", re.IGNORECASE)
         probe = "A b'sÉ́  c12,.-d\n e'll　Fg Å"
         # the parts of a probe must give what the whole gives; else words are not independent
-        self.by_word = (self._whole(probe) == b"".join(map(self._whole, probe.split(" ")))
+        self.by_word = (plain and self._whole(probe) == b"".join(map(self._whole, probe.split(" ")))
                         and self._whole("ab,%c") == b"".join(map(self._whole, ("ab", ",%", "c")))
                         and self._whole("AB") == self._whole("ab"))
         chars = byte_characters()
@@ -78,6 +86,8 @@ class WordBpe:
 
     def _word_ids(self, word: bytes) -> bytes:
         runs = self.runs
+        if self.added.search(word):
+            return self._whole(word.decode())
         if not word.isascii():
             core = word.rstrip(b".,;:!?%$#&*|")
             low = _plain_lower(core.decode())
