@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from upkeep.llm import (bpe, decontaminate, line_dedup, pii, quality, quotes, secrets, simhash,
-                        token_files, toxicity)
+                        token_files, toxicity, warc)
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_warc": warc.op11_warc,
 }
 
 SQL: dict[str, str] = {}
@@ -158,3 +159,15 @@ SELECT m.conv_id, m.turn, coalesce(n.n, 0) AS n_quotes, coalesce(link.n_linked,
        md5('<|' || coalesce(m.role, 'user') || '|>' || chr(10) || coalesce(own.text, '') || chr(10) || '<|end|>' || chr(10)) AS formatted_md5
 FROM m LEFT JOIN own ON m.conv_id = own.conv_id AND m.turn = own.turn LEFT JOIN n ON m.conv_id = n.conv_id AND m.turn = n.turn
 LEFT JOIN link ON m.conv_id = link.conv_id AND m.turn = link.turn LEFT JOIN deep ON m.conv_id = deep.conv_id AND m.turn = deep.turn"""
+
+# Base 32 from 20 bits (five hex digits) at a time.
+SQL["op11_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substr(sha, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t"""
