@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from upkeep.llm import (bpe, decontaminate, line_dedup, pii, quality, quotes, secrets, simhash,
+from upkeep.llm import (bpe, decontaminate, line_dedup, pii, quality, quotes, runs, secrets, simhash,
                         token_files, toxicity, warc)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_warc": warc.op11_warc,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {}
