@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from upkeep.llm import (bpe, decontaminate, line_dedup, pii, quality, quotes, runs, secrets, simhash,
-                        token_files, toxicity, warc)
+from upkeep.llm import (bpe, decontaminate, line_dedup, negatives, pii, quality, quotes, runs, secrets,
+                        simhash, token_files, toxicity, warc)
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_warc": warc.op11_warc,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
@@ -172,3 +173,18 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM t"""
+
+SQL["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 10"""
