@@ -20,24 +20,30 @@ BLOCK = 1024
 #: Values in a word of each selector; their width follows from the 60 bits of payload.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([60, 0, *(60 // n for n in COUNTS[2:])])
+_SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
-def _selectors(values: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of each value; past 2**53 rounding may say one more, which then takes the escape."""
+    if values.max(initial=0) < 1 << 16:
+        return _SMALL_BITS[values.astype(np.uint16)]
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
+def _selectors(values: np.ndarray) -> np.ndarray:
     """Selector of the word that would start at each value: the one that packs most.
-    ``values`` is (blocks, BLOCK); ``length`` is the number of real values of each block."""
+    ``values`` is (blocks, BLOCK); a block's end counts as zeros."""
     n, width = values.shape
     best = np.zeros((n, width), np.int8)  # the escape, where nothing else fits
-    ends = np.arange(width)
-    # bits of each value; past 2**53 rounding may say one more, which then takes the escape
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
-    most = bits.max(initial=0)
-    run = np.zeros((n, width + 1), np.int16)
+    # widest[:, i]: most bits among the next so many values, for growing numbers of values
+    widest, so_many = np.zeros((n, width + int(COUNTS.max())), np.uint8), 1
+    widest[:, :width] = _bits(values)
     for s in range(len(COUNTS) - 1, 0, -1):  # later, larger counts overwrite
-        if most <= WIDTHS[s]:
-            best[:] = s
-            continue
-        np.cumsum(bits > WIDTHS[s], axis=1, out=run[:, 1:], dtype=np.int16)
-        best[run[:, np.minimum(ends + COUNTS[s], width)] == run[:, :-1]] = s
+        while so_many < COUNTS[s]:
+            step = min(so_many, int(COUNTS[s]) - so_many)
+            np.maximum(widest[:, :-step], widest[:, step:], out=widest[:, :-step])
+            so_many += step
+        np.copyto(best, s, where=widest[:, :width] <= WIDTHS[s])
     return best
 
 
@@ -51,34 +57,36 @@ def encode(values: np.ndarray) -> bytes:
     length = np.full(blocks, BLOCK)
     if blocks:
         length[-1] = total - (blocks - 1) * BLOCK
-    best = _selectors(grid, length)
+    best = _selectors(grid)
     # walk all blocks from word to word together
     at, live = np.zeros(blocks, np.int64), np.arange(blocks)
-    rows, cols, step = [], [], []
-    k = 0
+    starts = []
     while len(live):
-        rows.append(live)
-        cols.append(at[live])
-        step.append(np.full(len(live), k))
+        place = np.full(blocks, -1)
+        place[live] = at[live]
+        starts.append(place)
         at[live] += COUNTS[best[live, at[live]]]
         live = live[at[live] < length[live]]
-        k += 1
-    row, col = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, cols))
-    order = np.lexsort((np.concatenate(step) if step else np.empty(0, np.int64), row))
-    row, col = row[order], col[order]
-    selector = best[row, col].astype(np.int64) if len(row) else np.empty(0, np.int64)
+    place = np.stack(starts, axis=1) if starts else np.empty((0, 0), np.int64)
+    row = np.repeat(np.arange(blocks), (place >= 0).sum(axis=1))
+    col = place[place >= 0]
+    selector = best[row, col].astype(np.int64)
     words = selector.astype(np.uint64)
+    # a word at a block's end packs zeros, never the next block's values
     padded = np.zeros((blocks, BLOCK + int(COUNTS.max())), np.uint64)
     padded[:, :BLOCK] = grid
+    flat, start = padded.ravel(), row * padded.shape[1] + col
     for s in np.unique(selector):
         here = np.flatnonzero(selector == s)
         if s == 0:
-            raw = padded[row[here], col[here]]
+            raw = flat[start[here]]
             words[here] |= np.arange(len(here), dtype=np.uint64) << np.uint64(4)
             continue
         if WIDTHS[s]:
+            packed = np.zeros(len(here), np.uint64)
             for j in range(COUNTS[s]):
-                words[here] |= padded[row[here], col[here] + j] << np.uint64(4 + j * WIDTHS[s])
+                packed |= flat[start[here] + j] << np.uint64(4 + j * WIDTHS[s])
+            words[here] |= packed
     escapes = raw if len(selector) and (selector == 0).any() else np.empty(0, np.uint64)
     first = np.searchsorted(row, np.arange(blocks)).astype("<u8")
     head = np.array([total, blocks, len(words), len(escapes), BLOCK], "<u8")

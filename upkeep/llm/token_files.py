@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,24 +23,19 @@ from pyspark.sql import functions as F
 
 from upkeep.llm import simple8b
 from upkeep.llm.bpe import PieceStore, byte_characters
-from upkeep.llm.common import documents, ship_package, text_key, text_slices, utf8
+from upkeep.llm.common import documents, ship_package, text_key, text_slices
 from upkeep.session import Scratch
 
-#: Ids and documents after which a segment is closed (a longer document gets its own).
+#: Ids and documents after which a segment is closed, at the end of a slice of texts.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 16
-#: Words and runs of letters kept per generation of a worker's stores.
-STORE_WORDS, STORE_RUNS = 150_000, 600_000
+#: Runs of letters, and other words or marks, kept per generation of a worker's stores.
+STORE_LETTERS, STORE_OTHERS = 300_000, 50_000
 SEGMENT_SCHEMA = ("part int, segment int, doc_ids array<long>, n_tokens array<long>, "
                   "n_ids long, data binary")
-_RUNS = re.compile(rb"[a-z]+|[^a-z]+")
-
-
-def _plain_lower(text: str) -> str | None:
-    """Lower case of a text of Latin letters below U+0250, which are composed already and each have
-    one lower-case letter (but for U+0130); None for other texts."""
-    if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-        return text.lower()
-    return None
+#: Letters below U+0250 are composed already and each have one lower-case letter, but for U+0130.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Marks that may follow a word's letters; a run of them is one match of the usual patterns.
+_MARKS = ".,;:!?%$#&*|"
 
 
 class WordBpe:
@@ -52,12 +48,10 @@ class WordBpe:
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         added = list(self.tokenizer.get_added_tokens_decoder().values())
-        # in the text as written, without blanks, never within a run of letters
-        plain = all(t.content.isascii() and not t.content.isalpha() and len(t.content.split()) == 1
-                    and t.content == t.content.strip()
+        # in the text as written, without blanks, never within letters and marks
+        plain = all(t.content.isascii() and len(t.content.split()) == 1 and t.content == t.content.strip()
+                    and not re.fullmatch(f"[A-Za-z{re.escape(_MARKS)}]+", t.content)
                     and not (t.normalized or t.single_word or t.lstrip or t.rstrip) for t in added)
-        # nor made by lower case: a word that holds one in any case is not taken apart
-        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added) or b"(?!)", re.IGNORECASE)
         probe = "A b'sÉ́  c12,.-d\n e'll　Fg Å"
         # the parts of a probe must give what the whole gives; else words are not independent
         self.by_word = (plain and self._whole(probe) == b"".join(map(self._whole, probe.split(" ")))
@@ -66,46 +60,59 @@ class WordBpe:
         chars = byte_characters()
         self.table = {i: c for i, c in enumerate(chars)}
         self.written_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.runs = PieceStore(self._run_ids, STORE_RUNS)
-        self.words = PieceStore(self._word_ids, STORE_WORDS)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = PieceStore(self._letter_ids, STORE_LETTERS)
+        self.others = PieceStore(self._whole, STORE_OTHERS)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _run_ids(self, run: bytes) -> bytes:
-        if run.isalpha():  # letters a-z only: normalised, one match, written as they are
-            written = run.decode()
-        else:
-            low = _plain_lower(run.decode())
-            if low is None:
-                return self._whole(run.decode())
-            written = low.encode().decode("latin-1").translate(self.table)
-        written_id = self.written_id
-        return b"".join([written_id[t.id] for t in self.tokenizer.model.tokenize(written)])
-
-    def _word_ids(self, word: bytes) -> bytes:
-        runs = self.runs
-        if self.added.search(word):
-            return self._whole(word.decode())
-        if not word.isascii():
-            core = word.rstrip(b".,;:!?%$#&*|")
-            low = _plain_lower(core.decode())
-            if low is None:
-                return runs[word]
-            # one run of letters, then marks that are a match of their own
-            return runs[low.encode()] + (runs[word[len(core):]] if len(core) < len(word) else b"")
-        word = word.lower()
-        if b"'" in word:
-            return runs[word]
-        return b"".join([runs[r] for r in _RUNS.findall(word)])
+    def _letter_ids(self, letters: str) -> bytes:
+        """Ids of composed lower-case letters: one match, written in the byte table's characters."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.table)
+        ids = self.written_id
+        return b"".join([ids[t.id] for t in self.tokenize(letters)])
 
     def encode(self, data: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        if self.by_word:
-            words = self.words
-            return b"".join([words[w] for w in data.split()])
-        return self._whole(data.decode())
+        return self.encode_texts(pa.array([data], pa.large_binary()).cast(pa.large_string()))[0].tobytes()
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has; a null text has none.
+
+        Words are numbered, so each is looked at once however often the texts hold it.  One of Latin letters
+        and marks after them is taken apart (letters, then marks, both numbered again); other words
+        are encoded by the library as they are."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_word:
+            found = [self._whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        words = pc.ascii_split_whitespace(texts)  # an empty word, where there is one, has no ids
+        flat = words.flatten().dictionary_encode()
+        plain = pc.match_substring_regex(flat.dictionary, f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$")
+        simple = flat.dictionary.filter(plain)
+        letters = pc.utf8_lower(pc.utf8_rtrim(simple, _MARKS)).dictionary_encode()
+        marks = pc.replace_substring_regex(simple, f"^[{_LETTERS}]+", "").dictionary_encode()
+        parts = [letters.dictionary, marks.dictionary, flat.dictionary.filter(pc.invert(plain))]
+        stores = [self.letters, self.others, self.others]
+        found = [store[x] for part, store in zip(parts, stores) for x in part.to_numpy(zero_copy_only=False)]
+        found.append(b"")  # the marks of a word without any
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(length) - length
+        # two parts of every distinct word, then of every word
+        is_plain, base = plain.to_numpy(zero_copy_only=False), np.cumsum([0, *map(len, parts)])
+        part = np.full((len(is_plain), 2), len(found) - 1)
+        part[is_plain, 0] = letters.indices.to_numpy()
+        part[is_plain, 1] = base[1] + marks.indices.to_numpy()
+        part[~is_plain, 0] = np.arange(base[2], base[3])
+        every = part[flat.indices.to_numpy()].ravel()
+        n = length[every]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat(first[every] - ends[:-1], n) + np.arange(ends[-1])
+        cuts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        return ids[place], np.diff(ends[2 * cuts])
 
 
 @lru_cache(maxsize=4)
@@ -117,7 +124,6 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments (SEGMENT_SCHEMA) of ``docs`` in ascending id order; see ``write_token_files``."""
     ship_package(docs.sparkSession)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     key = F.col("doc_id").asc_nulls_first(), F.col("key").asc()
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
                .withColumn("key", text_key(F.col("text")))
@@ -125,26 +131,28 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2
 
     def run(batches):
         words, part = load(tokenizer_path), TaskContext.get().partitionId()
-        owners, ids, n, segment = [], [], 0, 0
+        owners, lengths, ids, n, segment = [], [], [], 0, 0
 
         def close():
-            data = simple8b.encode(np.frombuffer(b"".join(ids), "<u4"))
-            lengths = [len(x) // 4 for x in ids]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()),
-                 pa.array([owners], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
-                 pa.array([sum(lengths)], pa.int64()), pa.array([data], pa.binary())],
+                 pa.array([np.concatenate(owners)], pa.list_(pa.int64())),
+                 pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([n], pa.int64()),
+                 pa.array([simple8b.encode(np.concatenate(ids))], pa.binary())],
                 ["part", "segment", "doc_ids", "n_tokens", "n_ids", "data"])
 
         for batch in batches:
             for piece in text_slices(batch, "text"):
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), utf8(piece, "text")):
-                    owners.append(doc_id)
-                    ids.append(words.encode(text) + end)
-                    n += len(ids[-1]) // 4
-                    if n >= SEGMENT_IDS or len(owners) >= SEGMENT_DOCS:
-                        yield close()
-                        owners, ids, n, segment = [], [], 0, segment + 1
+                found, length = words.encode_texts(piece.column("text"))
+                if end_id is not None:
+                    found, length = np.insert(found, np.cumsum(length), end_id), length + 1
+                owners.append(np.array(piece.column("doc_id").to_pylist(), object))
+                lengths.append(length)
+                ids.append(found)
+                n += len(found)
+                if n >= SEGMENT_IDS or sum(map(len, owners)) >= SEGMENT_DOCS:
+                    yield close()
+                    owners, lengths, ids, n, segment = [], [], [], 0, segment + 1
         if owners:
             yield close()
 
