@@ -32,7 +32,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SITE = re.compile(r"\S*?[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
 _ANY = re.compile(r"[0-9@]")
 
 #: Documents that the weights are fitted to, at most about; hashed features; message rounds.
@@ -118,7 +118,7 @@ def _keys(token: str) -> list[str]:
 
 
 def sites(text: str, base: list[tuple[int, int, str]]) -> Sites:
-    spans = [m.span() for m in _SITE.finditer(text)]
+    spans = [m.span() for m in _TOKEN.finditer(text) if _ANY.search(m[0])]
     tokens = [text[a:b] for a, b in spans]
     shapes = ["^", *map(_shape, tokens), "$"]
     start = np.array([a for a, _ in spans], np.int64)

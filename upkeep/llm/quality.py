@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from upkeep.llm.common import documents, fresh, with_text_column
 
 _SYMBOLS = b"#*$%&|<>"
+#: Capital Roman numerals and enclosed letters: upper case, but not upper-case letters.
+_NUMERAL_CAPITALS = re.compile("[\u2160-\u216f\u24b6-\u24cf\U0001f130-\U0001f149\U0001f150-\U0001f169\U0001f170-\U0001f189]")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
             "n_upper", "n_letters", "n_digits", "n_marks")
 
@@ -70,7 +74,7 @@ def measure(data: bytes) -> tuple[int, ...]:
         upper = len(joined) - len(joined.translate(None, bytes(range(65, 91))))
         letters = upper + len(joined) - len(joined.translate(None, bytes(range(97, 123))))
     else:
-        upper = sum(map(str.isupper, text))
+        upper = sum(map(str.isupper, text)) - len(_NUMERAL_CAPITALS.findall(text))
         letters = sum(map(str.isalpha, text))
     return (n, len(text), n_symbols, len(lines) - len(set(lines)), _repeat_words(words), len(lines),
             upper, letters, n_digits, n_marks)
@@ -117,14 +121,14 @@ def ledger(docs: DataFrame, text_col: str = "text", name: str = "ledger") -> Dat
     measured = with_text_column(docs, text_col, name,
                                 "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">", make)
     rules = []
+    a_measure = re.compile(rf"\b({'|'.join(MEASURES)})\b")
     for i, condition in enumerate(RULE_SQL.values()):
-        for m in sorted(MEASURES, key=len, reverse=True):
-            condition = condition.replace(m, f"{name}.{m}")
+        condition = a_measure.sub(lambda m: f"`{name}`.{m[0]}", condition)
         rules.append(F.when(F.expr(condition), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     bits = rules[0]
     for r in rules[1:]:
         bits = bits.bitwiseOR(r)
-    return measured.withColumn(name, F.struct(*[F.col(f"{name}.{m}").alias(m) for m in MEASURES],
+    return measured.withColumn(name, F.struct(*[F.col(f"`{name}`.{m}").alias(m) for m in MEASURES],
                                               bits.alias("fail_bits")))
 
 

@@ -98,18 +98,19 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS ow
 f0 AS ({_FOUND}),
 f AS (SELECT *, s + size AS e FROM f0
       WHERE ord < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))),
-v AS (SELECT value, count(DISTINCT owner) AS owners, bool_or(ord < 3) AS named FROM f GROUP BY value),
-j AS (SELECT f.*, v.owners, v.named,
+v AS (SELECT value, count(DISTINCT owner) >= 3 OR count(DISTINCT (owner, doc_id)) >= 10 AS copied, bool_or(ord < 3) AS named
+      FROM f GROUP BY value),
+j AS (SELECT f.*, v.copied, v.named,
              exists(SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.ord < 3 AND b.s < f.e AND f.s < b.e) AS covered
       FROM f JOIN v ON f.value = v.value),
 k AS (SELECT *, kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS written FROM j
-      WHERE ord < 3 OR (NOT covered AND owners < 3 AND (named OR (length(value) >= 20
+      WHERE ord < 3 OR (NOT covered AND NOT copied AND (named OR (length(value) >= 20
         AND len(list_distinct(string_split(value, ''))) >= 10)))),
 a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
              count(*) FILTER (WHERE kind = 'hex') AS n_hex,
              string_agg(written, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base,
-             string_agg(written, ',' ORDER BY s, ord) AS spans, count(*) FILTER (WHERE owners < 3) AS n_live,
-             count(*) FILTER (WHERE owners >= 3) AS n_example FROM k GROUP BY doc_id)
+             string_agg(written, ',' ORDER BY s, ord) AS spans, count(*) FILTER (WHERE NOT copied) AS n_live,
+             count(*) FILTER (WHERE copied) AS n_example FROM k GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
        coalesce(n_example, 0) AS n_example
@@ -137,14 +138,16 @@ ok AS (SELECT conv_id, turn, {_NORM.format('text')} AS key FROM own
          FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM own))
        WHERE len(string_split(key, ' ')) >= 3),
 inconv AS (SELECT conv_id, key, min(turn) AS turn FROM ok WHERE key <> '' GROUP BY ALL),
-incorp AS (SELECT key, min(conv_id) AS conv_id, arg_min(turn, conv_id) AS turn FROM inconv GROUP BY key),
 qk AS (SELECT conv_id, turn, run, level, {_NORM.format('text')} AS key, 0 AS rank FROM q
        UNION ALL SELECT * FROM (SELECT conv_id, turn, run, level, {_NORM.format('x')} AS key, 1 AS rank
          FROM (SELECT conv_id, turn, run, level, unnest(string_split(text, chr(10))) AS x FROM q))
        WHERE len(string_split(key, ' ')) >= 3),
-met AS (SELECT qk.*, CASE WHEN a.turn < qk.turn THEN a.conv_id WHEN b.conv_id <> qk.conv_id THEN b.conv_id END AS sc,
-               CASE WHEN a.turn < qk.turn THEN a.turn WHEN b.conv_id <> qk.conv_id THEN b.turn END AS st
-        FROM qk LEFT JOIN inconv a ON a.conv_id = qk.conv_id AND a.key = qk.key LEFT JOIN incorp b ON b.key = qk.key
+elsewhere AS (SELECT k.conv_id, k.key, min(b.conv_id) AS sc, arg_min(b.turn, b.conv_id) AS st
+              FROM (SELECT DISTINCT conv_id, key FROM qk) k JOIN inconv b ON b.key = k.key AND b.conv_id <> k.conv_id GROUP BY ALL),
+met AS (SELECT qk.*, CASE WHEN a.turn < qk.turn THEN a.conv_id ELSE b.sc END AS sc,
+               CASE WHEN a.turn < qk.turn THEN a.turn ELSE b.st END AS st
+        FROM qk LEFT JOIN inconv a ON a.conv_id = qk.conv_id AND a.key = qk.key
+        LEFT JOIN elsewhere b ON b.conv_id = qk.conv_id AND b.key = qk.key
         WHERE qk.key <> ''),
 best AS (SELECT conv_id, turn, run, level, sc, st FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, run
            ORDER BY sc <> conv_id, rank, sc, st) AS rn FROM met WHERE st IS NOT NULL) WHERE rn = 1),

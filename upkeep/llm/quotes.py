@@ -11,7 +11,7 @@ under the first message of their chain of answers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from upkeep.llm.common import text_key
@@ -41,21 +41,19 @@ def parse_lines(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of quoted lines of one level: array of (level, text)."""
+    """Runs of quoted lines of one level: array of (level, text).  ``lines`` is a column, not an expression
+    (it is read once per run)."""
     empty = F.array().cast("array<struct<level:int,text:string>>")
-    start = F.struct(F.lit(0).alias("last"), empty.alias("done"))
-
-    def step(acc, x):
-        more = (x["level"] > 0) & (x["level"] == acc["last"])
-        tail = F.element_at(acc["done"], -1)
-        grown = F.struct(x["level"].alias("level"), F.concat_ws("\n", tail["text"], x["body"]).alias("text"))
-        fresh = F.struct(x["level"].alias("level"), x["body"].alias("text"))
-        done = F.when(more, F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(grown))).when(
-            x["level"] > 0, F.concat(acc["done"], F.array(fresh))).otherwise(acc["done"])
-        return F.struct(x["level"].alias("last"), done.alias("done"))
-
-    return F.when(F.exists(lines, lambda x: x["level"] > 0),
-                  F.aggregate(lines, start, step, lambda acc: acc["done"])).otherwise(empty)
+    level = F.transform(lines, lambda x: x["level"])
+    before = F.concat(F.array(F.lit(0)), F.slice(level, 1, F.greatest(F.size(level) - 1, F.lit(0))))
+    changes = F.zip_with(level, before, lambda x, y: x != y)
+    cuts = F.filter(F.transform(changes, lambda c, i: F.when(c, i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(cuts, 2, F.size(cuts)), F.array(F.size(lines)))
+    runs = F.zip_with(cuts, ends, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    texts = F.transform(runs, lambda r: F.struct(
+        F.get(lines, r["lo"])["level"].alias("level"),
+        F.array_join(F.transform(F.slice(lines, r["lo"] + 1, r["hi"] - r["lo"]), lambda x: x["body"]), "\n").alias("text")))
+    return F.when(F.exists(lines, lambda x: x["level"] > 0), F.filter(texts, lambda t: t["level"] > 0)).otherwise(empty)
 
 
 def _keys(text: Column, lines: Column) -> Column:
@@ -78,7 +76,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     A null text counts as empty; a message without conversation or turn is never a source, and is
     its own thread; rows equal in conversation and turn share their chain of answers (that of the
     earliest parent); among equal texts the earliest message is the source.  Other columns are
-    ignored whatever their names.  Every group is reduced to its earliest member before a join, so
+    ignored whatever their names.  Every group is reduced to its two earliest conversations before a join, so
     common lines never pair up.  Runs Spark jobs and writes to the checkpoint folder; a ``scratch`` of
     the caller's lets it delete those tables once the result is stored.
     """
@@ -95,7 +93,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     own = rows.filter("conv_id is not null and turn is not null").select(
         "conv_id", "turn", F.explode(_keys(F.col("text"), F.split("text", "\n"))).alias("k"))
     in_conv = own.groupBy("conv_id", F.col("k.key").alias("key")).agg(F.min("turn").alias("turn"))
-    in_corpus = in_conv.groupBy("key").agg(F.min("conv_id").alias("far_conv"), F.min_by("turn", "conv_id").alias("far_turn"))
+    # the two earliest conversations of every key: one of them is not the asking one
+    earliest = Window.partitionBy("key").orderBy("conv_id")
+    two = in_conv.withColumn("place", F.row_number().over(earliest)).filter("place <= 2")
+    at = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    in_corpus = two.groupBy("key").agg(at(1, "conv_id").alias("conv1"), at(1, "turn").alias("turn1"),
+                                       at(2, "conv_id").alias("conv2"), at(2, "turn").alias("turn2"))
 
     quoted = rows.filter("n_quotes > 0").select("conv_id", "turn", "tkey", F.posexplode("quotes").alias("passage", "q"))
     asked = quoted.select("conv_id", "turn", "tkey", "passage", F.col("q.level").alias("level"),
@@ -104,10 +107,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     near = in_conv.withColumnRenamed("turn", "near_turn")
     met = asked.join(near, ["conv_id", "key"], "left").join(in_corpus, "key", "left")
     close = F.col("near_turn") < F.col("turn")
-    away = ~F.col("far_conv").eqNullSafe(F.col("conv_id"))
+    own_first = F.col("conv1").eqNullSafe(F.col("conv_id"))
     met = met.select("conv_id", "turn", "tkey", "passage", "level", "rank",
-                     F.when(close, F.col("conv_id")).when(away, F.col("far_conv")).alias("src_conv"),
-                     F.when(close, F.col("near_turn")).when(away, F.col("far_turn")).alias("src_turn"))
+                     F.when(close, F.col("conv_id")).when(own_first, F.col("conv2")).otherwise(F.col("conv1")).alias("src_conv"),
+                     F.when(close, F.col("near_turn")).when(own_first, F.col("turn2")).otherwise(F.col("turn1")).alias("src_turn"))
     # of a passage's keys the whole text counts before lines, its own conversation before others
     rank = F.struct((~F.col("src_conv").eqNullSafe(F.col("conv_id"))).alias("other"), "rank", "src_conv", "src_turn")
     best = met.filter("src_turn is not null").groupBy("conv_id", "turn", "tkey", "passage", "level").agg(

@@ -33,22 +33,48 @@ EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 _BLOCK = 256
 
 
-def _before(steps: Column) -> Column:
-    """Sums of the numbers before each number of an array, in two levels of blocks so that the
-    cost stays near linear in its size."""
-    def running(values, zero):
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though a lambda in the body reads it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, zero: Column, join) -> Column:
+    """What ``join`` makes of the numbers before each number of an array, ``zero`` before the first; in two
+    levels of blocks, so that the cost stays near linear in the array's size."""
+    def running(part):
         start = F.struct(zero.alias("total"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(values, start, lambda acc, x: F.struct(
-            (acc["total"] + x).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out")))
+        return F.aggregate(part, start, lambda acc, x: F.struct(
+            join(acc["total"], x).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out")))
+
+    def blocks(v):
+        last = F.ceil(F.size(v) / _BLOCK).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda b: running(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
 
-    zero = F.lit(0).cast("long")
-    last = F.ceil(F.size(steps) / _BLOCK).cast("int") - 1
-    blocks = F.transform(F.sequence(F.lit(0), last),
-                         lambda b: running(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), zero))
     def joined(parts):
-        offsets = running(F.transform(parts, lambda p: p["total"]), zero)["out"]
-        return F.flatten(F.zip_with(parts, offsets, lambda p, o: F.transform(p["out"], lambda x: x + o)))
-    return F.when(F.size(steps) > 0, joined(blocks)).otherwise(F.array().cast("array<bigint>"))
+        offsets = running(F.transform(parts, lambda p: p["total"]))["out"]
+        return F.flatten(F.zip_with(parts, offsets, lambda p, o: F.transform(p["out"], lambda x: join(x, o))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(blocks(v), joined)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _before(steps: Column) -> Column:
+    """Sums of the numbers before each number of an array."""
+    return _scan(steps, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def _uncovered(spans: Column) -> Column:
+    """The candidate tokens among sorted spans that overlap no base span: no earlier base span ends within
+    or behind them, and the next one starts behind them."""
+    none = F.lit(-1).cast("long")
+    ends = F.transform(spans, lambda s: F.when(s["ord"] < 3, s["end"]).otherwise(none))
+    far = F.lit(1 << 40).cast("long")
+    starts = F.transform(F.reverse(spans), lambda s: F.when(s["ord"] < 3, s["start"]).otherwise(far))
+    reached = _scan(ends, none, lambda a, b: F.greatest(a, b))
+    coming = F.reverse(_scan(starts, far, lambda a, b: F.least(a, b)))
+    near = F.zip_with(reached, coming, lambda r, c: F.struct(r.alias("reached"), c.alias("coming")))
+    free = F.zip_with(spans, near, lambda s, n: F.when(
+        (s["ord"] == 3) & (n["reached"] <= s["start"]) & (n["coming"] >= s["end"]), s))
+    return F.filter(free, lambda s: s.isNotNull())
 
 
 def _found(text: Column, needs: Column, pattern: str, group: int, kind: str, order: int,
@@ -57,17 +83,20 @@ def _found(text: Column, needs: Column, pattern: str, group: int, kind: str, ord
     code points.  Lengths of the text between matches and of the matches add up to them.
     ``needs`` is a cheap test that every text with a match passes."""
     rx = F.lit(pattern)
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    sizes = F.transform(whole, lambda m: F.length(m).cast("long"))
-    values = F.regexp_extract_all(text, rx, F.lit(group)) if group else whole
-    own = F.slice(gaps, 1, F.size(whole))
-    starts = F.zip_with(_before(F.zip_with(own, sizes, lambda g, m: g + m)), own, lambda b, g: b + g)
-    spans = F.zip_with(starts, sizes, lambda s, m: F.struct(s.alias("start"), (s + m).alias("end")))
-    rows = F.zip_with(spans, values, lambda p, v: F.struct(
-        p["start"].alias("start"), F.lit(order).alias("ord"), p["end"].alias("end"),
-        F.lit(kind).alias("kind"), v.alias("value")))
-    rows = F.filter(rows, lambda r: F.length(r["value"]) >= least)
+
+    def spans_of(whole):
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        sizes = F.transform(whole, lambda m: F.length(m).cast("long"))
+        values = F.regexp_extract_all(text, rx, F.lit(group)) if group else whole
+        own = F.slice(gaps, 1, F.size(whole))
+        starts = F.zip_with(_before(F.zip_with(own, sizes, lambda g, m: g + m)), own, lambda b, g: b + g)
+        spans = F.zip_with(starts, sizes, lambda s, m: F.struct(s.alias("start"), (s + m).alias("end")))
+        rows = F.zip_with(spans, values, lambda p, v: F.struct(
+            p["start"].alias("start"), F.lit(order).alias("ord"), p["end"].alias("end"),
+            F.lit(kind).alias("kind"), v.alias("value")))
+        return F.filter(rows, lambda r: F.length(r["value"]) >= least)
+
+    rows = _let(F.regexp_extract_all(text, rx, F.lit(0)), spans_of)
     none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string>>")
     return F.when(needs & text.rlike(pattern), rows).otherwise(none)
 
@@ -109,8 +138,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _found(text, text.contains("AKIA"), ACCESS, 0, "access", 1),
         _found(text, F.lit(True), HEX, 0, "hex", 2)))
     tokens = _found(text, digits, CANDIDATE, 0, "live", 3)
-    rows = scratch.write(rows.select("doc_id", "owner", "repository", text_key(text).alias("tkey"),
-                                     base.alias("base"), tokens.alias("tokens")))
+    rows = rows.select("doc_id", "owner", "repository", text_key(text).alias("tkey"), base.alias("base"), tokens.alias("tokens"))
+    rows = scratch.write(rows.withColumn("all", F.array_sort(F.concat("base", "tokens"))).withColumn(
+        "free", F.when(F.size("base") == 0, F.col("tokens")).otherwise(_uncovered(F.col("all")))).drop("all"))
     # one row per value and document at most, then per value and owner, then per value
     named = rows.select("owner", "repository", F.explode("base").alias("f"), F.lit(1).alias("named"))
     seen = rows.select("owner", "repository", F.explode("tokens").alias("f"), F.lit(0).alias("named"))
@@ -121,15 +151,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owned = scratch.write(by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"),
                                                        F.sum("n_repositories").alias("n_repositories"),
                                                        F.max("named").alias("named")))
-    every = rows.select("doc_id", "tkey", "base", F.explode(F.concat("base", "tokens")).alias("f"))
-    every = every.withColumn("covered", F.exists("base", lambda b: (b["start"] < F.col("f.end")) & (
-        F.col("f.start") < b["end"]))).drop("base").withColumn("hash", _hash(F.col("f.value")))
-    judged = every.join(owned, "hash")
+    every = rows.select("doc_id", "tkey", F.explode(F.concat("base", "free")).alias("f"))
+    judged = every.withColumn("hash", _hash(F.col("f.value"))).join(owned, "hash")
     value = F.col("f.value")
     example = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
     random = (F.length(value) >= LIVE_CHARS) & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_DISTINCT)
     is_base = F.col("f.ord") < 3
-    live = ~is_base & ~F.col("covered") & ~example & ((F.col("named") == 1) | random)
+    live = ~is_base & ~example & ((F.col("named") == 1) | random)
     count = F.struct(F.col("f.start").alias("start"), F.col("f.ord").alias("ord"), "n_owners", "n_repositories")
     found = judged.groupBy("doc_id", "tkey").agg(
         F.array_sort(F.collect_set(F.when(live, F.col("f")))).alias("live"),

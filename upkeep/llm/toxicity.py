@@ -173,7 +173,8 @@ def _shares(votes, weight) -> np.ndarray:
     """One over the number of voters that nearly repeat each voter: their mutual information is
     nearly the voter's whole entropy."""
     shared = _dependence(votes, weight, np.zeros(len(votes)), own=True)
-    most = np.sqrt(np.outer(np.diag(shared), np.diag(shared)))
+    entropy = np.maximum(np.diag(shared), 0)  # rounding may leave less than none
+    most = np.sqrt(np.outer(entropy, entropy))
     return 1.0 / np.maximum(1, (shared >= 0.9 * np.maximum(most, 1e-9)).sum(axis=1))
 
 
