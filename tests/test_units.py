@@ -95,13 +95,13 @@ def test_tag_permutation(spark):
 
 
 def test_history_features_equal_plain_windows_under_a_hot_key(spark):
-    """The chunked windows equal plain per-key windows, also when one key holds most rows
-    and many rows share a day (several seq buckets per day)."""
+    """The ranged windows equal plain per-key windows, also when one key holds most rows
+    and many rows share a day."""
     from upkeep.operators.history import history_features
     rows = [("hot" if i % 3 else f"k{i % 7}", i // 50, i, (i * 7) % 5) for i in range(3000)]
     df = spark.createDataFrame(rows, "id string, d int, seq long, sev int") \
               .withColumn("tanggal", F.date_add(F.lit("2000-01-01").cast("date"), F.col("d")))
-    got = history_features(df, "id", "tanggal", "seq", "sev", seq_bucket_width=16)
+    got = history_features(df, "id", "tanggal", "seq", "sev", partitions=16)
     w = Window.partitionBy("id").orderBy("tanggal", "seq")
     exp = df.select("id", "seq", F.row_number().over(w).alias("running_number"),
                     F.datediff("tanggal", F.lag("tanggal").over(w)).alias("gap_days"),
@@ -110,6 +110,51 @@ def test_history_features_equal_plain_windows_under_a_hot_key(spark):
     assert a.exceptAll(exp).count() == 0 and exp.exceptAll(a).count() == 0
 
 
+def test_history_summary_is_bounded_under_sparse_order_keys(spark):
+    """One asset holds half of the rows and the order keys lie far apart near 2^44: the summary has at
+    most partitions + assets rows, and the hot asset is cut across many partitions."""
+    import random
+
+    from upkeep.operators.history import history_features, partition_summary, ranged_rows
+    rnd = random.Random(8)
+    seqs = rnd.sample(range(1 << 43, 1 << 44), 4000)
+    rows = [("hot" if i % 2 else f"k{i % 50}", rnd.randint(0, 400), s, rnd.randint(0, 9)) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "id string, d int, seq long, sev int") \
+              .withColumn("tanggal", F.date_add(F.lit("2000-01-01").cast("date"), F.col("d"))).repartition(5)
+    ranged = ranged_rows(df, "id", "tanggal", "seq", "sev", 12)
+    summary = partition_summary(ranged, "id", "tanggal", "seq", "sev")
+    assert summary.count() <= 12 + df.select("id").distinct().count()
+    assert summary.filter("id = 'hot'").count() >= 5
+    assert summary.filter("id = 'hot'").agg(F.max("_n")).first()[0] < 1000
+    got = history_features(df, "id", "tanggal", "seq", "sev", partitions=12)
+    w = Window.partitionBy("id").orderBy("tanggal", "seq")
+    exp = df.select("id", "seq", F.row_number().over(w).alias("running_number"),
+                    F.datediff("tanggal", F.lag("tanggal").over(w)).alias("gap_days"),
+                    F.max("sev").over(w.rowsBetween(-2, 0)).alias("max_sev_3"))
+    a = got.select("id", "seq", "running_number", "gap_days", "max_sev_3")
+    assert a.exceptAll(exp).count() == 0 and exp.exceptAll(a).count() == 0
+    assert history_features(df.limit(0), "id", "tanggal", "seq", "sev").count() == 0
+
+
+def test_blanks_as_in_python_and_in_linear_time(spark):
+    import time
+
+    from upkeep.functions import text as tx
+    odd = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert sorted(tx.BLANKS) == odd
+    texts = ["".join(odd) + f"a{b}{b}b" + "".join(reversed(odd)) for b in odd] + ["", " ", "a\u200bb\u180ec", "x" + "\x1c" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", tx.strip_ws("t").alias("s"), tx.collapse_ws("t").alias("c"), tx.tokens("t").alias("k")).collect()
+    for r in got:
+        assert (r.s, r.c, r.k) == (r.t.strip(), " ".join(r.t.split()), r.t.split())
+    big = spark.createDataFrame([(" " * 1_000_000 + "a" + "\u3000" * 1_000_000 + "b" + " " * 1_000_000,)], "t string")
+    began = time.time()
+    r = big.select(tx.strip_ws("t").alias("s"), tx.collapse_ws("t").alias("c"), tx.basic_clean("t").alias("b"),
+                   F.size(tx.tokens("t")).alias("n"), tx.strip_fences("t").alias("f")).first()
+    assert len(r.s) == 1_000_002 and r.c == "a b" and r.n == 2 and len(r.f) == 1_000_002
+    assert time.time() - began < 10
+
+
 def test_positions_are_exact_and_partition_independent(spark):
     from upkeep.operators.ordering import global_positions
     df = spark.range(0, 5000).withColumn("g", F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10))

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 WS = (r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
       r"\x{202F}\x{205F}\x{3000}]")
+#: The same characters one by one.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
+#: Runs of them for the Java engine, which tests its own class of blanks much faster than a list.
+_RUN = r"(?U)[\s\x1C-\x1F]+"
 NULL_TOKEN = "nan"  # what astype(str) makes of a missing text value
 
 
@@ -27,12 +32,18 @@ def as_text(c, null_token: str | None = NULL_TOKEN) -> Column:
 
 
 def strip_ws(c) -> Column:
-    return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
+    """``t.strip()``: one pass from each end (a pattern for trailing blanks starts anew at every blank)."""
+    return F.btrim(_c(c), F.lit(BLANKS))
+
+
+def fold_ws(c) -> Column:
+    """``re.sub(r'\\s+', ' ', t)``"""
+    return F.regexp_replace(_c(c), _RUN, " ")
 
 
 def collapse_ws(c) -> Column:
     """``re.sub(r'\\s+', ' ', t).strip()``"""
-    return strip_ws(F.regexp_replace(_c(c), rf"{WS}+", " "))
+    return F.btrim(fold_ws(c), F.lit(" "))
 
 
 def symbols_to_blank(c) -> Column:
@@ -63,7 +74,7 @@ def concat_text(a, b, null_token: str | None = NULL_TOKEN) -> Column:
 
 def tokens(c) -> Column:
     """``text.split()`` - whitespace tokens, no empty strings."""
-    return F.filter(F.split(strip_ws(c), rf"{WS}+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(fold_ws(c), " "), lambda t: t != F.lit(""))
 
 
 def join_tokens(arr: Column) -> Column:
@@ -98,11 +109,12 @@ def substitute_some(toks: Column, mapping: dict, key: Column, seed: int, p: floa
     seed, so the result does not depend on partitioning) when the lexicon has it."""
     from upkeep.functions.keyed import uniform_of
     m = _lit_map(mapping)
-    return F.transform(
-        toks,
-        lambda t, i: F.when(uniform_of(F.concat_ws("|", key.cast("string"), i.cast("string"),
-                                                   F.lit(str(seed)))) < F.lit(p),
-                            F.coalesce(m[t], t)).otherwise(t))
+
+    def substituted(t, i):
+        drawn = uniform_of(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)))) < F.lit(p)
+        return F.when(F.map_contains_key(m, t), F.when(drawn, m[t]).otherwise(t)).otherwise(t)
+
+    return F.transform(toks, substituted)
 
 
 def strip_sentinels(c) -> Column:
@@ -125,7 +137,7 @@ def report_charset(c) -> Column:
 def clean_report_text(c) -> Column:
     """Missing -> '', fold whitespace, charset filter, strip."""
     c = _c(c)
-    t = strip_ws(report_charset(F.regexp_replace(c, rf"{WS}+", " ")))
+    t = strip_ws(report_charset(fold_ws(c)))
     return F.when(c.isNull(), F.lit("")).otherwise(t)
 
 

@@ -2,17 +2,16 @@
 without one task per asset.
 
 A plain ``Window.partitionBy(asset)`` puts every complaint of an asset into one task; an
-asset holding a third of all rows would make that task a third of the job.  Here rows are
-windowed inside *chunks* = (asset, day, seq bucket) - contiguous ranges of the asset's
-order, so a chunk is bounded by how many complaints one asset gets in one day and one
-bucket.  A chunk summary (row count, last two severities) is then windowed per asset: that
-table has at most one row per (asset, day, bucket), bounded by the calendar, not by data
-volume.  Each row finally combines its in-chunk values with the chunk's predecessors.
+asset holding a third of all rows would make that task a third of the job.  Here the rows are
+range-partitioned by (asset, date, seq) - Spark samples the order, so a hot asset is cut
+across many partitions whatever its dates and order keys look like - and windowed inside
+(partition, asset).  One summary row per (partition, asset), carried over the partitions of each
+asset, then gives every row what came before its partition.  All assets but those that
+a partition bound cuts lie in one partition, so the summary has at most partitions + assets rows,
+and an asset at most as many as there are partitions.
 
-Shuffles: rows once by chunk; chunk summaries once by asset and once back by chunk (the
-rows side of that join is already partitioned by chunk).  The rows feed both the windows
-and the summaries; the two branches prune columns differently, so Spark would compute the
-input twice - it is written once to the checkpoint folder instead.
+The ranged rows are written once to the checkpoint folder with their partition number: the windows
+and the summaries must see one partitioning, and Spark may cut another way on a second evaluation.
 """
 
 from __future__ import annotations
@@ -20,45 +19,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from upkeep.session import materialize
+
+
+def partition_summary(rows: DataFrame, key: str, date: str, seq: str, sev: str) -> DataFrame:
+    """One row per (``_part``, key): how many rows, the last date, the last severity and the one before."""
+    at = F.struct(date, seq)
+    return rows.groupBy("_part", key).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(date).alias("_last"),
+        F.max_by(sev, at).alias("_l1"), F.max_by("_s1", at).alias("_l2"))
+
+
+def ranged_rows(df: DataFrame, key: str, date: str, seq: str, sev: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with its range partition (``_part``) and, within (partition, key) in the order (date, seq),
+    the running number, the two severities before and the date before."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df.repartitionByRange(n, key, date, seq).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", key).orderBy(date, seq)
+    return rows.withColumns({"_rn": F.row_number().over(w), "_s1": F.lag(sev, 1).over(w),
+                             "_s2": F.lag(sev, 2).over(w), "_d1": F.lag(date).over(w)})
+
 
 def history_features(df: DataFrame, key: str = "id", date: str = "tanggal",
                      seq: str = "row_seq", sev: str = "severity_num",
-                     seq_bucket_width: int = 1 << 20) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """Add ``running_number`` (1-based), ``gap_days`` (days since the previous row of the
     key, null for the first) and ``max_sev_3`` (max of ``sev`` over the row and the two
     before it).  Order inside a key: (date, seq); rows must have non-null key and date, and
-    ``seq`` must be unique within (key, date) and increase with position in the order."""
-    from upkeep.session import materialize
-    rows = materialize(df).withColumn(
-        "_b", F.floor(F.col(seq) / F.lit(seq_bucket_width)).cast("long"))
-    chunk = [key, date, "_b"]
-    w_in = Window.partitionBy(*chunk).orderBy(seq)
-    rows = rows.withColumns({
-        "_rn": F.row_number().over(w_in),
-        "_s1": F.lag(sev, 1).over(w_in),
-        "_s2": F.lag(sev, 2).over(w_in),
-    })
-    summary = rows.groupBy(*chunk).agg(
-        F.count(F.lit(1)).alias("_cn"),
-        F.max_by(sev, seq).alias("_l1"),     # severity of the chunk's last row
-        F.max_by("_s1", seq).alias("_l2"))   # ... and of the row before it
-    wc = Window.partitionBy(key).orderBy(date, "_b")
-    summary = summary.select(
-        *chunk,
-        F.coalesce(F.sum("_cn").over(wc.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.lag(date).over(wc).alias("_pd"),
+    ``seq`` must be unique within (key, date)."""
+    rows = ranged_rows(df, key, date, seq, sev, partitions)
+    wc = Window.partitionBy(key).orderBy("_part")
+    before = partition_summary(rows, key, date, seq, sev).select(
+        "_part", key,
+        F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_last").over(wc).alias("_pd"),
         F.lag("_l1").over(wc).alias("_p1"),
-        F.when(F.lag("_cn").over(wc) >= 2, F.lag("_l2").over(wc))
-         .otherwise(F.lag("_l1", 2).over(wc)).alias("_p2"))
-    out = rows.join(summary, chunk)
+        F.when(F.lag("_n").over(wc) >= 2, F.lag("_l2").over(wc)).otherwise(F.lag("_l1", 2).over(wc)).alias("_p2"))
     rn = F.col("_rn")
     prev1 = F.when(rn >= 2, F.col("_s1")).otherwise(F.col("_p1"))
-    prev2 = (F.when(rn >= 3, F.col("_s2")).when(rn == 2, F.col("_p1"))
-             .otherwise(F.col("_p2")))
-    return (out.withColumns({
+    prev2 = F.when(rn >= 3, F.col("_s2")).when(rn == 2, F.col("_p1")).otherwise(F.col("_p2"))
+    return (rows.join(before, ["_part", key]).withColumns({
                 "running_number": (F.col("_before") + rn).cast("long"),
-                "gap_days": F.when(rn == 1, F.datediff(F.col(date), F.col("_pd")))
-                             .otherwise(F.lit(0)),
+                "gap_days": F.datediff(F.col(date), F.when(rn == 1, F.col("_pd")).otherwise(F.col("_d1"))),
                 "max_sev_3": F.greatest(F.col(sev), prev1, prev2)})
-            .drop("_b", "_rn", "_s1", "_s2", "_before", "_pd", "_p1", "_p2"))
+            .select(*df.columns, "running_number", "gap_days", "max_sev_3"))
