@@ -275,18 +275,20 @@ def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("error", F.abs(F.col("predicted") - F.col("actual")))
 
 
-def worst_predictions(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
-    """O3 + O5 + J14: the k largest errors with display attributes re-attached."""
-    p = test_predictions(spark, sf_dir).select("id", "actual", "predicted", "error")
+def worst_predictions(spark: SparkSession, sf_dir: str, k: int = 15, scored: DataFrame | None = None) -> DataFrame:
+    """O3 + O5 + J14: the k largest errors with display attributes re-attached; of ``scored`` test rows (id,
+    actual, predicted, error), by default the fixed predictor's."""
+    p = (test_predictions(spark, sf_dir) if scored is None else scored).select("id", "actual", "predicted", "error")
     attrs = fx.assets(spark, sf_dir).select("id", *TYPE_KEYS, "merek")
     top = p.orderBy(F.desc("error"), F.asc("id")).limit(k)  # top-k is the feature
     return top.join(attrs, "id", "left")
 
 
-def type_slice_error(spark: SparkSession, sf_dir: str, tipe: str = "gear") -> DataFrame:
-    """J8 + E9: test rows whose asset is of one type (semi join) and their MAE."""
+def type_slice_error(spark: SparkSession, sf_dir: str, tipe: str = "gear", scored: DataFrame | None = None) -> DataFrame:
+    """J8 + E9: test rows (of ``scored``, by default the fixed predictor's) whose asset is of one type (semi
+    join) and their MAE."""
     ids = fx.assets(spark, sf_dir).filter(F.col("tipe") == tipe).select("id")
-    p = test_predictions(spark, sf_dir).join(ids, "id", "left_semi")
+    p = (test_predictions(spark, sf_dir) if scored is None else scored).join(ids, "id", "left_semi")
     return p.agg(F.lit(tipe).alias("tipe"), F.count(F.lit(1)).alias("n"),
                  F.round(F.avg("error"), 6).alias("mae"))
 

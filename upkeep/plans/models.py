@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 
 from upkeep.functions import keyed
 from upkeep.functions import text as tx
-from upkeep.operators.encoding import apply_label_codes, fit_label_codes
-from upkeep.operators.evaluate import exact_match_report, regression_report
+from upkeep.operators import boosting
+from upkeep.operators.encoding import (apply_label_codes, apply_target_encoding, fit_label_codes,
+                                       fit_target_encoding)
+from upkeep.operators.evaluate import classification_report, exact_match_report, regression_report
+from upkeep.operators.model_store import Bundle, ModelStore
 from upkeep.plans import interval as ip
 from upkeep.plans import lifespan as ls
+from upkeep.plans import reports as rp
 from upkeep.plans import tickets as tk
 from upkeep.session import materialize
 from upkeep.sources import fixtures as fx
@@ -63,19 +67,29 @@ def interval_estimator(algorithm: str = "rf", num_trees: int = 200, max_depth: i
                                   **TREE_OPTS)
 
 
-def train_interval_model(spark: SparkSession, sf_dir: str, algorithm: str = "rf",
-                         num_trees: int = 200, max_depth: int = 7):
-    """Fit on the stratified training part.  Returns (PipelineModel, codes, test rows)."""
-    split = materialize(ip.interval_split(spark, sf_dir))
+def interval_training(spark: SparkSession, sf_dir: str):
+    """(codes, rows) of the stratified split: label codes fitted on the training part, applied to all."""
+    split = materialize(ip.interval_split(spark, sf_dir), require="labelled assets of the interval model")
     codes = fit_label_codes(split.filter("is_train"), ip.LABEL_CAT_COLS)
-    coded = materialize(apply_label_codes(split, codes, ip.LABEL_CAT_COLS, unknown_code=0))
+    return codes, materialize(apply_label_codes(split, codes, ip.LABEL_CAT_COLS, unknown_code=0))
+
+
+def fit_interval_pipeline(train: DataFrame, algorithm: str = "rf", num_trees: int = 200, max_depth: int = 7) -> PipelineModel:
     pipe = Pipeline(stages=[
         StringIndexer(inputCol="frekuensi", outputCol="label", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=INTERVAL_FEATURES, outputCol="features"),
         interval_estimator(algorithm, num_trees, max_depth)])
-    train = coded.filter("is_train").cache()
+    train = train.cache()
     model = pipe.fit(train)
     train.unpersist()
+    return model
+
+
+def train_interval_model(spark: SparkSession, sf_dir: str, algorithm: str = "rf",
+                         num_trees: int = 200, max_depth: int = 7):
+    """Fit on the stratified training part.  Returns (PipelineModel, codes, test rows)."""
+    codes, coded = interval_training(spark, sf_dir)
+    model = fit_interval_pipeline(coded.filter("is_train"), algorithm, num_trees, max_depth)
     return model, codes, coded.filter(~F.col("is_train"))
 
 
@@ -85,16 +99,13 @@ def _with_labels(model: PipelineModel, pred: DataFrame) -> DataFrame:
                          labels=labels).transform(pred)
 
 
-_trained: dict = {}
-
-
 def _interval_fit(spark: SparkSession, source):
-    """The fitted model of a session and source; predictions and importances share one fit."""
-    key = spark.sparkContext.applicationId, source if isinstance(source, str) else id(source)
-    if key not in _trained:
-        _trained.clear()
-        _trained[key] = train_interval_model(spark, source)
-    return _trained[key]
+    """The stored forest of the source's labelled assets, and its test rows."""
+    codes, coded = interval_training(spark, source)
+    train = coded.filter("is_train")
+    found = ModelStore(spark).get_or_fit("interval-forest", {"num_trees": 200, "max_depth": 7, "seed": SEED}, train,
+                                         lambda: Bundle({"pipeline": fit_interval_pipeline(train)}, {"codes": codes}))
+    return found.models["pipeline"], found.tables["codes"], coded.filter(~F.col("is_train"))
 
 
 def interval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +115,46 @@ def interval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred.select("id", "frekuensi", "predicted")
 
 
+def _ranked(spark: SparkSession, importance: dict[str, float]) -> DataFrame:
+    rows = sorted(importance.items(), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame([(n, float(v), i + 1) for i, (n, v) in enumerate(rows)],
+                                 "feature string, importance double, rank int")
+
+
 def interval_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: feature importances of the interval forest, strongest first."""
     model, _, _ = _interval_fit(spark, sf_dir)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(INTERVAL_FEATURES, imp), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame([(n, float(v), i + 1) for i, (n, v) in enumerate(rows)],
-                                 "feature string, importance double, rank int")
+    return _ranked(spark, dict(zip(INTERVAL_FEATURES, model.stages[-1].featureImportances.toArray().tolist())))
+
+
+def _boosted_fit(spark: SparkSession, source, settings: boosting.Settings = boosting.Settings()):
+    """The stored boosted trees of the source's labelled assets (the reference's settings: 200 rounds, depth 7,
+    rate 0.1, child weight 3, 0.8 of rows and columns), and its test rows."""
+    codes, coded = interval_training(spark, source)
+    train = coded.filter("is_train")
+
+    def fit():
+        trees = boosting.fit(train, INTERVAL_FEATURES, "frekuensi", settings)
+        return Bundle(tables={"trees": trees.to_table(spark), "codes": codes})
+
+    found = ModelStore(spark).get_or_fit("interval-boosted", vars(settings), train, fit)
+    return boosting.BoostedTrees.from_table(found.tables["trees"]), coded.filter(~F.col("is_train"))
+
+
+def interval_boosted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 as the reference has it: the boosted classifier's interval for every test asset."""
+    model, test = _boosted_fit(spark, sf_dir)
+    return model.predict(test.select("id", "frekuensi", *INTERVAL_FEATURES)).select("id", "frekuensi", "predicted")
+
+
+def interval_boosted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 of the boosted classifier on the test part: per class, accuracy, macro and weighted rows."""
+    return classification_report(materialize(interval_boosted_model(spark, sf_dir)), "frekuensi", "predicted")
+
+
+def interval_boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: share of the boosted trees' splits by feature, strongest first."""
+    return _ranked(spark, _boosted_fit(spark, sf_dir)[0].importance())
 
 
 def save_interval_model(model: PipelineModel, codes: DataFrame, path: str) -> None:
@@ -149,35 +193,76 @@ LIFESPAN_NUMERIC = ["total_komplain", "severity_mean", "severity_max", "biaya_to
                     "biaya_mean_log", "hari_antar_komplain_mean"]
 
 
+def _lifespan_fit(spark: SparkSession, sf_dir: str, num_trees: int, max_depth: int):
+    """The stored forest on log1p(lifespan) and every labelled asset scored in days (id, is_train, actual,
+    predicted and the split's columns)."""
+    s = ls.asset_split(spark, sf_dir, noise_scale=30.0)
+    train = s.filter("is_train")
+    feats = LIFESPAN_NUMERIC + [f"te_{c}" for c in ls.CAT_COLS]
+
+    def vectors(df, enc):
+        return apply_target_encoding(df, enc, ls.CAT_COLS).withColumn("label", F.log1p("target"))
+
+    def fit():
+        enc = fit_target_encoding(train, ls.CAT_COLS, "target")
+        rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=3,
+                                   featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS)
+        assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+        rows = materialize(vectors(train, enc), require="training assets of the lifespan model").cache()
+        model = Pipeline(stages=[assembler, rf]).fit(rows)
+        rows.unpersist()
+        return Bundle({"forest": model}, {"encoding": enc})
+
+    found = ModelStore(spark).get_or_fit("lifespan-forest", {"num_trees": num_trees, "max_depth": max_depth, "seed": SEED},
+                                         train, fit)
+    pred = found.models["forest"].transform(vectors(s, found.tables["encoding"]))
+    days = pred.withColumns({"actual": F.expm1("label"), "predicted": F.expm1("prediction")})
+    return found.models["forest"].stages[-1], feats, days.select(*s.columns, "actual", "predicted")
+
+
 def lifespan_model(spark: SparkSession, sf_dir: str, num_trees: int = 250,
                    max_depth: int = 12) -> DataFrame:
     """M2 + F6 + E1-E5: forest on log1p(lifespan) (formula target with keyed N(0, 30)
     noise), 'sqrt' features, min split 6 -> 3 rows per node; metrics in days on the
     time-ordered test part."""
-    from upkeep.operators.encoding import apply_target_encoding, fit_target_encoding
-    s = ls.asset_split(spark, sf_dir, noise_scale=30.0)
-    enc = fit_target_encoding(s.filter("is_train"), ls.CAT_COLS, "target")
-    d = materialize(apply_target_encoding(s, enc, ls.CAT_COLS)
-                    .withColumn("label", F.log1p("target")))
-    feats = LIFESPAN_NUMERIC + [f"te_{c}" for c in ls.CAT_COLS]
-    va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=3,
-                               featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS)
-    train = va.transform(d.filter("is_train")).cache()
-    model = rf.fit(train)
-    train.unpersist()
-    pred = model.transform(va.transform(d.filter(~F.col("is_train"))))
-    days = materialize(pred.select("id", F.expm1("label").alias("actual"),
-                                   F.expm1("prediction").alias("predicted")))
+    _, _, days = _lifespan_fit(spark, sf_dir, num_trees, max_depth)
+    days = materialize(days.filter(~F.col("is_train")).select("id", "actual", "predicted"))
     return regression_report(days, "actual", "predicted", key="id")
 
 
+def lifespan_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: feature importances of the lifespan forest, strongest first."""
+    forest, feats, _ = _lifespan_fit(spark, sf_dir, 250, 12)
+    return _ranked(spark, dict(zip(feats, forest.featureImportances.toArray().tolist())))
+
+
+def _lifespan_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, days = _lifespan_fit(spark, sf_dir, 250, 12)
+    days = days.filter(~F.col("is_train")).withColumns({c: F.bround(c, 0) for c in ("actual", "predicted")})
+    return days.withColumn("error", F.abs(F.col("predicted") - F.col("actual")))
+
+
+def lifespan_worst_predictions(spark: SparkSession, sf_dir: str, k: int = 15) -> DataFrame:
+    """M8 + O3 + J14: the k largest errors of the fitted forest on test assets, with display attributes."""
+    return ls.worst_predictions(spark, sf_dir, k, _lifespan_tests(spark, sf_dir))
+
+
+def lifespan_type_error(spark: SparkSession, sf_dir: str, tipe: str = "gear") -> DataFrame:
+    """M8 + E9: the fitted forest's mean absolute error on test assets of one type."""
+    return ls.type_slice_error(spark, sf_dir, tipe, _lifespan_tests(spark, sf_dir))
+
+
+def lifespan_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: the templated cost report of every labelled asset, its remaining days by the fitted forest."""
+    _, _, days = _lifespan_fit(spark, sf_dir, 250, 12)
+    return rp.asset_report_text(spark, sf_dir, predictions=days.drop("actual"))
+
+
 def rul_fit(spark: SparkSession, sf_dir: str, num_trees: int = 500, max_depth: int = 20):
     """M2 at complaint level: forest on log1p of the real remaining life, fitted to the oversampled
     training part of the time split; features are the complaint history, log cost and target
     encodings.  Returns (model, feature names, scored test rows in days)."""
-    from upkeep.operators.encoding import apply_target_encoding, fit_target_encoding
-    s = materialize(ls.complaint_split(spark, sf_dir))
+    s = materialize(ls.complaint_split(spark, sf_dir), require="complaints of the remaining-life model")
     train = s.filter("is_train")
     enc = fit_target_encoding(train, ls.CAT_COLS, "target")
     feats = ls.COMPLAINT_NUMERIC + [f"te_{c}" for c in ls.CAT_COLS]
@@ -269,9 +354,9 @@ def augment_tickets(train: DataFrame) -> DataFrame:
 
 
 def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Rows for tree training in as few partitions as their number needs: every level of every tree
-    is a job over all partitions."""
-    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+    """Rows for tree training in one partition per core, or more where their number needs it: every
+    level of every tree is a job over all partitions."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task)))
 
 
 def train_ticket_models(train: DataFrame, max_features: int = 2000, num_trees: int = 200,
@@ -296,14 +381,27 @@ def predict_tickets(vec: PipelineModel, fitted: dict, df: DataFrame) -> DataFram
     return out
 
 
+def _ticket_fit(spark: SparkSession, sf_dir: str, num_trees: int = 200, max_depth: int = 30, max_features: int = 2000):
+    """The stored vectoriser and forests of the source's augmented training tickets, and its test tickets."""
+    s = tk.with_targets(tk.with_input(tk.ticket_rows(spark, sf_dir)))
+    s = s.withColumn("is_train", keyed.uniform("ticket_id", seed=SEED) < F.lit(0.8))
+    train = materialize(augment_tickets(s.filter("is_train")), require="training tickets")
+
+    def fit():
+        vec, fitted = train_ticket_models(train, max_features, num_trees, max_depth)
+        return Bundle({"vectoriser": vec, **{t: PipelineModel(stages=list(pair)) for t, pair in fitted.items()}})
+
+    params = {"num_trees": num_trees, "max_depth": max_depth, "max_features": max_features, "seed": SEED}
+    found = ModelStore(spark).get_or_fit("ticket-forests", params, train.select("input_teks", *tk.TARGETS), fit)
+    return found.models["vectoriser"], {t: found.models[t].stages for t in tk.TARGETS}, s.filter(~F.col("is_train"))
+
+
 def ticket_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + E6/E7 + F11: four forests (200 trees; depth 30 is Spark's "unlimited") on TF-IDF of the
     augmented training part; predictions for the test tickets, beside them the exact match and the
     accuracy of each target over all of them."""
-    s = tk.with_targets(tk.with_input(tk.ticket_rows(spark, sf_dir)))
-    s = s.withColumn("is_train", keyed.uniform("ticket_id", seed=SEED) < F.lit(0.8))
-    vec, fitted = train_ticket_models(materialize(augment_tickets(s.filter("is_train"))))
-    pred = predict_tickets(vec, fitted, s.filter(~F.col("is_train")))
+    vec, fitted, test = _ticket_fit(spark, sf_dir)
+    pred = predict_tickets(vec, fitted, test)
     pred = materialize(pred.select("ticket_id", *tk.TARGETS, *[f"pred_{t}" for t in tk.TARGETS]))
     report = exact_match_report(pred, [(t, f"pred_{t}") for t in tk.TARGETS])  # one row
     return pred.join(F.broadcast(report.withColumnRenamed("n", "n_test")))
@@ -368,15 +466,21 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
 
 def vector_model(spark: SparkSession, sf_dir: str, num_trees: int = 200,
                  max_depth: int = 30) -> DataFrame:
-    """F10 re-aimed: a forest on stored float-array vectors (array_to_vector, no Python)."""
+    """F10 re-aimed: a stored forest on stored float-array vectors (array_to_vector, no Python)."""
     e = fx.embeddings(spark, sf_dir)
-    d = (e.withColumn("features", array_to_vector("embedding"))
-         .withColumn("label", F.col("label").cast("double"))
-         .withColumn("is_train", keyed.uniform("vec_id", seed=SEED) < F.lit(0.8)))
-    train = d.filter("is_train").cache()
-    model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=SEED,
-                                   **TREE_OPTS).fit(train)
-    train.unpersist()
-    pred = model.transform(d.filter(~F.col("is_train")))
+    d = e.withColumn("is_train", keyed.uniform("vec_id", seed=SEED) < F.lit(0.8))
+    train = materialize(d.filter("is_train").select("vec_id", "embedding", "label"), require="training vectors")
+
+    def vectors(df):
+        return df.withColumns({"features": array_to_vector("embedding"), "label": F.col("label").cast("double")})
+
+    def fit():
+        rows = vectors(train).cache()
+        model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=SEED, **TREE_OPTS).fit(rows)
+        rows.unpersist()
+        return Bundle({"forest": PipelineModel(stages=[model])})
+
+    found = ModelStore(spark).get_or_fit("vector-forest", {"num_trees": num_trees, "max_depth": max_depth, "seed": SEED}, train, fit)
+    pred = found.models["forest"].transform(vectors(d.filter(~F.col("is_train"))))
     return pred.select("vec_id", F.col("label").cast("int").alias("label"),
                        F.col("prediction").cast("int").alias("predicted"))

@@ -62,7 +62,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # model training (checked on row counts only)
     "interval_model": models.interval_model,
     "interval_feature_importance": models.interval_feature_importance,
+    "interval_boosted_model": models.interval_boosted_model,
+    "interval_boosted_report": models.interval_boosted_report,
+    "interval_boosted_importance": models.interval_boosted_importance,
     "lifespan_model": models.lifespan_model,
+    "lifespan_feature_importance": models.lifespan_feature_importance,
+    "lifespan_worst_predictions": models.lifespan_worst_predictions,
+    "lifespan_type_error": models.lifespan_type_error,
+    "lifespan_report_text": models.lifespan_report_text,
     "ticket_model": models.ticket_model,
     "ticket_grid": models.ticket_grid,
     "vector_model": models.vector_model,

@@ -96,11 +96,14 @@ def fixed_length_ids(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_S
         F.size("tgt").cast("long").alias("n_label_tokens"), padded(1, LABEL_PAD).alias("labels"))
 
 
-def scored_report_rows(spark: SparkSession, sf_dir: str, as_of: str = "2002-01-01"
-                       ) -> DataFrame:
-    """Labelled assets with the fixed lifespan predictor: days left at ``as_of``,
-    severity word and mean repair cost."""
-    lab = ls.fixed_prediction(ls.labelled_assets(spark, sf_dir).withColumn("target", F.lit(0.0)))
+def scored_report_rows(spark: SparkSession, sf_dir: str, as_of: str = "2002-01-01",
+                       predictions: DataFrame | None = None) -> DataFrame:
+    """Labelled assets with their predicted lifespan (``predictions``: labelled assets with a column
+    ``predicted``; by default the fixed predictor's): days left at ``as_of``, severity word and
+    mean repair cost."""
+    lab = predictions
+    if lab is None:
+        lab = ls.fixed_prediction(ls.labelled_assets(spark, sf_dir).withColumn("target", F.lit(0.0)))
     names = fx.assets(spark, sf_dir).select("id", "nama")
     age = F.datediff(F.lit(as_of).cast("date"), F.col("tanggal_instalasi"))
     left = F.greatest(F.coalesce(F.col("predicted") - age, F.col("predicted")), F.lit(1.0))
@@ -118,9 +121,9 @@ def linearize_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("linearized_data_input"))
 
 
-def asset_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asset_report_text(spark: SparkSession, sf_dir: str, predictions: DataFrame | None = None) -> DataFrame:
     """M9: templated cost report per asset, the asset name copied verbatim."""
-    r = scored_report_rows(spark, sf_dir)
+    r = scored_report_rows(spark, sf_dir, predictions=predictions)
     return r.select("id", F.format_string(REPORT_TEMPLATE, "nama", F.col("days_left").cast("string"),
                                           "severity_word", tx.thousands_dots("money"))
                     .alias("report"))

@@ -8,10 +8,12 @@ and only when it is unset.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter at scale; all are plain Spark SQL configuration.
 SCALE_CONF = {
@@ -112,7 +114,24 @@ class Scratch:
         self.drop()
 
 
-def materialize(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give every Python worker this package, wherever the session was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="upkeep-ship-")
+    staged = os.path.join(folder, "src")
+    shutil.copytree(root, os.path.join(staged, os.path.basename(root)),
+                    ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "upkeep-package"), "zip", staged))
+    _shipped.add(app)
+
+
+def materialize(df: DataFrame, scratch: Scratch | None = None, require: str | None = None) -> DataFrame:
     """Cut lineage by writing the rows as a Parquet table in the shared checkpoint folder
     and reading them back.  Runs a job at once, while the caller's plan is still being built.
 
@@ -120,6 +139,14 @@ def materialize(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     to count, once to write); the files survive a lost executor because they live in the
     cluster's shared folder; the read-back plan gets Parquet column pruning and row-count
     statistics (so AQE can size joins against it).  Pass a ``Scratch`` to be able to delete
-    the table when its consumers are done.
+    the table when its consumers are done.  ``require`` names rows that must not be none: they are
+    counted by the job that writes them, and an error tells which were missing.
     """
-    return (scratch or Scratch(df.sparkSession)).write(df)
+    scratch = scratch or Scratch(df.sparkSession)
+    if require is None:
+        return scratch.write(df)
+    seen = Observation()
+    out = scratch.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    if not seen.get.get("n"):
+        raise ValueError(f"no rows: {require}")
+    return out
