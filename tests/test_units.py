@@ -380,3 +380,37 @@ def test_texts_without_tokens_stay(spark):
     assert len(rows) == 3 and sorted(r.n_label_tokens for r in rows) == [0, 1, 2]
     none = next(r for r in rows if r.n_label_tokens == 0)
     assert none.labels.split(",") == ["1"] + ["-100"] * 127
+
+
+def test_exact_quantiles_equal_pandas(spark):
+    import numpy as np
+
+    from upkeep.operators.stats import exact_quantiles, quantile_frame
+    rnd = np.random.default_rng(3)
+    rows = [("hot", float(x)) for x in rnd.normal(size=30_000)] + [("hot", 0.25)] * 15_000
+    rows += [("few", float(x)) for x in rnd.integers(0, 4, 1_000)] + [("one", 7.0)] + [(f"n{n}", float(rnd.normal())) for n in range(2, 40) for _ in range(n)] + [(None, 1.0), (None, 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.g: (r.n, list(r.q)) for r in exact_quantiles(df, ["g"], "v", qs).collect()}
+    assert set(got) == {"hot", "few", "one", None, *(f"n{n}" for n in range(2, 40))}
+    for g, (n, q) in got.items():
+        values = [v for k, v in rows if k == g and v is not None]
+        assert n == len(values) and np.allclose(q, np.quantile(values, qs), rtol=0, atol=1e-12)
+    every = [v for _, v in rows if v is not None]
+    assert abs(quantile_frame(df, "v", 0.5).first().value - np.quantile(every, 0.5)) < 1e-12
+    assert quantile_frame(df.filter("g = 'none'"), "v", 0.5).first().value is None
+    plan = exact_quantiles(df, ["g"], "v", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan
+
+
+def test_time_split_by_day_histogram(spark):
+    import datetime
+
+    from upkeep.operators.splits import time_split
+    day = datetime.date(2001, 1, 1)
+    for sizes in ([5, 1, 40, 3], [10], [4, 1], [8, 2], [], [1], [3, 3, 3, 3, 3]):
+        rows = [(day + datetime.timedelta(days=d), f"a{i * 7 % 11}", i) for d, n in enumerate(sizes) for i in range(n)]
+        df = spark.createDataFrame(rows, "tanggal date, id string, row_seq long").repartition(3)
+        want = {r: k < len(rows) * 4 // 5 for k, r in enumerate(sorted(rows))}
+        got = {(r.tanggal, r.id, r.row_seq): r.is_train for r in time_split(df, ["tanggal", "id", "row_seq"]).collect()}
+        assert got == want

@@ -1,59 +1,44 @@
-"""Descriptive tables behind the reference's charts.
-
-Quantiles use Spark's exact ``percentile`` (a value->count map per group, bounded by the
-number of distinct values of the measure - counts and severity means here); for measures of
-unbounded cardinality pass ``approx=True`` (``percentile_approx`` sketch, bounded memory).
-"""
+"""Descriptive tables behind the reference's charts (A8-A12).  Quantiles are exact (``stats.exact_quantiles``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from upkeep.operators.stats import exact_quantiles
 
-def _q(c: Column, qs: list[float], approx: bool) -> Column:
-    if approx:
-        return F.percentile_approx(c, qs, 100000)
-    return F.percentile(c, F.array(*[F.lit(q) for q in qs]))
 
+def _measures(df: DataFrame, keep: list[str], cols: list[str], name: str) -> DataFrame:
+    """One row per row and measure: ``name`` and the value ``v`` (missing values left out)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("v")) for c in cols])
+    return df.select(*keep, F.explode(pairs).alias("s")).select(*keep, f"s.{name}", "s.v").filter(F.col("v").isNotNull())
 
-def describe(df: DataFrame, cols: list[str], approx: bool = False, digits: int = 6
-             ) -> DataFrame:
-    """A10: count, mean, sample std, min, quartiles (linear interpolation), max per column,
-    as one aggregate over all columns, then one row per column."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _q(x, [0.25, 0.5, 0.75], approx).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    r = lambda e: F.round(e, digits)
-    rows = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-        r(F.col(f"{c}__mean")).alias("mean"), r(F.col(f"{c}__std")).alias("std"),
-        r(F.col(f"{c}__min")).alias("min"), r(F.col(f"{c}__q")[0]).alias("q25"),
-        r(F.col(f"{c}__q")[1]).alias("q50"), r(F.col(f"{c}__q")[2]).alias("q75"),
-        r(F.col(f"{c}__max")).alias("max")) for c in cols])
-    return wide.select(F.explode(rows).alias("s")).select("s.*")
+
+def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """A10: count, mean, sample std, min, quartiles (linear interpolation), max per column; a column without
+    values has a count of 0 and no other number."""
+    long = _measures(df, [], cols, "column")
+    stats = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                                       F.min("v").alias("min"), F.max("v").alias("max"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    quartiles = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]).drop("n")
+    out = every.join(stats, "column", "left").join(quartiles, "column", "left").withColumns(
+        {"q25": F.col("q")[0], "q50": F.col("q")[1], "q75": F.col("q")[2]})
+    return out.select("column", F.coalesce("count", F.lit(0).cast("long")).alias("count"),
+                      *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
-def boxplot_stats(df: DataFrame, group: str, measures: list[str], approx: bool = False,
-                  digits: int = 6) -> DataFrame:
+def boxplot_stats(df: DataFrame, group: str, measures: list[str], digits: int = 6) -> DataFrame:
     """Per group and measure the quartiles, whiskers (most extreme datum within 1.5 IQR
-    of the box) and the number of points beyond them.  Two aggregates: quartiles, then
-    whiskers against the quartiles (a group-sized table joined back)."""
-    long = (df.filter(F.col(group).isNotNull())
-            .select(group, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"),
-                                                        F.col(m).cast("double").alias("v"))
-                                               for m in measures])).alias("s"))
-            .select(group, "s.measure", "s.v").filter(F.col("v").isNotNull()))
-    qs = long.groupBy(group, "measure").agg(_q(F.col("v"), [0.25, 0.5, 0.75], approx).alias("q"))
-    qs = qs.select(group, "measure", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                   F.col("q")[2].alias("q3"))
+    of the box) and the number of points beyond them; whiskers from one more aggregate
+    against the quartiles (a group-sized table joined back)."""
+    long = _measures(df.filter(F.col(group).isNotNull()), [group], measures, "measure")
+    qs = exact_quantiles(long, [group, "measure"], "v", [0.25, 0.5, 0.75])
+    qs = qs.select(F.col(group).alias("_g"), F.col("measure").alias("_m"), F.col("q")[0].alias("q1"),
+                   F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - iqr * 1.5, F.col("q3") + iqr * 1.5
-    j = long.join(qs, [group, "measure"])
+    j = long.join(qs, (long[group] == qs["_g"]) & (long["measure"] == qs["_m"]))
     out = j.groupBy(group, "measure", "q1", "median", "q3").agg(
         F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("whisker_hi"),

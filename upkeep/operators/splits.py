@@ -7,23 +7,55 @@ a retry.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from upkeep.functions.keyed import uniform
 from upkeep.operators.ordering import global_positions, row_number_within
 
 
+def time_boundary(df: DataFrame, order: list[str], num: int, den: int):
+    """The last row of the first floor(n * num / den) in ``order`` (day first): (day, rest of the order), rest
+    None if the whole day belongs to them; None if there is no such row.  Rows are counted by day (the counts
+    are as many as the calendar has days) and put in order inside the boundary day only."""
+    day, rest = order[0], list(order[1:])
+    counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(day)
+    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    cut = F.floor(F.col("_total") * num / F.lit(den))
+    at = (counts.withColumns({"_upto": upto, "_total": total}).withColumn("_cut", cut)
+          .filter((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_n") < F.col("_cut"))).first())
+    if at is None:
+        return None
+    if at["_cut"] == at["_upto"] or not rest:
+        return at[day], None
+    inside = df.filter(F.col(day).eqNullSafe(F.lit(at[day]).cast(df.schema[day].dataType))).select(*rest)
+    nth = at["_cut"] - (at["_upto"] - at["_n"]) - 1
+    row = global_positions(inside, rest, pos_col="_pos").filter(F.col("_pos") == nth).first()
+    return at[day], [row[c] for c in rest]
+
+
 def time_split(df: DataFrame, order: list[str], train_share_num: int = 4,
-               train_share_den: int = 5, flag: str = "is_train") -> DataFrame:
+               train_share_den: int = 5, flag: str = "is_train", keys: DataFrame | None = None) -> DataFrame:
     """Global time-ordered split: the first int(n*0.8) rows of the total order are train.
 
-    ``order`` must be a total order (e.g. date, id, row_seq).  int(n*0.8) equals
-    (4n) div 5 for every n (the double 0.8 is slightly above 4/5), so integers are used.
+    ``order`` must be a total order without nulls that starts with a day (e.g. date, id, row_seq).
+    int(n*0.8) equals (4n) div 5 for every n (the double 0.8 is slightly above 4/5), so integers are
+    used.  The boundary is found first (``time_boundary``, from ``keys`` if given: the same rows, cheaper to
+    read); the split is then a comparison per row, without sort, shuffle or copy.
     """
-    pos = global_positions(df, order, pos_col="_pos", total_col="_n")
-    cut = F.floor(F.col("_n") * train_share_num / F.lit(train_share_den))
-    return pos.withColumn(flag, F.col("_pos") < cut).drop("_pos", "_n")
+    found = time_boundary(df if keys is None else keys, order, train_share_num, train_share_den)
+    if found is None:
+        return df.withColumn(flag, F.lit(False))
+    at, rest = found
+    typed = lambda c, v: F.lit(v).cast(df.schema[c].dataType).alias(c)
+    day = F.col(order[0])
+    if rest is None:
+        return df.withColumn(flag, day <= typed(order[0], at))
+    last = F.struct(*[typed(c, v) for c, v in zip(order[1:], rest)])
+    inside = F.struct(*[F.col(c) for c in order[1:]]) <= last
+    return df.withColumn(flag, (day < typed(order[0], at)) | ((day == typed(order[0], at)) & inside))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42,

@@ -143,10 +143,12 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E8 on the test part, for a fixed predictor: the pick with the age factor left out."""
+    """E8 on the test part, for a fixed predictor: the pick with the age factor left out.  Assets are scored
+    once; both picks go through the split."""
     from upkeep.operators.evaluate import classification_report as report
-    s = scored_assets(spark, sf_dir)
+    from upkeep.operators.splits import stratified_split as split
     u0 = iv.urgency_without_age("jumlah_komplain", "rata_severity", "tingkat_kekritisan")
-    s = s.select("id", iv.pick_interval("intervals", u0).alias("predicted"))
-    test = interval_split(spark, sf_dir).filter(~F.col("is_train")).join(s, "id")
+    both = scored_assets(spark, sf_dir).select("id", iv.pick_interval("intervals", "urgency").alias("frekuensi"),
+                                               iv.pick_interval("intervals", u0).alias("predicted"))
+    test = split(both.filter(F.col("frekuensi").isNotNull()), "frekuensi", "id").filter(~F.col("is_train"))
     return report(test, "frekuensi", "predicted")

@@ -129,12 +129,13 @@ def penalty_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def complaint_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global time-ordered 80/20 split of the complaint features (ties by id, seq)."""
-    h = materialize(history_rows(spark, sf_dir))  # read by the bounds sample and the split
+    h = materialize(history_rows(spark, sf_dir))  # read by the boundary and, mostly more than once, by consumers
     return time_split(h, ["tanggal", "id", "row_seq"])
 
 
 def time_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = complaint_time_split(spark, sf_dir)
+    """The split alone needs no features, and writes nothing."""
+    s = time_split(rul_rows(spark, sf_dir), ["tanggal", "id", "row_seq"])
     return s.select("id", "row_seq", iso("tanggal").alias("tanggal"), "is_train")
 
 
@@ -145,7 +146,7 @@ def critical_oversample(spark: SparkSession, sf_dir: str, threshold: int = 60,
     3% Gaussian jitter on three columns (noise std measured on the copied rows, as the
     reference does), absolute values; union with the training rows.  One pass: each
     critical row explodes into its copies."""
-    train = complaint_time_split(spark, sf_dir).filter("is_train")  # positions are written already
+    train = complaint_time_split(spark, sf_dir).filter("is_train")
     cols = ["umur_saat_komplain", "jarak_servis_sebelumnya", "cost_density"]
     out = oversample(train, threshold, copies, jitter, seed)
     return out.select("id", "row_seq", "copy", "target_rul",
@@ -212,7 +213,7 @@ def labelled_assets(spark: SparkSession, sf_dir: str, fit_on: str = "train") ->
         fit_rows = time_split(lab, ["tanggal_penggantian", "id"]).filter("is_train")
     else:
         raise ValueError(fit_on)
-    med = quantile_scalar(fit_rows, "hari_antar_komplain_mean", 0.5, ["id"])
+    med = quantile_scalar(fit_rows, "hari_antar_komplain_mean", 0.5)
     return lab.withColumns({
         "hari_antar_komplain_mean": F.coalesce(F.col("hari_antar_komplain_mean"), med),
         "biaya_total_log": F.log1p("biaya_total"),
