@@ -200,6 +200,31 @@ def test_byte_bpe(spark, texts):
         assert (starts[1:] <= ends[:-1]).all()
 
 
+def test_byte_bpe_offsets_in_rows(spark):
+    """Offsets and split characters as rows, against the bytes of every token."""
+    import public_tokenizers as P
+
+    from upkeep.llm import bpe
+    rnd = random.Random(5)
+    texts = ["", None, "plain words", "漢字🙂🧿é", *("".join(rnd.choices("ab é漢🙂🧿𐍈", k=30)) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    b, split = bpe.load(path, P.PATTERN), 0
+    rows = bpe.encode_documents(docs, path, P.PATTERN, decoded=True, offsets=True)
+    for r in rows.collect():
+        text = texts[r.doc_id] or ""
+        at, data, inside, spans = 0, text.encode(), 0, []
+        for i in np.frombuffer(r.ids, "<u4").tolist():
+            end = at + len(b.token_bytes[i])
+            inside += at < len(data) and data[at] & 0xC0 == 0x80
+            spans.append((len(data[:at].decode("utf-8", "ignore")), len(data[:end].decode("utf-8", "replace"))))
+            at = end
+        assert list(zip(r.starts, r.ends)) == spans and r.n_split == inside
+        split += inside
+    assert split > 20
+    assert {"offsets_xxhash64", "n_split"} < set(bpe.digest(rows).columns)
+
+
 def test_store_is_bounded():
     from upkeep.llm.bpe import PieceStore
     made = []

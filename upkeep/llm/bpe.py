@@ -158,7 +158,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                      offsets: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_tokens``, ``ids`` (binary, little-endian
     unsigned 32-bit) and, if asked for, ``decoded`` (binary: the bytes that the ids decode to)
-    and ``starts``/``ends`` (code point offsets of every token).
+    and ``starts``/``ends`` (code point offsets of every token) with ``n_split`` (tokens that begin
+    inside a character whose first bytes an earlier token holds).
 
     A null text counts as empty; an empty text has no ids; repeated rows and repeated or null
     ids stay as they are; other columns are ignored whatever their names.  No shuffle: memory
@@ -167,7 +168,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     ship_package(docs.sparkSession)
     keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids binary"
-    schema += ", decoded binary" * decoded + ", starts array<long>, ends array<long>" * offsets
+    schema += ", decoded binary" * decoded + ", starts array<int>, ends array<int>, n_split long" * offsets
 
     def run(batches):
         bpe = load(ranks_path, pattern)
@@ -182,20 +183,30 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     names.append("decoded")
                 if offsets:
                     spans = [bpe.token_offsets(x) for x in ids]
-                    cols += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
-                    names += ["starts", "ends"]
+                    every = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in spans])]).astype(np.int32))
+                    for k, name in enumerate(("starts", "ends")):
+                        flat = np.concatenate([s[k] for s in spans]).astype(np.int32)
+                        cols.append(pa.ListArray.from_arrays(every, pa.array(flat)))
+                        names.append(name)
+                    # a token begins inside a character if it starts before the one ahead of it ends
+                    cols.append(pa.array([int((a[1:] < b[:-1]).sum()) for a, b in spans], pa.int64()))
+                    names.append("n_split")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return keep.mapInArrow(run, schema)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
+    """Digests of ids and decoded bytes; where there are offsets, also a hash of them and ``n_split``."""
+    more = []
+    if "starts" in encoded.columns:
+        more = [F.xxhash64("starts", "ends").alias("offsets_xxhash64"), F.col("n_split")]
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+                          F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return digest(encode_documents(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-        public_tokenizers.PATTERN, decoded=True))
+        public_tokenizers.PATTERN, decoded=True, offsets=True))

@@ -173,3 +173,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", (~passes(F.col("fail_bits"), BASE)).alias("base_failed"),
                        passes(F.col("fail_bits"), CURRENT).alias("kept"), "fail_bits")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's documents kept and what each of its rules does, over the whole ledger."""
+    return ablation(ledger(documents(spark, sf_dir).select("doc_id", "text")).select("ledger.fail_bits"))

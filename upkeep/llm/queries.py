@@ -16,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "quality_ablation": quality.quality_ablation,
     "op11_warc": warc.op11_warc,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_periodic_runs": runs.op13_periodic_runs,
@@ -50,6 +51,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        fail_bits = 0 AS kept, fail_bits FROM b"""
 
+_POLICIES = [("base", 1, 3), ("corpus", 1, 255), ("corpus", 2, 1023)]
+_RULES = ["few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "shouting",
+          "few_letters", "digits", "shouted_marks"]
+SQL["quality_ablation"] = f"""
+WITH led AS (SELECT fail_bits AS b FROM ({SQL["op10_quality_rules"]})),
+pol(policy, version, mask) AS (VALUES {', '.join(f"('{n}', {v}, {m})" for n, v, m in _POLICIES)}),
+rul(rule, bit) AS (VALUES {', '.join(f"('{r}', {1 << i})" for i, r in enumerate(_RULES))})
+SELECT policy, version, rule, (SELECT count(*) FROM led WHERE b & mask = 0) AS n_kept,
+       (SELECT count(*) FROM led WHERE b & bit <> 0) AS n_failed, (SELECT count(*) FROM led WHERE b & mask = bit) AS n_only_this
+FROM pol JOIN rul ON mask & bit <> 0"""
+
 # A line has a neighbour one edit away if the two agree up to some place and after it; such lines
 # share their first or their last half (of the shorter one).
 SQL["op9_line_dedup"] = r"""
