@@ -414,3 +414,48 @@ def test_time_split_by_day_histogram(spark):
         want = {r: k < len(rows) * 4 // 5 for k, r in enumerate(sorted(rows))}
         got = {(r.tanggal, r.id, r.row_seq): r.is_train for r in time_split(df, ["tanggal", "id", "row_seq"]).collect()}
         assert got == want
+
+
+def test_word_tables_of_any_size(spark):
+    """Literal maps, bucketed literals and the joined table give the same words."""
+    from upkeep.functions import text as tx
+    from upkeep.operators.dictionary import map_by_table
+    texts = ["w1 w2 w2 zz", "", "w39999 é漢 w7 w7 'q\" \\\\", "only other words", "w4 w5"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "k long, t string").withColumn("ws", tx.tokens("t"))
+    big = {f"w{i}": f"v{i}" for i in range(40_000)} | {"é漢": "ok", "'q\"": 'x"y', "\\\\": "back"}
+    stop = [f"w{i}" for i in range(5, 20_000)]
+    for mapping in (big, dict(list(big.items())[:9])):
+        got = df.select("k", tx.map_words(F.col("ws"), mapping).alias("m")).collect()
+        assert {r.k: r.m for r in got} == {k: [mapping.get(w, w) for w in t.split()] for k, t in enumerate(texts)} | {9: None}
+    got = df.select("k", tx.remove_words(F.col("ws"), stop).alias("m")).collect()
+    assert {r.k: r.m for r in got} == {k: [w for w in t.split() if w not in set(stop)] for k, t in enumerate(texts)} | {9: None}
+    table = spark.createDataFrame([(w, None if w in set(stop[:500]) else v) for w, v in big.items()] + [("w1", "zzz"), (None, "n")],
+                                  "word string, value string")
+    want = {k: [big.get(w, w) for w in t.split() if w not in set(stop[:500])] for k, t in enumerate(texts)} | {9: None}
+    for limit in (None, 0):
+        got = map_by_table(df, "k", "ws", table, literal_words=limit)
+        assert got.columns == df.columns and {r.k: r.ws for r in got.collect()} == want
+
+
+def test_response_rows_against_the_requested_case(spark):
+    from upkeep.plans.corpus import case_conformance
+    rows = spark.createDataFrame([
+        (1, 1, "Pump", "Berat", "Aus", "Crack", "500"), (1, 2, " Pump ", "Berat", "Aus", "Crack", "501"),
+        (1, 3, "Fan", None, "Aus", "Crack", "500"), (2, 1, "Pump", "Berat", "", "Crack", "500"), (9, 1, "Pump", None, None, None, None)],
+        "batch_id long, line_no long, kategori_aset string, severity string, root_cause string, jenis_kerusakan string, biaya_perbaikan string")
+    cases = spark.createDataFrame([(1, "Pump", "Berat", "Aus", "Crack", "500"), (2, "Pump", "Berat", None, "Crack", "500")],
+                                  "batch_id long, kategori string, severity string, penyebab string, jenis_kerusakan string, money string")
+    got = {(r.batch_id, r.line_no): (r.matched, r.conforms, r.reason) for r in case_conformance(rows, cases).collect()}
+    assert got == {(1, 1): (5, True, None), (1, 2): (4, False, "biaya_perbaikan"), (1, 3): (3, False, "kategori_aset,severity"),
+                   (2, 1): (5, True, None), (9, 1): (0, False, "no case")}
+
+
+def test_pairs_exported_and_sentinels_removed(spark, tmpdir_path):
+    from upkeep.functions.text import strip_sentinels
+    from upkeep.sources.sinks import export_pairs
+    df = spark.createDataFrame([("a <extra_id_0>b", "c", 1), (None, "<extra_id_12>", 2)], "clean_input string, clean_output string, x int")
+    export_pairs(df, f"{tmpdir_path}/pairs")
+    back = spark.read.parquet(f"{tmpdir_path}/pairs")
+    assert back.columns == ["clean_input", "clean_output"]
+    got = back.select(strip_sentinels("clean_input").alias("i"), strip_sentinels("clean_output").alias("o")).collect()
+    assert sorted(map(tuple, got), key=str) == [("a b", "c"), (None, "")]

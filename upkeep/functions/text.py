@@ -8,6 +8,9 @@ regex here.
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,22 +84,40 @@ def join_tokens(arr: Column) -> Column:
     return F.array_join(arr, " ")
 
 
-def _lit_map(mapping: dict) -> Column:
-    if not mapping:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
+#: Words up to which a literal map, searched word by word, does.
+FEW_WORDS = 16
+
+
+def _lookup(mapping: dict):
+    """A function from a word column to its value in ``mapping`` (null: none).
+
+    Spark searches a map from end to end, so a larger mapping becomes an array of maps of a word or two,
+    chosen by the word's CRC-32: the cost per word does not grow with the mapping (a task takes some
+    seconds to read a literal of 50,000 words).  A mapping is a parameter that fits the driver, for more
+    see ``operators.dictionary``."""
+    if len(mapping) <= FEW_WORDS:
+        m = F.create_map().cast("map<string,string>")
+        if mapping:
+            m = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
+        return lambda t: m[t]
+    size = 1 << (len(mapping) - 1).bit_length()
+    buckets: list[dict] = [{} for _ in range(size)]
+    for word, value in mapping.items():
+        buckets[zlib.crc32(word.encode()) % size][word] = value
+    table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,string>>")
+    return lambda t: F.get(table, F.pmod(F.crc32(t), F.lit(size)).cast("int"))[t]
 
 
 def remove_words(toks: Column, words) -> Column:
-    """Drop caller-listed words (a parameter of bounded size)."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(words))])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    """Drop caller-listed words."""
+    find = _lookup({w: "" for w in words})
+    return F.filter(toks, lambda t: find(t).isNull())
 
 
 def map_words(toks: Column, mapping: dict) -> Column:
     """Word-level substitution from a caller map (synonyms or lemma table)."""
-    m = _lit_map(mapping)
-    return F.transform(toks, lambda t: F.coalesce(m[t], t))
+    find = _lookup(mapping)
+    return F.transform(toks, lambda t: F.coalesce(find(t), t))
 
 
 def replace_words(c, mapping: dict) -> Column:
@@ -108,11 +129,11 @@ def substitute_some(toks: Column, mapping: dict, key: Column, seed: int, p: floa
     """C11: each word is replaced with probability ``p`` (keyed by row key, position and
     seed, so the result does not depend on partitioning) when the lexicon has it."""
     from upkeep.functions.keyed import uniform_of
-    m = _lit_map(mapping)
+    find = _lookup(mapping)
 
     def substituted(t, i):
         drawn = uniform_of(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)))) < F.lit(p)
-        return F.when(F.map_contains_key(m, t), F.when(drawn, m[t]).otherwise(t)).otherwise(t)
+        return F.when(find(t).isNotNull(), F.when(drawn, find(t)).otherwise(t)).otherwise(t)
 
     return F.transform(toks, substituted)
 

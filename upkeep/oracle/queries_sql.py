@@ -572,6 +572,21 @@ SQL["response_rows"] = with_fixtures(["assets", "complaints", "responses"], RESP
 SELECT r.*, coalesce(r.severity IN (SELECT severity FROM complaints WHERE severity IS NOT NULL), false)
        AS severity_known FROM rrows r""")
 
+_ASKED = [("kategori_aset", "kategori"), ("severity", "severity"), ("root_cause", "penyebab"),
+          ("jenis_kerusakan", "jenis_kerusakan"), ("biaya_perbaikan", "money")]
+_SAME = [(f, f"nullif({strip_sql('r.' + f)}, '') IS NOT DISTINCT FROM a.{c}") for f, c in _ASKED]
+SQL["response_conformance"] = with_fixtures(["assets", "complaints", "responses"], QUEUE[:-1] + RESP, f"""
+SELECT r.batch_id, r.line_no, {', '.join('r.' + f for f, _ in _ASKED)},
+       CASE WHEN a.b IS NULL THEN 0 ELSE {' + '.join(f'CAST({x} AS BIGINT)' for _, x in _SAME)} END AS matched,
+       a.b IS NOT NULL AND {' AND '.join(f'({x})' for _, x in _SAME)} AS conforms,
+       CASE WHEN a.b IS NULL THEN 'no case' ELSE
+         nullif(concat_ws(',', {', '.join(f"CASE WHEN NOT ({x}) THEN '{f}' END" for f, x in _SAME)}), '') END AS reason
+FROM rrows r LEFT JOIN (
+  SELECT row_number() OVER (ORDER BY md5(concat_ws('|', coalesce(kategori, 'nan'), coalesce(severity, 'nan'), coalesce(penyebab, 'nan'),
+           coalesce(jenis_kerusakan, 'nan'), '42')), kategori, severity, penyebab, jenis_kerusakan) - 1 AS b,
+         kategori, severity, penyebab, jenis_kerusakan, CAST(CAST(round(biaya_perbaikan) AS BIGINT) AS VARCHAR) AS money
+  FROM queue) a ON a.b = r.batch_id""")
+
 SQL["ticket_read_bad_lines"] = with_fixtures(["responses"], RESP, """
 SELECT n_fields, count(*) AS n_rows, count(DISTINCT batch_id) AS n_batches FROM rrows GROUP BY 1""")
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from upkeep.functions import text as tx
 from upkeep.functions.keyed import uniform_of
-from upkeep.operators.ordering import first_per_key, null_safe_on, row_number_within
+from upkeep.operators.ordering import (first_per_key, global_positions, null_safe_on,
+                                       row_number_within)
 from upkeep.sources import fixtures as fx
 
 SEED = 42
@@ -102,6 +103,41 @@ def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.withColumn("severity_known", F.col("_sev").isNotNull()).drop("_sev")
 
 
+#: Fields of a response row that must repeat those of the case it was asked for.
+CASE_FIELDS = {"kategori_aset": "kategori", "severity": "severity", "root_cause": "penyebab",
+               "jenis_kerusakan": "jenis_kerusakan", "biaya_perbaikan": "money"}
+
+
+def requested_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which queued case each response batch was asked for: batch numbers follow the queue in the order of a
+    keyed hash of the case (the order in which ``coverage_queue`` is worked off)."""
+    q = coverage_queue(spark, sf_dir)
+    h = F.md5(F.concat_ws("|", *[tx.as_text(c) for c in CASE_KEYS], F.lit(str(SEED))))
+    money = F.round("biaya_perbaikan").cast("long").cast("string")  # as the prompt writes it
+    numbered = global_positions(q.withColumns({"_h": h, "money": money}), ["_h", *CASE_KEYS], pos_col="batch_id")
+    return numbered.select("batch_id", *CASE_FIELDS.values())
+
+
+def case_conformance(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """K5: every response row against the case of its batch, field by field (missing equals missing, blanks
+    around a value do not count): ``matched`` (fields that agree), ``conforms`` and ``reason``, the names of
+    the fields that differ, ``no case`` for a batch that nothing was asked for, null if all agree."""
+    asked = cases.select(F.col("batch_id").alias("_b"), *[F.col(c).alias(f"_{c}") for c in CASE_FIELDS.values()])
+    j = rows.join(asked, rows["batch_id"] == asked["_b"], "left")
+    same = {f: F.when(tx.strip_ws(f) == "", None).otherwise(tx.strip_ws(f)).eqNullSafe(F.col(f"_{c}")) for f, c in CASE_FIELDS.items()}
+    matched = sum((F.when(s, 1).otherwise(0) for s in same.values()), F.lit(0))
+    differs = F.concat_ws(",", *[F.when(~s, F.lit(f)) for f, s in same.items()])
+    known = F.col("_b").isNotNull()
+    return j.select("batch_id", "line_no", *CASE_FIELDS,
+                    F.when(known, matched).otherwise(0).cast("long").alias("matched"),
+                    (known & (matched == len(CASE_FIELDS))).alias("conforms"),
+                    F.when(~known, F.lit("no case")).when(matched < len(CASE_FIELDS), differs).alias("reason"))
+
+
+def response_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_conformance(response_lines(fx.responses(spark, sf_dir)), requested_cases(spark, sf_dir))
+
+
 #: Ten slots: category, type, brand, place (3), severity, cause, damage, cost.
 PROMPT_TEMPLATE = ("Tugas: tulis tiga tiket perbaikan sebagai baris berpemisah pipa.\n"
                    "kategori=%s\ntipe=%s\nmerek=%s\ngedung=%s\nlantai=%s\nzona=%s\nseverity=%s\n"

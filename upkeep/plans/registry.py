@@ -50,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_queue": corpus.coverage_queue,
     "queue_remaining": corpus.queue_remaining,
     "response_rows": corpus.response_rows,
+    "response_conformance": corpus.response_conformance,
     "prompt_text": corpus.prompt_text,
     "delimiter_sniff": corpus.delimiter_sniff,
     "ticket_read_bad_lines": corpus.ticket_read_bad_lines,
