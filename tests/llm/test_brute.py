@@ -476,6 +476,49 @@ def test_toxicity_held_out(spark):
     assert got[2000].predicted == 0
 
 
+def test_lexicon_counts_all_rows(spark):
+    """The lexicon equals one chosen from counts of all labelled rows, whatever the sample's size and
+    whether rare beginnings are sent or joined; copies count once."""
+    from pyspark.sql import functions as F
+
+    from upkeep.llm import toxicity as T
+    from upkeep.session import Scratch
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(3, 7))) for _ in range(800)]
+    rows, labels = [], []
+    for i in range(900):
+        words = [rnd.choice(vocab) for _ in range(30)]
+        bad = i % 6 == 0
+        for _ in range(3 * bad):
+            words[rnd.randrange(30)] = rnd.choice(["zorgu", "qexuna", "vlimpo"]) + rnd.choice(["", "na", "ti"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    rows += [(1000 + i, "pasted insult onlyhere again and again") for i in range(60)] + [(2000, None), (None, "x")]
+    labels += [(1000 + i, 1) for i in range(60)] + [(2000, 0), (3, None), (None, 1)]
+    train = {i: t or "" for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5}
+    label = {i: y for i, y in labels if i in train and y is not None}
+    first = {}
+    for i in sorted(label):
+        first.setdefault(train[i], i)
+    counts, size = {}, [0, 0]
+    for i in first.values():
+        size[label[i]] += 1
+        for t, n in T.terms_of(train[i]).items():
+            a, b, w = counts.get(t, (0, 0, 0))
+            counts[t] = a + label[i], b + 1 - label[i], w + min(n, 3) * label[i]
+    want = T.choose_terms(counts, size[1], size[0])
+    assert any(t.startswith("zorg") for t in want) and not any(t.startswith("only") for t in want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("text", F.coalesce("text", F.lit("")))
+    with Scratch(spark) as scratch:
+        once = T.labelled_once(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), scratch)
+        assert {tuple(r) for r in once.collect()} == {(i, label[i]) for i in first.values()}
+        for train_rows, sent in ((10_000, 10_000), (50, 10_000), (50, 0), (0, 10_000)):
+            sample = T.labelled_sample(docs, once, scratch, train_rows)
+            assert T.mine_terms(docs, once, sample, scratch, sent) == want
+        none = T.labelled_once(docs, spark.createDataFrame([], "doc_id long, toxic int"), scratch)
+        assert T.mine_terms(docs, none, T.labelled_sample(docs, none, scratch), scratch) == []
+
+
 def test_label_model():
     """Accuracies are recovered, and a copy of a voter does not count twice."""
     from upkeep.llm.toxicity import fit_label_model

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Lexicons: word beginnings that are far more frequent in toxic than in other documents of a
-   bounded sample of labelled training rows (near copies counted once).
+1. Lexicons: word beginnings that are far more frequent in toxic than in other documents, counted
+   over all labelled training rows (near copies once).
 2. Voters: the lexicon dealt over several voters, a seed lexicon, how many terms occur, and patterns
    (shouting, exclamation marks, masked or stretched words).  A voter says toxic, says clean, or abstains.
 3. A generative label model over the vote patterns of all documents: expectation maximisation
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from upkeep.llm.common import documents, ship_package, text_slices, utf8, window_hashes, word_hashes
 from upkeep.session import Scratch
 
-#: Labelled rows used for lexicon and classifier, at most about; terms kept at most.
-TRAIN_ROWS, TERMS = 20_000, 2_000
-#: A term occurs in so many toxic sample documents at least; those and its words in them (three of
+#: Labelled rows that the classifier is fitted to, at most about; terms of the lexicon at most, the
+#: most frequent in toxic documents first; terms sent to the tasks at most (beyond, they are joined).
+TRAIN_ROWS, TERMS, SENT_TERMS = 20_000, 20_000, 1 << 18
+#: A term occurs in so many toxic documents at least; those and its words in them (three of
 #: a document at most) add up to so much at least; and it is so many times oftener there.
 SUPPORT, EVIDENCE, LIFT = 3, 10, 20.0
 SHORTEST, LONGEST = 4, 10
@@ -282,17 +283,13 @@ def predict(rows, weights: np.ndarray, n_terms: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- on Spark
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch,
-                    train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic, signature) of about ``train_rows`` labelled training rows at most,
-    chosen by a hash of the id; of rows with equal signature (a min-hash) the smallest id stays."""
+def labelled_once(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, toxic) of every labelled training row; of near copies, rows whose smallest and greatest
+    hashes of three words are equal, the one with the smallest id stays.  No text is shuffled."""
     ship_package(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, train_rows / max(1, usable.count()))
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # train_rows rows, about
 
     def run(batches):
         for batch in batches:
@@ -300,17 +297,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch,
                 sign = []
                 for t in utf8(part, "text"):
                     h = window_hashes(word_hashes(t)[0], 3)
-                    sign.append(int(h.min().view(np.int64)) if len(h) else len(t))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sign, pa.int64())],
-                                                 ["doc_id", "text", "toxic", "signature"])
+                    sign.append(int((h.min() ^ ~h.max()).view(np.int64)) if len(h) else len(t))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sign, pa.int64())],
+                                                 ["doc_id", "signature"])
 
-    signed = scratch.write(rows.mapInArrow(run, "doc_id long, text string, toxic int, signature long"))
-    first = signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id"))
-    return scratch.write(signed.join(F.broadcast(first), ["signature", "doc_id"]))
+    signed = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).mapInArrow(
+        run, "doc_id long, signature long")
+    first = signed.join(usable, "doc_id").groupBy("signature").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("toxic", "doc_id").alias("toxic"))
+    return scratch.write(first.select("doc_id", "toxic"))
 
 
-def mine_terms(sample: DataFrame) -> list[str]:
-    """The lexicon: document counts of word beginnings by label, summed per task before the shuffle."""
+def labelled_sample(docs: DataFrame, once: DataFrame, scratch: Scratch, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of about ``train_rows`` of the labelled rows at most, by a hash of the id."""
+    share = min(1.0, train_rows / max(1, once.count()))
+    picked = once.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return scratch.write(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))  # train_rows rows, about
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, a, b, words) of rows of text and label: toxic and clean documents that hold the term and
+    its words in the toxic ones (three of a document at most), summed per task before the shuffle."""
     def run(batches):
         counts: dict[str, list[int]] = {}
         for batch in batches:
@@ -320,9 +327,9 @@ def mine_terms(sample: DataFrame) -> list[str]:
                         c = counts.setdefault(term, [0, 0, 0])
                         c[1 - y] += 1
                         c[2] += min(words, 3) * y
-            if len(counts) > 500_000:
-                yield flush(counts)
-                counts = {}
+                    if len(counts) > 500_000:
+                        yield flush(counts)
+                        counts = {}
         yield flush(counts)
 
     def flush(counts):
@@ -331,16 +338,74 @@ def mine_terms(sample: DataFrame) -> list[str]:
              *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3))],
             ["term", "a", "b", "words"])
 
-    ship_package(sample.sparkSession)
-    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sums = (sample.select("text", "toxic").mapInArrow(run, "term string, a long, b long, words long")
-            .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words"))
-            .filter(F.col("a") >= SUPPORT))
-    # terms far from the lift cannot be chosen nor lengthen a chosen one
-    ratio = max(1, size.get(0, 0)) / max(1, size.get(1, 0))
-    close = sums.filter(F.col("a") * ratio >= (F.col("b") + 0.5) * LIFT / 2)
-    counts = {r["term"]: (r["a"], r["b"], r["words"]) for r in close.collect()}
-    return choose_terms(counts, size.get(1, 0), size.get(0, 0))
+    ship_package(rows.sparkSession)
+    return (rows.select("text", "toxic").mapInArrow(run, "term string, a long, b long, words long")
+            .groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "words"))))
+
+
+def documents_with(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, terms): the numbers of those of ``terms`` that begin a word, for documents with any."""
+    ship_package(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        number = {t: i for i, t in enumerate(sent.value)}
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                ids, found = [], []
+                for i, t in zip(part.column("doc_id").to_pylist(), utf8(part, "text")):
+                    got: set[int] = set()
+                    for w in set(_WORD.findall(t.decode().lower())):
+                        begins = known.get(w)
+                        if begins is None:
+                            begins = known[w] = tuple(number[w[:n]] for n in range(SHORTEST, min(len(w), LONGEST) + 1)
+                                                      if w[:n] in number)
+                        got.update(begins)
+                    if got:
+                        ids.append(i)
+                        found.append(list(got))
+                    if len(known) > 200_000:
+                        known.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
+                                                 ["doc_id", "terms"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>")
+
+
+def mine_terms(docs: DataFrame, once: DataFrame, sample: DataFrame, scratch: Scratch,
+               sent_terms: int = SENT_TERMS) -> list[str]:
+    """The lexicon, from counts over all labelled rows ``once``.
+
+    Beginnings of words are counted in all toxic documents.  Clean documents of the sample already
+    rule out the common ones: further documents only lower a term's lift.  What is left is rare, so
+    all other clean documents are read for it alone; where it is more than ``sent_terms``, their
+    beginnings are all counted and joined."""
+    size = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
+    if not n_toxic:
+        return []
+    ratio = max(1, n_clean) / n_toxic
+
+    def close(b):  # terms further from the lift cannot be chosen nor lengthen a chosen one
+        return F.col("a") * ratio >= (b + 0.5) * LIFT / 2
+
+    text = docs.select("doc_id", "text")
+    toxic = term_counts(text.join(once.filter("toxic = 1"), "doc_id")).filter(F.col("a") >= SUPPORT)
+    seen = term_counts(sample.filter("toxic = 0")).select("term", "b")
+    rare = scratch.write(toxic.drop("b").join(seen, "term", "left").filter(close(F.coalesce("b", F.lit(0)))).drop("b"))
+    clean = once.filter("toxic = 0")
+    if rare.count() <= sent_terms:
+        rows = sorted(tuple(r) for r in rare.collect())
+        held = documents_with(docs.filter(~held_out(F.col("doc_id"))), [r[0] for r in rows]).join(clean, "doc_id")
+        b = {r["term"]: r["n"] for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        counts = {t: (a, b.get(i, 0), words) for i, (t, a, words) in enumerate(rows)}
+    else:
+        every = term_counts(text.join(clean, "doc_id")).select("term", "b")
+        left = rare.join(every, "term", "left").withColumn("b", F.coalesce("b", F.lit(0))).filter(close(F.col("b")))
+        counts = {r["term"]: (r["a"], r["b"], r["words"]) for r in left.collect()}
+    return choose_terms({t: c for t, c in counts.items() if c[0] * ratio >= (c[1] + 0.5) * LIFT / 2}, n_toxic, n_clean)
 
 
 FEATURES_SCHEMA = "doc_id long, votes string, terms array<int>, counts array<int>, measures array<double>"
@@ -382,8 +447,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = labelled_sample(docs, labels, scratch, train_rows)
-    terms = mine_terms(sample)
+    once = labelled_once(docs, labels, scratch)
+    sample = labelled_sample(docs, once, scratch, train_rows)
+    terms = mine_terms(docs, once, sample, scratch)
     rows = scratch.write(read_features(docs, terms))
     # every document votes; patterns are few (two or three answers of a dozen voters)
     patterns = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
