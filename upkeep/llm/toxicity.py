@@ -327,7 +327,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                         c = counts.setdefault(term, [0, 0, 0])
                         c[1 - y] += 1
                         c[2] += min(words, 3) * y
-                    if len(counts) > 500_000:
+                    if len(counts) > 100_000:
                         yield flush(counts)
                         counts = {}
         yield flush(counts)
@@ -365,7 +365,7 @@ def documents_with(docs: DataFrame, terms: list[str]) -> DataFrame:
                     if got:
                         ids.append(i)
                         found.append(list(got))
-                    if len(known) > 200_000:
+                    if len(known) > 50_000:
                         known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
                                                  ["doc_id", "terms"])
@@ -391,9 +391,9 @@ def mine_terms(docs: DataFrame, once: DataFrame, sample: DataFrame, scratch: Scr
         return F.col("a") * ratio >= (b + 0.5) * LIFT / 2
 
     text = docs.select("doc_id", "text")
-    toxic = term_counts(text.join(once.filter("toxic = 1"), "doc_id")).filter(F.col("a") >= SUPPORT)
-    seen = term_counts(sample.filter("toxic = 0")).select("term", "b")
-    rare = scratch.write(toxic.drop("b").join(seen, "term", "left").filter(close(F.coalesce("b", F.lit(0)))).drop("b"))
+    rows = text.join(once.filter("toxic = 1"), "doc_id").select("text", "toxic").unionAll(
+        sample.filter("toxic = 0").select("text", "toxic"))
+    rare = scratch.write(term_counts(rows).filter((F.col("a") >= SUPPORT) & close(F.col("b"))).drop("b"))
     clean = once.filter("toxic = 0")
     if rare.count() <= sent_terms:
         rows = sorted(tuple(r) for r in rare.collect())
