@@ -519,6 +519,18 @@ def test_lexicon_counts_all_rows(spark):
         assert T.mine_terms(docs, none, T.labelled_sample(docs, none, scratch), scratch) == []
 
 
+def test_filter_loses_no_row(spark, monkeypatch):
+    from upkeep.llm import toxicity as T
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
+    ids = spark.range(0, 20_000, 7).selectExpr("id as doc_id")
+    got = T.maybe_in(docs, ids)
+    assert got.join(ids, "doc_id").count() == ids.count() and got.count() < 2900
+    monkeypatch.setattr(T, "FILTER_BITS", 1 << 15)
+    got = T.maybe_in(docs, ids)
+    assert got.join(ids, "doc_id").count() == ids.count() < got.count()
+    assert T.maybe_in(docs, ids.limit(0)).count() == 0
+
+
 def test_label_model():
     """Accuracies are recovered, and a copy of a voter does not count twice."""
     from upkeep.llm.toxicity import fit_label_model

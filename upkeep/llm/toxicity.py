@@ -31,6 +31,8 @@ from upkeep.session import Scratch
 #: Labelled rows that the classifier is fitted to, at most about; terms of the lexicon at most, the
 #: most frequent in toxic documents first; terms sent to the tasks at most (beyond, they are joined).
 TRAIN_ROWS, TERMS, SENT_TERMS = 20_000, 20_000, 1 << 18
+#: Bits of the filter over the ids of toxic rows (1 MB): up to a million ids few others pass.
+FILTER_BITS = 1 << 23
 #: A term occurs in so many toxic documents at least; those and its words in them (three of
 #: a document at most) add up to so much at least; and it is so many times oftener there.
 SUPPORT, EVIDENCE, LIFT = 3, 10, 20.0
@@ -315,6 +317,17 @@ def labelled_sample(docs: DataFrame, once: DataFrame, scratch: Scratch, train_ro
     return scratch.write(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))  # train_rows rows, about
 
 
+def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``ids``: their hashes meet in a bitmap of FILTER_BITS bits, whose
+    parts of 4 KB go to all tasks, so that a join on the id need not shuffle the other rows' texts."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    part, bit = F.shiftright(slot, 15), slot.bitwiseAND(F.lit((1 << 15) - 1))
+    bits = ids.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = docs.withColumns({"_part": part, "_bit": bit}).join(F.broadcast(bits), "_part")
+    return near.filter((byte / F.pow(F.lit(2), F.col("_bit") % 8)).cast("int") % 2 == 1).select(*docs.columns)
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, a, b, words) of rows of text and label: toxic and clean documents that hold the term and
     its words in the toxic ones (three of a document at most), summed per task before the shuffle."""
@@ -391,7 +404,8 @@ def mine_terms(docs: DataFrame, once: DataFrame, sample: DataFrame, scratch: Scr
         return F.col("a") * ratio >= (b + 0.5) * LIFT / 2
 
     text = docs.select("doc_id", "text")
-    rows = text.join(once.filter("toxic = 1"), "doc_id").select("text", "toxic").unionAll(
+    bad = once.filter("toxic = 1")
+    rows = maybe_in(text, bad).join(bad, "doc_id").select("text", "toxic").unionAll(
         sample.filter("toxic = 0").select("text", "toxic"))
     rare = scratch.write(term_counts(rows).filter((F.col("a") >= SUPPORT) & close(F.col("b"))).drop("b"))
     clean = once.filter("toxic = 0")
