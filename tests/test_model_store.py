@@ -115,7 +115,7 @@ def test_store_fits_once_per_rows_and_parameters(spark, moons, tmpdir_path):
         store.load(f"{tmpdir_path}/none")
 
 
-@pytest.mark.parametrize("kind", ["interval", "boosted", "lifespan", "ticket", "vector"])
+@pytest.mark.parametrize("kind", ["interval", "boosted", "lifespan", "ticket", "vector", "text"])
 def test_loaded_models_predict_like_fitted_ones(spark, monkeypatch, kind, tmpdir_path):
     from upkeep.operators import boosting as B
     from upkeep.operators.model_store import ModelStore
@@ -137,8 +137,14 @@ def test_loaded_models_predict_like_fitted_ones(spark, monkeypatch, kind, tmpdir
         model, test = M._boosted_fit(spark, SF_SMALL, B.Settings(rounds=5, depth=3))
         return model.predict(test).select("id", "predicted")
 
+    def text():
+        texts = tickets.with_targets(tickets.ticket_concat(spark, SF_SMALL))
+        rows = M.fit_text_vectors(texts, 8, 2).transform(texts).select("ticket_id", "features", *tickets.TARGETS)
+        return M._predict_targets(M._target_forests(spark, rows, 5, 4), rows)
+
     run = {"interval": lambda: M.interval_model(spark, SF_SMALL), "boosted": boosted, "ticket": tickets_scored,
            "lifespan": lambda: M._lifespan_fit(spark, SF_SMALL, 10, 4)[2].select("id", F.round("predicted", 9)),
+           "text": text,
            "vector": lambda: M.vector_model(spark, SF_SMALL, 10, 4)}[kind]
     monkeypatch.setattr(ModelStore, "get_or_fit", get_or_fit)
     first = run().collect()
@@ -169,3 +175,40 @@ def test_empty_training_tables_are_named(spark):
               "schedule": fx.schedule(spark, SF_SMALL)}
     with pytest.raises(ValueError, match="labelled assets"):
         M.interval_model(spark, tables)
+
+
+def test_text_vectors_are_means_of_word_vectors(spark):
+    from upkeep.plans import models as M, tickets
+    rows = [(1, "pump leak pump"), (2, "leak valve"), (3, "pump valve leak leak"), (4, "unseen"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "ticket_id long, input_teks string")
+    model = M.fit_text_vectors(df, size=4, min_count=2, rows_per_part=4)
+    words = {r.word: r.vector.toArray() for r in model.stages[-1].getVectors().collect()}
+    assert set(words) == {"pump", "leak", "valve"}
+    got = {r.ticket_id: r.features.toArray() for r in model.transform(df).collect()}
+    assert np.allclose(got[1], (2 * words["pump"] + words["leak"]) / 3, atol=1e-6)
+    assert np.allclose(got[2], (words["leak"] + words["valve"]) / 2, atol=1e-6)
+    assert len(got) == 6 and not got[4].any() and not got[5].any()
+
+
+def test_text_vector_model_and_grid(spark):
+    from upkeep.plans import models as M, tickets
+    train, test = M.text_vector_split(spark, SF_SMALL, 100)
+    assert train.join(test, "ticket_id").count() == 0
+    pred = M.text_vector_model(spark, SF_SMALL, 10, 4).collect()
+    assert len(pred) == test.count() == pred[0].n_test
+    right = [all(r[t] == r[f"pred_{t}"] for t in tickets.TARGETS) for r in pred]
+    assert abs(pred[0].exact_match - sum(right) / len(right)) < 1e-6
+    grid = M.text_vector_grid(spark, SF_SMALL, (3, 6), (2, 4), folds=2).collect()
+    assert [(r.num_trees, r.max_depth) for r in grid] == [(3, 2), (3, 4), (6, 2), (6, 4)]
+    best = [r for r in grid if r.best]
+    assert len(best) == 1 and best[0].mean_exact_match == max(r.mean_exact_match for r in grid)
+    assert [r.test_exact_match is not None for r in grid] == [r.best for r in grid]
+
+
+def test_ticket_grid_refits_the_best(spark):
+    from upkeep.plans import models as M
+    grid = M.ticket_grid(spark, SF_SMALL, folds=2, vocab_sizes=(50,), tree_counts=(2, 4), depths=(3,)).collect()
+    assert [(r.max_features, r.num_trees, r.max_depth) for r in grid] == [(50, 2, 3), (50, 4, 3)]
+    best = [r for r in grid if r.best]
+    assert len(best) == 1 and best[0].mean_exact_match == max(r.mean_exact_match for r in grid)
+    assert 0 <= best[0].test_exact_match <= 1 and [r.test_exact_match is None for r in grid] == [not r.best for r in grid]

@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, IndexToString,
                                 NGram, Normalizer, RegexTokenizer, SQLTransformer,
-                                StringIndexer, VectorAssembler)
+                                StringIndexer, VectorAssembler, Word2Vec)
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -412,19 +412,21 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
                 parallelism: int = 8) -> DataFrame:
     """M4: grid search with keyed folds (fold = hash of the source ticket, so augmented
     twins never straddle folds); the score is the joint exact match over four targets,
-    which is why the loop is explicit (CrossValidator scores one target).  Depth 30 is
+    which is why the loop is explicit (CrossValidator scores one target).  Forests are fitted to
+    augmented tickets and scored on original ones.  The best setting (then the smallest) is fitted again
+    to the whole training part; its row has the exact match over the test tickets.  Depth 30 is
     Spark's maximum and stands for 'unlimited'."""
     s = tk.with_targets(tk.with_input(tk.ticket_rows(spark, sf_dir)))
     s = s.withColumn("is_train", keyed.uniform("ticket_id", seed=SEED) < F.lit(0.8)) \
-         .filter("is_train") \
          .withColumn("fold", F.floor(keyed.uniform("ticket_id", F.lit("fold"), seed=SEED)
                                      * folds).cast("int"))
-    s = materialize(s)
+    s = materialize(s, require="tickets of the grid")
+    s, test = s.filter("is_train"), s.filter("not is_train")
     # feature sets per (fold, vocabulary size), then every forest of the grid in one
     # bounded pool (no group waits for its slowest forest)
     sets = {}
     for f in range(folds):
-        tr, va = s.filter(F.col("fold") != f), s.filter(F.col("fold") == f)
+        tr, va = materialize(augment_tickets(s.filter(F.col("fold") != f))), s.filter(F.col("fold") == f)
         for v in vocab_sizes:
             vec = fit_tfidf(tr, v)
             sets[(f, v)] = tuple(compact(materialize(vec.transform(x).select("features", *tk.TARGETS))).cache()
@@ -456,10 +458,15 @@ def ticket_grid(spark: SparkSession, sf_dir: str, folds: int = 3,
     for pair in sets.values():
         for x in pair:
             x.unpersist()
-    res = spark.createDataFrame(results, "max_features int, num_trees int, max_depth int, "
-                                         "fold int, exact_match double")
-    return res.groupBy("max_features", "num_trees", "max_depth").agg(
-        F.avg("exact_match").alias("mean_exact_match"))
+    mean: dict[tuple, float] = {}
+    for *setting, _, score in results:
+        mean[tuple(setting)] = mean.get(tuple(setting), 0.0) + score / folds
+    best = min(mean, key=lambda k: (-mean[k], *k))
+    vec, refit = train_ticket_models(materialize(augment_tickets(s)), *best)
+    final = exact_match_report(predict_tickets(vec, refit, test), [(t, f"pred_{t}") for t in tk.TARGETS]).first()
+    rows = [(*k, x, k == best, float(final["exact_match"] or 0.0) if k == best else None) for k, x in sorted(mean.items())]
+    return spark.createDataFrame(rows, "max_features int, num_trees int, max_depth int, mean_exact_match double, "
+                                       "best boolean, test_exact_match double")
 
 
 # ---- F10: stored sentence vectors --------------------------------------------------------
@@ -484,3 +491,88 @@ def vector_model(spark: SparkSession, sf_dir: str, num_trees: int = 200,
     pred = found.models["forest"].transform(vectors(d.filter(~F.col("is_train"))))
     return pred.select("vec_id", F.col("label").cast("int").alias("label"),
                        F.col("prediction").cast("int").alias("predicted"))
+
+
+def fit_text_vectors(train: DataFrame, size: int = 100, min_count: int = 5, rows_per_part: int = 100_000) -> PipelineModel:
+    """F10 from text: word embeddings trained on the cleaned training texts; a text's vector is the mean of its
+    words' (zeros where it has none that occur ``min_count`` times).  Word vectors are averaged over the
+    partitions after each pass, so their number follows the rows: one per ``rows_per_part``.  The model
+    holds one vector per word of the vocabulary; raise ``min_count`` to bound it."""
+    parts = max(1, -(-train.count() // rows_per_part))
+    return Pipeline(stages=[
+        TicketCleaner(inputCol="input_teks", outputCol="clean_teks"),
+        RegexTokenizer(inputCol="clean_teks", outputCol="words", pattern=r"\S+", gaps=False, toLowercase=False),
+        Word2Vec(inputCol="words", outputCol="features", vectorSize=size, minCount=min_count, seed=SEED,
+                 numPartitions=parts)]).fit(train)
+
+
+def text_vector_split(spark: SparkSession, source, size: int = 100):
+    """(vectors of the training tickets, of the test tickets) as written tables with id and targets, from the
+    stored embeddings of the source's training tickets."""
+    s = tk.with_targets(tk.with_input(tk.ticket_rows(spark, source)))
+    s = s.withColumn("is_train", keyed.uniform("ticket_id", seed=SEED) < F.lit(0.8))
+    s = materialize(s.select("ticket_id", "input_teks", *tk.TARGETS, "is_train"), require="tickets of the text vectors")
+    train = s.filter("is_train").select("ticket_id", "input_teks", *tk.TARGETS)
+    found = ModelStore(spark).get_or_fit("text-vectors", {"size": size, "seed": SEED}, train,
+                                         lambda: Bundle({"vectors": fit_text_vectors(train, size)}))
+    rows = materialize(found.models["vectors"].transform(s).select("ticket_id", "features", *tk.TARGETS, "is_train"))
+    return rows.filter("is_train").drop("is_train"), rows.filter("not is_train").drop("is_train")
+
+
+def _target_forests(spark: SparkSession, train: DataFrame, num_trees: int, max_depth: int) -> dict:
+    """The stored (index, forest) of every target on one vector column."""
+    def fit():
+        rows = compact(train).cache()
+        with ThreadPoolExecutor(max_workers=len(tk.TARGETS)) as pool:
+            got = list(pool.map(lambda t: _fit_target(rows, t, num_trees, max_depth, GRID_TREE_OPTS), tk.TARGETS))
+        rows.unpersist()
+        return Bundle({t: PipelineModel(stages=list(pair)) for t, pair in zip(tk.TARGETS, got)})
+
+    params = {"num_trees": num_trees, "max_depth": max_depth, "seed": SEED}
+    found = ModelStore(spark).get_or_fit("text-vector-forests", params, train, fit)
+    return {t: found.models[t].stages for t in tk.TARGETS}
+
+
+def _predict_targets(fitted: dict, rows: DataFrame) -> DataFrame:
+    for t, (idx, forest) in fitted.items():
+        rows = IndexToString(inputCol=f"p_{t}", outputCol=f"pred_{t}",
+                             labels=idx.labels + ["__unseen__"]).transform(forest.transform(rows))
+    return rows.select("ticket_id", *tk.TARGETS, *[f"pred_{t}" for t in tk.TARGETS])
+
+
+def text_vector_model(spark: SparkSession, source, num_trees: int = 200, max_depth: int = 10) -> DataFrame:
+    """F10 + E6/E7: four forests on text vectors; a row per test ticket with its four predictions, beside them
+    the exact match and each target's accuracy over all test tickets."""
+    train, test = text_vector_split(spark, source)
+    pred = materialize(_predict_targets(_target_forests(spark, train, num_trees, max_depth), test))
+    report = exact_match_report(pred, [(t, f"pred_{t}") for t in tk.TARGETS])  # one row
+    return pred.join(F.broadcast(report.withColumnRenamed("n", "n_test")))
+
+
+def text_vector_grid(spark: SparkSession, source, tree_counts=(100, 200), depths=(30, 10), folds: int = 3) -> DataFrame:
+    """M4 over text vectors: exact match of every (trees, depth) over keyed folds of the training tickets; the
+    best setting (then the smaller) is fitted again to all of them and scored on the test tickets.  The
+    vectors are written once and shared by all settings; depth 30 stands for unlimited."""
+    train, test = text_vector_split(spark, source)
+    fold = F.floor(keyed.uniform("ticket_id", F.lit("fold"), seed=SEED) * folds).cast("int")
+    parts = [(compact(train.filter(fold != f)).cache(), train.filter(fold == f)) for f in range(folds)]
+    pairs = [(t, f"pred_{t}") for t in tk.TARGETS]
+
+    def score(job):
+        n, d, f = job
+        fitted = {t: _fit_target(parts[f][0], t, n, d, GRID_TREE_OPTS) for t in tk.TARGETS}
+        row = exact_match_report(_predict_targets(fitted, parts[f][1]), pairs).first()
+        return n, d, f, float(row["exact_match"] or 0.0)
+
+    jobs = [(n, d, f) for n in tree_counts for d in depths for f in range(folds)]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        scores = list(pool.map(score, jobs))
+    for rows, _ in parts:
+        rows.unpersist()
+    mean = {(n, d): sum(x for a, b, _, x in scores if (a, b) == (n, d)) / folds for n in tree_counts for d in depths}
+    best = min(mean, key=lambda k: (-mean[k], *k))
+    final = exact_match_report(_predict_targets(_target_forests(spark, train, *best), test), pairs).first()
+    rows = [(n, d, x, (n, d) == best, float(final["exact_match"] or 0.0) if (n, d) == best else None)
+            for (n, d), x in sorted(mean.items())]
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, mean_exact_match double, best boolean, "
+                                       "test_exact_match double")

@@ -74,4 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ticket_model": models.ticket_model,
     "ticket_grid": models.ticket_grid,
     "vector_model": models.vector_model,
+    "text_vector_model": models.text_vector_model,
+    "text_vector_grid": models.text_vector_grid,
 }
