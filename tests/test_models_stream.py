@@ -1,10 +1,9 @@
 """Models (statistical checks, persistence) and the streaming append job."""
 
 import os
-
-import pytest
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_MID, SF_SMALL
@@ -97,14 +96,43 @@ def test_complaint_level_model(spark):
     """M2 at complaint level, few trees: metrics over the test part of the time split, and scores that
     beat the training mean."""
     from upkeep.plans import lifespan, models
-    model, feats, days = models.rul_fit(spark, SF_SMALL, num_trees=10, max_depth=6)
+    parts, feats, days = models.rul_fit(spark, SF_SMALL, num_trees=10, max_depth=6, group=4)
     s = lifespan.complaint_split(spark, SF_SMALL)
     assert days.count() == s.filter("not is_train").count() and len(feats) == 13
     mean = s.filter("is_train").agg(F.avg("target")).first()[0]
     mae, flat = days.agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))),
                          F.avg(F.abs(F.col("actual") - F.lit(mean)))).first()
     assert mae < flat
-    assert model.featureImportances.size == 13
+    assert [n for n, _ in parts] == [4, 4, 2] and abs(models.joined_importance(parts).sum() - 1) < 1e-9
+
+
+def test_forest_in_groups_goes_on_after_a_failure(spark, monkeypatch):
+    """Parts that were stored are not fitted again, and the joined prediction is the mean over all trees."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from upkeep.plans import models
+    rnd = np.random.default_rng(5)
+    data = [(float(3 * a + b), Vectors.dense([a, b])) for a, b in rnd.normal(size=(300, 2)).tolist()]
+    rows = spark.createDataFrame(data, ["label", "features"])
+    real, fits = models.RandomForestRegressor.fit, []
+
+    def fit(self, df):
+        if len(fits) == 2:
+            raise RuntimeError("lost")
+        fits.append(self.getNumTrees())
+        return real(self, df)
+
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", fit)
+    with pytest.raises(RuntimeError, match="lost"):
+        models.fit_in_groups(rows, 10, 3, group=4, parallelism=1)
+    assert fits == [4, 4]
+    fits[:] = [0]
+    parts = models.fit_in_groups(rows, 10, 3, group=4, parallelism=1)
+    assert fits == [0, 2] and [n for n, _ in parts] == [4, 4, 2]
+    trees = [t for _, m in parts for t in m.trees]
+    got = models.joined_prediction(parts, rows).limit(20).collect()
+    assert all(abs(r.prediction - np.mean([t.predict(r.features) for t in trees])) < 1e-9 for r in got)
+    assert set(got[0].asDict()) == {"label", "features", "prediction"}
 
 
 def test_augmented_tickets_keep_their_source(spark):

@@ -258,10 +258,45 @@ def lifespan_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.asset_report_text(spark, sf_dir, predictions=days.drop("actual"))
 
 
-def rul_fit(spark: SparkSession, sf_dir: str, num_trees: int = 500, max_depth: int = 20):
+def fit_in_groups(rows: DataFrame, num_trees: int, max_depth: int, group: int = 50, parallelism: int = 4) -> list:
+    """A regression forest on ``label`` and ``features`` as (trees, part) of ``group`` trees each.  Every part
+    has its own seed and is stored as soon as it is fitted, so a training that breaks off goes on
+    with the parts that are missing."""
+    store = ModelStore(rows.sparkSession)
+
+    def part(first):
+        n = min(group, num_trees - first)
+
+        def fit():
+            rf = RandomForestRegressor(numTrees=n, maxDepth=max_depth, seed=SEED + first, predictionCol=f"p_{first}",
+                                       **GRID_TREE_OPTS)
+            return Bundle({"forest": PipelineModel(stages=[rf.fit(rows)])})
+
+        params = {"first": first, "trees": n, "max_depth": max_depth, "seed": SEED}
+        return n, store.get_or_fit("remaining-life-forest", params, rows, fit).models["forest"].stages[0]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(part, range(0, num_trees, group)))
+
+
+def joined_prediction(parts: list, df: DataFrame) -> DataFrame:
+    """``prediction`` of the parts as one forest: the mean over all trees."""
+    for _, m in parts:
+        df = m.transform(df)
+    total = sum(n for n, _ in parts)
+    mean = sum((F.col(m.getPredictionCol()) * F.lit(n / total) for n, m in parts), F.lit(0.0))
+    return df.withColumn("prediction", mean).drop(*[m.getPredictionCol() for _, m in parts])
+
+
+def joined_importance(parts: list) -> list[float]:
+    total = sum(n for n, _ in parts)
+    return sum(m.featureImportances.toArray() * n for n, m in parts) / total
+
+
+def rul_fit(spark: SparkSession, sf_dir: str, num_trees: int = 500, max_depth: int = 20, group: int = 50):
     """M2 at complaint level: forest on log1p of the real remaining life, fitted to the oversampled
     training part of the time split; features are the complaint history, log cost and target
-    encodings.  Returns (model, feature names, scored test rows in days)."""
+    encodings.  Returns (parts of the forest, feature names, scored test rows in days)."""
     s = materialize(ls.complaint_split(spark, sf_dir), require="complaints of the remaining-life model")
     train = s.filter("is_train")
     enc = fit_target_encoding(train, ls.CAT_COLS, "target")
@@ -273,20 +308,19 @@ def rul_fit(spark: SparkSession, sf_dir: str, num_trees: int = 500, max_depth: i
         return va.transform(coded.withColumn("label", F.log1p("target"))).select(
             "id", "row_seq", "label", "features")
 
-    rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=SEED, **TREE_OPTS)
     fitted = compact(materialize(vectors(ls.oversample(train)))).cache()
-    model = rf.fit(fitted)
+    parts = fit_in_groups(fitted, num_trees, max_depth, group)
     fitted.unpersist()
-    pred = model.transform(vectors(s.filter(~F.col("is_train"))))
+    pred = joined_prediction(parts, vectors(s.filter(~F.col("is_train"))))
     days = pred.select("id", "row_seq", F.expm1("label").alias("actual"), F.expm1("prediction").alias("predicted"))
-    return model, feats, materialize(days)
+    return parts, feats, materialize(days)
 
 
-def rul_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rul_model(spark: SparkSession, sf_dir: str, num_trees: int = 500, max_depth: int = 20) -> DataFrame:
     """M2 + E1-E5 + M7: the metrics in days on the test part, and the five strongest features."""
-    model, feats, days = rul_fit(spark, sf_dir)
+    parts, feats, days = rul_fit(spark, sf_dir, num_trees, max_depth)
     keyed_days = days.withColumn("key", F.concat_ws("|", "id", "row_seq"))
-    top = sorted(zip(feats, model.featureImportances.toArray().tolist()), key=lambda r: (-r[1], r[0]))[:5]
+    top = sorted(zip(feats, joined_importance(parts).tolist()), key=lambda r: (-r[1], r[0]))[:5]
     return regression_report(keyed_days, "actual", "predicted", key="key").withColumn(
         "top_features", F.lit(",".join(n for n, _ in top)))
 
