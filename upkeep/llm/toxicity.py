@@ -286,8 +286,8 @@ def predict(rows, weights: np.ndarray, n_terms: int) -> np.ndarray:
 # ---------------------------------------------------------------- on Spark
 
 def labelled_once(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, toxic) of every labelled training row; of near copies, rows whose smallest and greatest
-    hashes of three words are equal, the one with the smallest id stays.  No text is shuffled."""
+    """(doc_id, toxic) of every labelled training row; of near copies, rows whose smallest hash of
+    three words is equal, the one with the smallest id stays.  No text is shuffled."""
     ship_package(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
@@ -299,7 +299,7 @@ def labelled_once(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
                 sign = []
                 for t in utf8(part, "text"):
                     h = window_hashes(word_hashes(t)[0], 3)
-                    sign.append(int((h.min() ^ ~h.max()).view(np.int64)) if len(h) else len(t))
+                    sign.append(int(h.min().view(np.int64)) if len(h) else len(t))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sign, pa.int64())],
                                                  ["doc_id", "signature"])
 
