@@ -98,3 +98,18 @@ def test_messages(spark):
     last = got.filter("turn = 2").first()
     assert last.n_quotes == 1 and last.n_linked == 1 and last.parent_turn == 0 and last.path == [0, 2] and last.text == ""
     assert link_quotes(df.limit(0)).count() == 0
+
+
+def test_packing_a_segment_takes_little_memory():
+    """op5: six workers share an executor, so one segment's packing must stay small."""
+    import tracemalloc
+
+    import numpy as np
+    from upkeep.llm import simple8b, token_files
+    values = np.arange(token_files.SEGMENT_IDS) * 7919 % 49152
+    tracemalloc.start()
+    data = simple8b.encode(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (simple8b.decode(data) == values).all()
+    assert peak < 24 << 20

@@ -26,10 +26,13 @@ from upkeep.llm.bpe import PieceStore, byte_characters
 from upkeep.llm.common import documents, ship_package, text_key, text_slices
 from upkeep.session import Scratch
 
-#: Ids and documents after which a segment is closed, at the end of a slice of texts.
-SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 16
+#: Ids and documents after which a segment is closed, at the end of a slice of texts.  Packing takes about
+#: 48 bytes an id, and every core of an executor packs a segment of its own.
+SEGMENT_IDS, SEGMENT_DOCS = 1 << 18, 1 << 16
+#: Bytes of text whose words are numbered at once.
+TEXT_BYTES = 1 << 19
 #: Runs of letters, and other words or marks, kept per generation of a worker's stores.
-STORE_LETTERS, STORE_OTHERS = 300_000, 50_000
+STORE_LETTERS, STORE_OTHERS = 150_000, 50_000
 SEGMENT_SCHEMA = ("part int, segment int, doc_ids array<long>, n_tokens array<long>, "
                   "n_ids long, data binary")
 #: Letters below U+0250 are composed already and each have one lower-case letter, but for U+0130.
@@ -142,7 +145,7 @@ def encode_segments(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2
                 ["part", "segment", "doc_ids", "n_tokens", "n_ids", "data"])
 
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", TEXT_BYTES):
                 found, length = words.encode_texts(piece.column("text"))
                 if end_id is not None:
                     found, length = np.insert(found, np.cumsum(length), end_id), length + 1
