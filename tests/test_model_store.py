@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -212,3 +213,24 @@ def test_ticket_grid_refits_the_best(spark):
     best = [r for r in grid if r.best]
     assert len(best) == 1 and best[0].mean_exact_match == max(r.mean_exact_match for r in grid)
     assert 0 <= best[0].test_exact_match <= 1 and [r.test_exact_match is None for r in grid] == [not r.best for r in grid]
+
+
+class _Probe(Estimator):
+    """Notes how many partitions the training rows have, then stops the training."""
+    seen: list = []
+
+    def _fit(self, dataset):
+        self.seen.append(dataset.rdd.getNumPartitions())
+        raise InterruptedError
+
+
+@pytest.mark.parametrize("query, forest", [("interval_feature_importance", "interval_estimator")])
+def test_training_rows_of_a_task_are_bounded(spark, monkeypatch, query, forest):
+    """The partitions of a forest's training rows follow their number."""
+    from upkeep.plans import models as M
+    monkeypatch.setattr(M, "TRAIN_ROWS", 10)
+    monkeypatch.setattr(M, forest, lambda *a, **k: _Probe())
+    monkeypatch.setattr(M.ModelStore, "exists", lambda self, path: False)
+    with pytest.raises(InterruptedError):
+        getattr(M, query)(spark, SF_SMALL)
+    assert _Probe.seen.pop() > 8

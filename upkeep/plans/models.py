@@ -47,6 +47,9 @@ SEED = 42
 TREE_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 # Many small forests at once (grid search): node-id caching would checkpoint each of them.
 GRID_TREE_OPTS = {"maxMemoryInMB": 256}
+# Training rows of one task: a forest keeps an int per row and tree for the sample and one for the node, about
+# 4 KB a row at 200 trees, so a task reads 200 MB however large the table is.
+TRAIN_ROWS = 50_000
 
 # ---- M1 / M5: interval classifier --------------------------------------------------------
 INTERVAL_NUMERIC = ["jumlah_komplain", "rata_severity", "umur_aset_tahun"]
@@ -79,7 +82,7 @@ def fit_interval_pipeline(train: DataFrame, algorithm: str = "rf", num_trees: in
         StringIndexer(inputCol="frekuensi", outputCol="label", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=INTERVAL_FEATURES, outputCol="features"),
         interval_estimator(algorithm, num_trees, max_depth)])
-    train = train.cache()
+    train = compact(train, TRAIN_ROWS).cache()
     model = pipe.fit(train)
     train.unpersist()
     return model
