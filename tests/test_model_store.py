@@ -224,7 +224,8 @@ class _Probe(Estimator):
         raise InterruptedError
 
 
-@pytest.mark.parametrize("query, forest", [("interval_feature_importance", "interval_estimator")])
+@pytest.mark.parametrize("query, forest", [("interval_feature_importance", "interval_estimator"),
+                                           ("lifespan_feature_importance", "RandomForestRegressor")])
 def test_training_rows_of_a_task_are_bounded(spark, monkeypatch, query, forest):
     """The partitions of a forest's training rows follow their number."""
     from upkeep.plans import models as M

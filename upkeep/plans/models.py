@@ -211,7 +211,8 @@ def _lifespan_fit(spark: SparkSession, sf_dir: str, num_trees: int, max_depth: i
         rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=3,
                                    featureSubsetStrategy="sqrt", seed=SEED, **TREE_OPTS)
         assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-        rows = materialize(vectors(train, enc), require="training assets of the lifespan model").cache()
+        rows = materialize(vectors(train, enc), require="training assets of the lifespan model")
+        rows = compact(rows.select("label", *feats), TRAIN_ROWS).cache()
         model = Pipeline(stages=[assembler, rf]).fit(rows)
         rows.unpersist()
         return Bundle({"forest": model}, {"encoding": enc})
