@@ -235,3 +235,24 @@ def test_training_rows_of_a_task_are_bounded(spark, monkeypatch, query, forest):
     with pytest.raises(InterruptedError):
         getattr(M, query)(spark, SF_SMALL)
     assert _Probe.seen.pop() > 8
+
+
+def test_a_level_over_blocks_is_one_job_without_shuffle(spark, moons, monkeypatch):
+    from upkeep.operators import boosting as B
+    monkeypatch.setattr(B, "BLOCK_CELLS", 200)
+    stages, tracker = [], spark.sparkContext.statusTracker()
+    sums = B._Blocks.sums
+
+    def counted(self, trees, level, n_bins, number):
+        spark.sparkContext.setJobGroup(f"level-{number}-{level}", "one level")
+        out = sums(self, trees, level, n_bins, number)
+        jobs = tracker.getJobIdsForGroup(f"level-{number}-{level}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        if number and level:
+            stages.append([len(tracker.getJobInfo(j).stageIds) for j in jobs])
+        assert out.shape[3] == (1 if level == self.s.depth else 3)
+        return out
+
+    monkeypatch.setattr(B._Blocks, "sums", counted)
+    B.fit(moons, ["a", "b", "c"], "y", B.Settings(rounds=3, depth=3, min_hessian=1.0), one_block=False)
+    assert stages and all(len(s) == 1 for s in stages)

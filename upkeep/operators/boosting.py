@@ -6,7 +6,7 @@ hessians per (class, node, feature, bin), for the trees of all classes together;
 the parameters alone, and the splits are chosen from it on the driver.
 
 Cells lie in blocks of bounded size in a table.  Where one block holds them all (its size is known from
-a count), the aggregate is taken over that block in place; otherwise by a Spark job over the blocks, whose
+a count), the aggregate is taken over that block in place; otherwise by a Spark job over the cached blocks, whose
 margins are written anew every few rounds.  Both give the same sums.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,22 +88,26 @@ def gradients(margins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def histogram(bins: np.ndarray, counts: np.ndarray, keys: np.ndarray, margins: np.ndarray, trees: Trees,
               level: int, n_bins: int, s: Settings, number: int) -> np.ndarray:
-    """Sums (2, classes, nodes of the level, features, bins) over the cells that this round sees."""
+    """Sums (2, classes, nodes of the level, features, bins) over the cells that this round sees; of the last
+    level for the first feature alone."""
     seen = _draw(keys, s.seed * 1_000_003 + number) < s.rows
     bins, counts, margins = bins[seen], counts[:, seen], margins[:, seen]
     g, h = gradients(margins, counts)
-    k, n, f = len(counts), len(bins), bins.shape[1]
+    k, f = len(counts), bins.shape[1]
     first, width = 2 ** level - 1, 2 ** level
-    node = trees.leaves(bins, level) - first
-    live = (node >= 0) & (node < width)  # others rest in a leaf above
-    place = (np.arange(k)[:, None] * width + node)[live]
-    cell = np.broadcast_to(np.arange(n), (k, n))[live]
-    out = np.zeros((2, k * width, f, n_bins))
-    for j in range(f):
-        at = place * n_bins + bins[cell, j]
-        for i, x in enumerate((g[live], h[live])):
-            out[i, :, j] = np.bincount(at, x, k * width * n_bins).reshape(-1, n_bins)
-    return out.reshape(2, k, width, f, n_bins)
+    used = f if level < s.depth else 1  # the last level's nodes are not split: their totals will do
+    columns = np.ascontiguousarray(bins.T[:used])
+    out = np.zeros((2, k, width, used, n_bins))
+    for c in range(k):
+        one = Trees(*(x[c:c + 1] for x in (trees.feature, trees.cut, trees.value)))
+        node = one.leaves(bins, level)[0] - first
+        live = np.flatnonzero((node >= 0) & (node < width))  # others rest in a leaf above
+        place, sums = node[live] * n_bins, (g[c, live], h[c, live])
+        for j in range(used):
+            at = place + columns[j, live]
+            for i, x in enumerate(sums):
+                out[i, c, :, j] = np.bincount(at, x, width * n_bins).reshape(width, n_bins)
+    return out
 
 
 def grow(sums, classes: int, features: int, s: Settings, number: int) -> Trees:
@@ -166,59 +171,71 @@ def _arrays(table: pa.Table, features: int, classes: int) -> tuple[np.ndarray, n
             table.column("key").to_numpy().view(np.uint64))
 
 
+_BLOCK = "block long, bins binary, counts binary, keys binary, margins binary"
+
+
 class _Blocks:
-    """Cells in several blocks: histograms by a Spark job, margins written every few rounds."""
+    """Cells in several blocks, one to a task: every level is one job, whose tasks add the sums of their blocks; the
+    driver adds those of at most one task a core.  The margins go on with every round in the cached blocks, and are written every few rounds."""
 
     def __init__(self, cells: DataFrame, n: int, classes: int, features: int, s: Settings, scratch: Scratch):
-        self.k, self.f, self.s, self.scratch = classes, features, s, scratch
-        ship_package(cells.sparkSession)
+        self.k, self.f, self.s, self.scratch, self.n = classes, features, s, scratch, -(-n // BLOCK_CELLS)
+        self.spark = cells.sparkSession
+        self.tasks = max(16, self.spark.sparkContext.defaultParallelism)
+        ship_package(self.spark)
 
         def pack(table):
-            table = table.sort_by("key")
+            block, table = table.column("block")[0].as_py(), table.sort_by("key")
             bins, counts, keys = _arrays(table, features, classes)
-            return pa.table({"bins": pa.array([bins.astype("<i2").tobytes()]), "counts": pa.array([counts.astype("<f8").tobytes()]),
-                             "keys": pa.array([keys.tobytes()]), "margins": pa.array([np.zeros((classes, len(keys))).tobytes()])})
+            return pa.table({"block": pa.array([block]), "bins": pa.array([bins.astype("<i2").tobytes()]),
+                             "counts": pa.array([counts.astype("<f8").tobytes()]), "keys": pa.array([keys.tobytes()]),
+                             "margins": pa.array([np.zeros((classes, len(keys))).tobytes()])})
 
-        blocks = F.pmod("key", F.lit(-(-n // BLOCK_CELLS)))
-        self.table = scratch.write(cells.withColumn("block", blocks).groupBy("block").applyInArrow(
-            lambda t: pack(t.select(["bins", "counts", "key"])), "bins binary, counts binary, keys binary, margins binary"))
-        self.recent: list[Trees] = []
+        self.old, self.rounds = [], 0
+        self.rows = self._dealt(cells.withColumn("block", F.pmod("key", F.lit(self.n))).groupBy("block").applyInArrow(
+            lambda t: pack(t.select(["block", "bins", "counts", "key"])), _BLOCK))
 
-    def _map(self, use, schema: str) -> DataFrame:
-        k, f, depth, recent = self.k, self.f, self.s.depth, list(self.recent)
+    def _dealt(self, table: DataFrame):
+        """The blocks of ``table``, written, one to a partition."""
+        table = self.scratch.write(table).repartitionByRange(self.n, "block")
+        return table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
-        def run(batches):
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    raw = [batch.column(c)[i].as_py() for c in ("bins", "counts", "keys", "margins")]
-                    bins = np.frombuffer(raw[0], "<i2").reshape(-1, f).astype(np.int64)
-                    margins = np.frombuffer(raw[3]).reshape(k, -1) + sum(t.margins(bins, depth) for t in recent)
-                    yield use(bins, np.frombuffer(raw[1]).reshape(k, -1), np.frombuffer(raw[2], np.uint64), margins, raw)
+    def sums(self, trees: Trees, level: int, n_bins: int, number: int) -> np.ndarray:
+        s, opened = self.s, _opener(self.f, self.k)
+        sums = self.rows.coalesce(self.tasks).map(lambda raw: histogram(*opened(raw), trees, level, n_bins, s, number))
+        out = sums.reduce(np.add)
+        while self.old:  # the margins that this job has read stand on their own now
+            self.old.pop().unpersist()
+        return out
 
-        return self.table.mapInArrow(run, schema)
+    def add(self, trees: Trees) -> None:
+        depth, opened = self.s.depth, _opener(self.f, self.k)
 
-    def sums(self, trees: Trees, level: int, n_bins: int, number: int) -> np.ndarray:
-        s = self.s
+        def moved(raw):
+            bins, _, _, margins = opened(raw)
+            return (*raw[:4], bytearray((margins + trees.margins(bins, depth)).tobytes()))
 
-        def use(bins, counts, keys, margins, raw):
-            h = histogram(bins, counts, keys, margins, trees, level, n_bins, s, number)
-            at = np.flatnonzero(h.any(axis=0).ravel())
-            g, w = h.reshape(2, -1)[:, at]
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(g), pa.array(w)], ["at", "g", "h"])
+        before, self.rounds = self.rows, self.rounds + 1
+        self.rows = before.map(moved)
+        if self.rounds % MARGIN_ROUNDS:
+            self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            self.rows = self._dealt(self.spark.createDataFrame(self.rows, _BLOCK, verifySchema=False))
+        self.old.append(before)
 
-        rows = self._map(use, "at long, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-        out = np.zeros((2, self.k * 2 ** level * self.f * n_bins))  # as large as the parameters say
-        at = rows.column("at").to_numpy()
-        out[0, at], out[1, at] = rows.column("g").to_numpy(), rows.column("h").to_numpy()
-        return out.reshape(2, self.k, 2 ** level, self.f, n_bins)
+    def close(self) -> None:
+        for rows in (*self.old, self.rows):
+            rows.unpersist()
 
-    def add(self, trees: Trees) -> None:
-        self.recent.append(trees)
-        if len(self.recent) == MARGIN_ROUNDS:
-            self.table = self.scratch.write(self._map(lambda bins, counts, keys, margins, raw: pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (*raw[:3], margins.tobytes())], ["bins", "counts", "keys", "margins"]),
-                "bins binary, counts binary, keys binary, margins binary"))
-            self.recent = []
+
+def _opener(features: int, classes: int):
+    """Arrays (bins, counts, keys, margins) of a block's row."""
+    def opened(raw):
+        return (np.frombuffer(raw[1], "<i2").reshape(-1, features).astype(np.int64),
+                np.frombuffer(raw[2]).reshape(classes, -1), np.frombuffer(raw[3], np.uint64),
+                np.frombuffer(raw[4]).reshape(classes, -1))
+
+    return opened
 
 
 class _OneBlock:
@@ -234,6 +251,9 @@ class _OneBlock:
     def add(self, trees: Trees) -> None:
         self.margins += trees.margins(self.bins, self.s.depth)
 
+    def close(self) -> None:
+        pass
+
 
 # ---------------------------------------------------------------- the model
 
@@ -306,5 +326,6 @@ def fit(df: DataFrame, features: list[str], label: str, settings: Settings = Set
             trees = grow(lambda t, level: source.sums(t, level, n_bins, number), len(classes), len(features), s, number)
             source.add(trees)
             grown.append(trees)
+        source.close()
     return BoostedTrees(list(features), cuts, classes, s.depth,
                         Trees(*(np.concatenate([getattr(t, a) for t in grown]) for a in ("feature", "cut", "value"))))
