@@ -8,9 +8,10 @@ across many partitions whatever its dates and order keys look like - and windowe
 (partition, asset).  One summary row per (partition, asset), carried over the partitions of each
 asset, then gives every row what came before its partition.  All assets but those that
 a partition bound cuts lie in one partition, so the summary has at most partitions + assets rows,
-and an asset at most as many as there are partitions.
+and an asset at most as many as there are partitions.  Only the first asset of a partition can have rows
+before it: what is carried over has fewer rows than there are partitions and is broadcast.
 
-The ranged rows are written once to the checkpoint folder with their partition number: the windows
+The windowed rows are written once to the checkpoint folder with their partition number: the rows
 and the summaries must see one partitioning, and Spark may cut another way on a second evaluation.
 """
 
@@ -34,10 +35,10 @@ def ranged_rows(df: DataFrame, key: str, date: str, seq: str, sev: str, partitio
     """``df`` with its range partition (``_part``) and, within (partition, key) in the order (date, seq),
     the running number, the two severities before and the date before."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(df.repartitionByRange(n, key, date, seq).withColumn("_part", F.spark_partition_id()))
+    rows = df.repartitionByRange(n, key, date, seq).withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("_part", key).orderBy(date, seq)
-    return rows.withColumns({"_rn": F.row_number().over(w), "_s1": F.lag(sev, 1).over(w),
-                             "_s2": F.lag(sev, 2).over(w), "_d1": F.lag(date).over(w)})
+    return materialize(rows.withColumns({"_rn": F.row_number().over(w), "_s1": F.lag(sev, 1).over(w),
+                                         "_s2": F.lag(sev, 2).over(w), "_d1": F.lag(date).over(w)}))
 
 
 def history_features(df: DataFrame, key: str = "id", date: str = "tanggal",
@@ -55,11 +56,12 @@ def history_features(df: DataFrame, key: str = "id", date: str = "tanggal",
         F.lag("_last").over(wc).alias("_pd"),
         F.lag("_l1").over(wc).alias("_p1"),
         F.when(F.lag("_n").over(wc) >= 2, F.lag("_l2").over(wc)).otherwise(F.lag("_l1", 2).over(wc)).alias("_p2"))
+    before = before.filter("_before > 0")  # fewer than partitions
     rn = F.col("_rn")
     prev1 = F.when(rn >= 2, F.col("_s1")).otherwise(F.col("_p1"))
     prev2 = F.when(rn >= 3, F.col("_s2")).when(rn == 2, F.col("_p1")).otherwise(F.col("_p2"))
-    return (rows.join(before, ["_part", key]).withColumns({
-                "running_number": (F.col("_before") + rn).cast("long"),
+    return (rows.join(F.broadcast(before), ["_part", key], "left").withColumns({
+                "running_number": (F.coalesce("_before", F.lit(0)) + rn).cast("long"),
                 "gap_days": F.datediff(F.col(date), F.when(rn == 1, F.col("_pd")).otherwise(F.col("_d1"))),
                 "max_sev_3": F.greatest(F.col(sev), prev1, prev2)})
             .select(*df.columns, "running_number", "gap_days", "max_sev_3"))
